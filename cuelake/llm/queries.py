@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sharding
+from . import language_id, packing, quality_classifier, quality_rules, sharding, token_files
 
 QUERIES = {
+    "op3_packing": packing.op3_packing,
+    "op5_quality_classifier": quality_classifier.op5_quality_classifier,
+    "op7_language_id": language_id.op7_language_id,
     "op8_sharding": sharding.op8_sharding,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_token_files": token_files.op10_token_files,
 }
 
 
