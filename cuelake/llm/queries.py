@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language_id, packing, quality_classifier, quality_rules, sharding, token_files
+from . import language_id, packing, quality_classifier, quality_rules, sharding, token_files, url_filter
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
+    "op4_url_filter": url_filter.op4_url_filter,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op7_language_id": language_id.op7_language_id,
     "op8_sharding": sharding.op8_sharding,
