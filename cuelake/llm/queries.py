@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language_id, packing, quality_classifier, quality_rules, sharding, token_files, url_filter
+from . import decontamination, language_id, packing, quality_classifier, quality_rules, sharding, token_files, url_filter
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op3_packing": packing.op3_packing,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
