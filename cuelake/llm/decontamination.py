@@ -23,6 +23,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,8 +130,9 @@ class Index:
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, int]:
         flat, starts = self.ids(texts)
         p1, p2, n, _ = self.passages(starts)
-        keys = np.concatenate([p[(p >= 0) & (flat >= 0)] * len(self.terms) + flat[(p >= 0) & (flat >= 0)] for p in (p1, p2)])
-        return np.bincount(np.unique(keys) % max(1, len(self.terms)), minlength=len(self.terms)), int(n.sum())
+        known = flat >= 0
+        keys = pd.unique(np.concatenate([p[known & (p >= 0)] * len(self.terms) + flat[known & (p >= 0)] for p in (p1, p2)]))
+        return np.bincount(keys % max(1, len(self.terms)), minlength=len(self.terms)), int(n.sum())
 
     def promising(self, flat: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
         """Passages that may reach the threshold for some entry."""
