@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, packing, quality_classifier, quality_rules, sharding, token_files, url_filter
+from . import decontamination, jaccard_join, language_id, packing, quality_classifier, quality_rules, sharding, token_files, url_filter
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_packing": packing.op3_packing,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
