@@ -14,12 +14,12 @@ import re
 import numpy as np
 
 #: Pieces that a worker keeps.
-KEEP = 700_000
+KEEP = 1_200_000
 #: Characters of new pieces that go to the library in one call.
 CALL = 20_000
 _UNSURE = "\\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff"
-#: A space that nothing or a possible blank follows, and any other space.
-UNSURE, SURE = re.compile(f"[ ](?:$|[{_UNSURE}])"), re.compile(f"[ ](?=[^{_UNSURE}])")
+#: A space that parts pieces; a piece that is empty or begins with a possible blank.
+SURE, ODD = re.compile(f"[ ](?=[^{_UNSURE}])"), re.compile(f"$|[{_UNSURE}]").match
 
 
 class Encoder:
@@ -62,24 +62,28 @@ class Encoder:
         """For each text its ids as little-endian unsigned 32-bit integers; null counts as empty."""
         out: list[bytes] = []
         batch: list[list[str]] = []
+        new: set[str] = set()
         n = 0
         for text in texts:
             text = text or ""
-            batch.append(SURE.split(text) if UNSURE.search(text) else text.split(" "))
+            parts = text.split(" ")
+            pieces = set(parts[1:]).difference(self.known)
+            if any(map(ODD, pieces)):  # known pieces are none of these
+                parts = SURE.split(text)
+                pieces = set(parts[1:]).difference(self.known)
+            batch.append(parts)
+            new |= pieces
             n += len(text)
-            if n > 4_000_000:
-                out += self._batch(batch)
-                batch, n = [], 0
-        return out + self._batch(batch)
+            if n > 8_000_000:
+                out += self._batch(batch, new)
+                batch, new, n = [], set(), 0
+        return out + self._batch(batch, new)
 
-    def _batch(self, batch: list[list[str]]) -> list[bytes]:
-        new: set[str] = set()
-        for parts in batch:
-            new.update(set(parts[1:]).difference(self.known))
+    def _batch(self, batch: list[list[str]], new: set[str]) -> list[bytes]:
         if len(self.known) + len(new) > KEEP:  # emptied: now all pieces of this batch are new
             self.known.clear()
             new.update(*(parts[1:] for parts in batch))
-        self.learn(sorted(new))
+        self.learn(list(new))
         out = []
         for parts in batch:
             first = self.firsts.get(parts[0])
