@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, language_id, packing, quality_classifier, quality_rules, sharding, token_files, url_filter
+from . import decontamination, html_extraction, jaccard_join, language_id, packing, quality_classifier, quality_rules, sharding, token_files, url_filter
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
+    "op6_html_extraction": html_extraction.op6_html_extraction,
     "op7_language_id": language_id.op7_language_id,
     "op8_sharding": sharding.op8_sharding,
     "op9_quality_rules": quality_rules.op9_quality_rules,
