@@ -4,8 +4,11 @@ The distance of two sets is 1 - Jaccard, a metric. The join is in two layers.
 
 * Outer pivots are the n-grams themselves, as sets of one. A set's nearest pivots are its own n-grams, all at the same
   distance; ties go by how frequent an n-gram is (a count sketch over all texts), then by hash. Two sets within
-  the radius share a pivot among the first ``n - ceil(s * n) + 1`` of each: that window is how far a set must be replicated. Regions
-  that share members are joined to bundles (connected components), so that no link is between bundles.
+  the radius share a pivot among the first ``n - ceil(s * n) + 1`` of each: that window is how far a set must be replicated. In a
+  region, pairs are dropped whose sizes, places of the pivot, or parity sketches rule a link out. (A parity sketch has a bit for each
+  hash class, set if the class has an odd number of n-grams; each n-gram in which two sets differ flips one
+  bit, so the sketches' Hamming distance is at most the sets' difference.) What is left joins members to bundles
+  (connected components), so that no link is between bundles.
 * In a bundle, pivots are members: distances to a few pivots make Voronoi regions; by the triangle inequality a
   member must also meet the regions whose pivot is at most twice the radius farther than its own, and pairs whose
   distances to any pivot differ by more than the radius can't be links. Regions are joined recursively, down to
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read
+from .common import Scratch, parallelism, read
 
 #: Places of the count sketch and of a Bloom filter; parts in which they are summed.
 SKETCH, BLOOM, PARTS = 1 << 20, 1 << 26, 64
@@ -269,6 +272,58 @@ def _window(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Parity sketch of a set, of about half a bit for each n-gram; a larger one folds to a smaller."""
+    bits = 64
+    while 2 * bits < len(s):
+        bits *= 2
+    odd = np.bincount(((s * _M[2]) >> np.uint64(32)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def region_edges(sig: np.ndarray, n: np.ndarray, pos: np.ndarray, sketches: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Edges (member, a member of its group) between members of a region, so that all pairs that may be linked are in one group."""
+    order = np.argsort(n, kind="stable")
+    sig, n, pos, sketches = sig[order], n[order], pos[order], [sketches[i] for i in order]
+    out = []
+    width = max(map(len, sketches)) // 8
+    words = {}
+    while width >= 1:  # sketches of each width, larger ones folded
+        words[width] = np.zeros((len(n), width), np.uint64)
+        width //= 2
+    own = np.array([len(x) // 8 for x in sketches])
+    for i, x in enumerate(sketches):
+        w = np.frombuffer(x, np.uint64)
+        while True:
+            words[len(w)][i] = w
+            if len(w) == 1:
+                break
+            w = w[: len(w) // 2] ^ w[len(w) // 2 :]
+    free = np.ones(len(n), bool)
+    for first in range(len(n)):
+        if not free[first]:
+            continue
+        free[first] = False
+        queue = [first]
+        while queue:
+            x = queue.pop()
+            lo, hi = np.searchsorted(n, [-(-percent * n[x] // 100), 100 * n[x] // percent + 1])
+            at = lo + np.flatnonzero(free[lo:hi])
+            if not len(at):
+                continue
+            # common >= percent / (100 + percent) of both sizes' sum
+            need = -(-percent * (n[x] + n[at]) // (100 + percent))
+            at = at[np.minimum(n[x] - pos[x], n[at] - pos[at]) >= need]
+            for width in np.unique(np.minimum(own[at], own[x])).tolist():
+                some = at[np.minimum(own[at], own[x]) == width]
+                apart = np.bitwise_count(words[width][some] ^ words[width][x]).sum(axis=1, dtype=np.int64)
+                near = some[apart <= n[x] + n[some] - 2 * -(-percent * (n[x] + n[some]) // (100 + percent))]
+                out += [(int(sig[y]), int(sig[x])) for y in near]
+                free[near] = False
+                queue += near.tolist()
+    return out
+
+
 def link(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """uid, doc_id, n_shingles, sig and root of every row of ``docs`` (uid, doc_id, text): equal roots, same component."""
     spark = docs.sparkSession
@@ -291,32 +346,71 @@ def link(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     def windowed(batches):
         lv = levels.value
         for b in batches:
-            n, sig, keys = [], [], []
+            n, sig, keys, sketches = [], [], [], []
             for t in b.column(2).to_pylist():
                 s = ngrams(t, k)
                 n.append(len(s))
                 sig.append(signature(s))
                 order = np.lexsort((s, lv[(s >> np.uint64(44)).astype(np.int64)])) if len(s) else np.zeros(0, int)
                 keys.append(s[order[: _window(len(s), percent)]].tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_pydict({"uid": b.column(0), "doc_id": b.column(1), "n_shingles": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.int64()), "keys": pa.array(keys, pa.binary())})
+                sketches.append(parity(s))
+            yield pa.RecordBatch.from_pydict({"uid": b.column(0), "doc_id": b.column(1), "n_shingles": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.int64()), "keys": pa.array(keys, pa.binary()), "sketch": pa.array(sketches, pa.binary())})
 
-    rows = scratch.save(docs.mapInArrow(windowed, "uid long, doc_id long, n_shingles long, sig long, keys binary"), "rows")
+    rows = scratch.save(docs.mapInArrow(windowed, "uid long, doc_id long, n_shingles long, sig long, keys binary, sketch binary"), "rows")
 
-    def explode(batches, bits=None):
+    def explode(batches):
         for b in batches:
             lengths = np.array([len(x) // 8 for x in b.column(1).to_pylist()], np.int64)
             flat = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
-            sig = np.repeat(b.column(0).to_numpy(), lengths)
-            if bits is not None:
-                ok = in_bloom(bits.value, flat)
-                flat, sig = flat[ok], sig[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64()), pa.array(sig, pa.int64())], names=["key", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64()), pa.array(np.repeat(b.column(0).to_numpy(), lengths), pa.int64())], names=["key", "sig"])
 
+    # pivots of at least two members
     all_keys = rows.select("sig", "keys").mapInArrow(explode, "key long, sig long")
-    shared = scratch.save(all_keys.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("key", "low"), "shared")
+    shared = all_keys.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("key")
     bits = spark.sparkContext.broadcast(bloom(shared, "key"))
-    few = rows.select("sig", "keys").mapInArrow(lambda it: explode(it, bits), "key long, sig long").distinct()
-    edges = few.join(shared, "key").where("sig <> low").select(F.col("sig").alias("a"), F.col("low").alias("b"))
+
+    def replicate(batches):
+        for b in batches:
+            raw = b.column(1).to_pylist()
+            lengths = np.array([len(x) // 8 for x in raw], np.int64)
+            flat = np.frombuffer(b"".join(raw), np.int64)
+            at = np.repeat(np.arange(len(raw)), lengths)
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            ok = np.flatnonzero(in_bloom(bits.value, flat))
+            part = b.take(pa.array(at[ok]))
+            yield pa.RecordBatch.from_arrays([pa.array(flat[ok], pa.int64()), part.column(0), part.column(2), pa.array(pos[ok], pa.int64()), part.column(3)], names=["key", "sig", "n", "pos", "sketch"])
+
+    def regions(batches):
+        held: list[pa.RecordBatch] = []
+
+        def done(t: pa.Table) -> pa.RecordBatch:
+            key, sig, n, pos = (t.column(c).to_numpy() for c in ("key", "sig", "n", "pos"))
+            sketches = t.column("sketch").to_pylist()
+            ends = [*(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            edges, a = [], 0
+            for e in ends:
+                if e - a > 1:
+                    edges += region_edges(sig[a:e], n[a:e], pos[a:e], sketches[a:e], percent)
+                a = e
+            return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in edges], pa.int64()), "b": pa.array([y for _, y in edges], pa.int64())})
+
+        for b in batches:
+            if b.num_rows:
+                if held and held[-1].column(0)[-1] != b.column(0)[0]:
+                    yield done(pa.Table.from_batches(held))
+                    held = []
+                key = b.column(0).to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))
+                if cut:  # all but the last key are complete
+                    yield done(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                    held = []
+                held.append(b.slice(cut))
+        if held:
+            yield done(pa.Table.from_batches(held))
+
+    few = rows.where("n_shingles > 0").select("sig", "keys", F.col("n_shingles").alias("n"), "sketch").mapInArrow(replicate, "key long, sig long, n long, pos long, sketch binary")
+    few = few.distinct().repartition(parallelism(spark), "key").sortWithinPartitions("key")
+    edges = few.mapInArrow(regions, "a long, b long")
     bundles = scratch.save(components(edges, scratch, "outer").withColumnRenamed("node", "sig").withColumnRenamed("root", "bundle"), "bundles")
 
     # one row of each member of a bundle is read again for its set
@@ -351,7 +445,7 @@ def link(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
         found = components(small.unionByName(dealt).select(F.col("sig").alias("a"), F.col("root").alias("b")), scratch, "inner")
         found = found.withColumnRenamed("node", "sig")
     found = found.where("sig <> root").withColumnRenamed("root", "linked")
-    return rows.drop("keys").join(found, "sig", "left").withColumn("root", F.coalesce("linked", "sig")).drop("linked")
+    return rows.drop("keys", "sketch").join(found, "sig", "left").withColumn("root", F.coalesce("linked", "sig")).drop("linked")
 
 
 def _dealt(grams: DataFrame, large: DataFrame, percent: int, pivots: int = 16) -> DataFrame:
