@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import speech_queries
+from . import speech_queries, text_queries
 
-_PARTS = (speech_queries,)
+_PARTS = (speech_queries, text_queries)
 
 
 def queries() -> dict:
