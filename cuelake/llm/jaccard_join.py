@@ -370,15 +370,17 @@ def link(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     bits = spark.sparkContext.broadcast(bloom(shared, "key"))
 
     def replicate(batches):
-        for b in batches:
-            raw = b.column(1).to_pylist()
-            lengths = np.array([len(x) // 8 for x in raw], np.int64)
-            flat = np.frombuffer(b"".join(raw), np.int64)
-            at = np.repeat(np.arange(len(raw)), lengths)
-            pos = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            ok = np.flatnonzero(in_bloom(bits.value, flat))
-            part = b.take(pa.array(at[ok]))
-            yield pa.RecordBatch.from_arrays([pa.array(flat[ok], pa.int64()), part.column(0), part.column(2), pa.array(pos[ok], pa.int64()), part.column(3)], names=["key", "sig", "n", "pos", "sketch"])
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                b = batch.slice(i, 1000)
+                raw = b.column(1).to_pylist()
+                lengths = np.array([len(x) // 8 for x in raw], np.int64)
+                flat = np.frombuffer(b"".join(raw), np.int64)
+                at = np.repeat(np.arange(len(raw)), lengths)
+                pos = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                ok = np.flatnonzero(in_bloom(bits.value, flat))
+                take = pa.array(at[ok])
+                yield pa.RecordBatch.from_arrays([pa.array(flat[ok], pa.int64()), b.column(0).take(take), b.column(2).take(take), pa.array(pos[ok], pa.int64()), b.column(3).take(take)], names=["key", "sig", "n", "pos", "sketch"])
 
     def regions(batches):
         held: list[pa.RecordBatch] = []
