@@ -325,7 +325,9 @@ def region_edges(sig: np.ndarray, n: np.ndarray, pos: np.ndarray, sketches: list
 
 
 def link(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """uid, doc_id, n_shingles, sig and root of every row of ``docs`` (uid, doc_id, text): equal roots, same component."""
+    """uid, doc_id, n_shingles, sig and root of every row of ``docs`` (uid, doc_id, text): equal roots, same component.
+
+    ``docs`` is read more than once: a row must have the same uid each time, as it has in files or a written table."""
     spark = docs.sparkSession
     docs = docs.select(F.col("uid").cast("long"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
 

@@ -166,9 +166,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE, per_text: int = PER_TEXT) -> Netw
 
 
 def predict(docs: DataFrame, net: Network) -> DataFrame:
-    """``docs`` with lang_pred and score; ``text`` is read and dropped."""
+    """``docs`` with lang_pred and score (columns of those names are replaced); ``text`` is read and dropped."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    rest = [c for c in docs.columns if c != "text"]
+    rest = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
     schema = docs.select(*(F.col(f"`{c}`") for c in rest), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(batches):

@@ -163,17 +163,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """``docs`` with the probability of label 1 in ``column``."""
+    """``docs`` with the probability of label 1 in ``column``, as the last column; one of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS floats
-    at = docs.columns.index("text")
-    whole = docs.withColumn(column, F.lit(0.0))
+    docs = docs.drop(column)
+    at, names = docs.columns.index("text"), [*docs.columns, column]
 
     def run(batches):
         m = shared.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m.score(features(t)) for t in b.column(at).to_pylist()], pa.float64())], names=[*b.schema.names, column])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m.score(features(t)) for t in b.column(at).to_pylist()], pa.float64())], names=names)
 
-    return docs.mapInArrow(run, whole.schema)
+    return docs.mapInArrow(run, docs.withColumn(column, F.lit(0.0)).schema)
 
 
 def held_out():

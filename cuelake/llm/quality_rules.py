@@ -49,7 +49,7 @@ STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 def stats(docs: DataFrame, text: str = "text", prefix: str = "__q_") -> DataFrame:
     """``docs`` with the counts that the rules look at, as long columns named with ``prefix``."""
     p = prefix
-    blank = r" \t\n\u000B\f\r"
+    blank = r" \t\n\u000B\u000C\r"
     count = lambda chars: f"cast(length({p}t) - length(translate({p}t, '{chars}', '')) as bigint)"
     out = docs.withColumn(f"{p}t", F.coalesce(F.col(f"`{text}`"), F.lit("")))
     out = out.withColumn(f"{p}w", F.expr(f"trim(BOTH '{blank}' FROM {p}t)"))
