@@ -39,6 +39,8 @@ from .common import Scratch, parallelism, read
 
 #: Places of the count sketch and of a Bloom filter; parts in which they are summed.
 SKETCH, BLOOM, PARTS = 1 << 20, 1 << 26, 64
+#: Rows from which a region is compared by sketches in its task; smaller regions give pairs.
+DENSE = 8
 #: Members of a leaf; pivots of a region; bytes of a bundle that one task joins.
 LEAF, PIVOTS, LARGE = 48, 6, 48_000_000
 
@@ -281,6 +283,26 @@ def parity(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def _sums_part(n_x, n_y, percent: int):
+    """Least intersection of linked sets of these sizes: ``percent / (100 + percent)`` of their sum."""
+    return -(-percent * (n_x + n_y) // (100 + percent))
+
+
+def region_pairs(sig: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of a region of a few members that sizes and the pivot's places don't rule out."""
+    i, j = np.triu_indices(len(n), 1)
+    ok = (np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j])) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= _sums_part(n[i], n[j], percent))
+    return [(int(sig[x]), int(sig[y])) for x, y in zip(i[ok], j[ok])]
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Hamming distance of two parity sketches, the larger one folded."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
 def region_edges(sig: np.ndarray, n: np.ndarray, pos: np.ndarray, sketches: list[bytes], percent: int) -> list[tuple[int, int]]:
     """Edges (member, a member of its group) between members of a region, so that all pairs that may be linked are in one group."""
     order = np.argsort(n, kind="stable")
@@ -311,13 +333,11 @@ def region_edges(sig: np.ndarray, n: np.ndarray, pos: np.ndarray, sketches: list
             at = lo + np.flatnonzero(free[lo:hi])
             if not len(at):
                 continue
-            # common >= percent / (100 + percent) of both sizes' sum
-            need = -(-percent * (n[x] + n[at]) // (100 + percent))
-            at = at[np.minimum(n[x] - pos[x], n[at] - pos[at]) >= need]
+            at = at[np.minimum(n[x] - pos[x], n[at] - pos[at]) >= _sums_part(n[x], n[at], percent)]
             for width in np.unique(np.minimum(own[at], own[x])).tolist():
                 some = at[np.minimum(own[at], own[x]) == width]
-                apart = np.bitwise_count(words[width][some] ^ words[width][x]).sum(axis=1, dtype=np.int64)
-                near = some[apart <= n[x] + n[some] - 2 * -(-percent * (n[x] + n[some]) // (100 + percent))]
+                differ = np.bitwise_count(words[width][some] ^ words[width][x]).sum(axis=1, dtype=np.int64)
+                near = some[differ <= n[x] + n[some] - 2 * _sums_part(n[x], n[some], percent)]
                 out += [(int(sig[y]), int(sig[x])) for y in near]
                 free[near] = False
                 queue += near.tolist()
@@ -366,15 +386,21 @@ def link(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
             flat = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64()), pa.array(np.repeat(b.column(0).to_numpy(), lengths), pa.int64())], names=["key", "sig"])
 
-    # pivots of at least two members
+    # pivots of at least two members, and those of many
     all_keys = rows.select("sig", "keys").mapInArrow(explode, "key long, sig long")
-    shared = all_keys.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("key")
-    bits = spark.sparkContext.broadcast(bloom(shared, "key"))
+    counted = all_keys.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", "n")
+    counted = scratch.save(counted, "shared")
+    bits, dense = spark.sparkContext.broadcast(bloom(counted, "key")), spark.sparkContext.broadcast(bloom(counted.where(F.col("n") >= DENSE), "key"))
 
     def replicate(batches):
+        sent: set[int] = set()  # equal sets of a task go once
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 b = batch.slice(i, 1000)
+                new = [k for k, x in enumerate(b.column(0).to_pylist()) if x not in sent and not sent.add(x)]
+                if len(sent) > 1_000_000:
+                    sent.clear()
+                b = b.take(pa.array(new, pa.int64()))
                 raw = b.column(1).to_pylist()
                 lengths = np.array([len(x) // 8 for x in raw], np.int64)
                 flat = np.frombuffer(b"".join(raw), np.int64)
@@ -382,21 +408,29 @@ def link(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
                 pos = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 ok = np.flatnonzero(in_bloom(bits.value, flat))
                 take = pa.array(at[ok])
-                yield pa.RecordBatch.from_arrays([pa.array(flat[ok], pa.int64()), b.column(0).take(take), b.column(2).take(take), pa.array(pos[ok], pa.int64()), b.column(3).take(take)], names=["key", "sig", "n", "pos", "sketch"])
+                many = in_bloom(dense.value, flat[ok])
+                sketch = b.column(3).take(pa.array(at[ok], pa.int64(), mask=~many))
+                yield pa.RecordBatch.from_arrays([pa.array(flat[ok], pa.int64()), b.column(0).take(take), b.column(2).take(take).cast(pa.int32()), pa.array(pos[ok], pa.int32()), sketch], names=["key", "sig", "n", "pos", "sketch"])
 
     def regions(batches):
         held: list[pa.RecordBatch] = []
 
         def done(t: pa.Table) -> pa.RecordBatch:
-            key, sig, n, pos = (t.column(c).to_numpy() for c in ("key", "sig", "n", "pos"))
+            key, sig = t.column("key").to_numpy(), t.column("sig").to_numpy()
+            n, pos = (t.column(c).to_numpy().astype(np.int64) for c in ("n", "pos"))
             sketches = t.column("sketch").to_pylist()
             ends = [*(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            edges, a = [], 0
+            sure, pairs, a = [], [], 0
             for e in ends:
                 if e - a > 1:
-                    edges += region_edges(sig[a:e], n[a:e], pos[a:e], sketches[a:e], percent)
+                    own = a + np.unique(sig[a:e], return_index=True)[1]
+                    if sketches[a] is None:
+                        pairs += region_pairs(sig[own], n[own], pos[own], percent)
+                    elif len(own) > 1:
+                        sure += region_edges(sig[own], n[own], pos[own], [sketches[i] for i in own], percent)
                 a = e
-            return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in edges], pa.int64()), "b": pa.array([y for _, y in edges], pa.int64())})
+            edges = [*sure, *pairs]
+            return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in edges], pa.int64()), "b": pa.array([y for _, y in edges], pa.int64()), "sure": pa.array([True] * len(sure) + [False] * len(pairs), pa.bool_())})
 
         for b in batches:
             if b.num_rows:
@@ -412,9 +446,27 @@ def link(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
         if held:
             yield done(pa.Table.from_batches(held))
 
-    few = rows.where("n_shingles > 0").select("sig", "keys", F.col("n_shingles").alias("n"), "sketch").mapInArrow(replicate, "key long, sig long, n long, pos long, sketch binary")
-    few = few.distinct().repartition(parallelism(spark), "key").sortWithinPartitions("key")
-    edges = few.mapInArrow(regions, "a long, b long")
+    few = rows.where("n_shingles > 0").select("sig", "keys", F.col("n_shingles").alias("n"), "sketch").mapInArrow(replicate, "key long, sig long, n int, pos int, sketch binary")
+    few = few.repartition(parallelism(spark), "key").sortWithinPartitions("key")
+    found = scratch.save(few.mapInArrow(regions, "a long, b long, sure boolean").distinct(), "pairs")
+
+    def near(batches):
+        for b in batches:
+            n_a, n_b = (b.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            d = np.array([apart(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist())], np.int64)
+            yield b.select(["a", "b"]).filter(pa.array(d <= n_a + n_b - 2 * _sums_part(n_a, n_b, percent)))
+
+    pairs = found.where("not sure").select("a", "b")
+    asked = spark.sparkContext.broadcast(bloom(pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))), "sig"))
+
+    def known(batches):
+        for b in batches:
+            yield b.filter(pa.array(in_bloom(asked.value, b.column(0).to_numpy().astype(np.int64))))
+
+    sketched = rows.select("sig", F.col("n_shingles").alias("n"), "sketch").mapInArrow(known, "sig long, n long, sketch binary").groupBy("sig", "n").agg(F.first("sketch").alias("sketch"))
+    left, right = (sketched.select(F.col("sig").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
+    checked = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(near, "a long, b long")
+    edges = found.where("sure").select("a", "b").unionByName(checked)
     bundles = scratch.save(components(edges, scratch, "outer").withColumnRenamed("node", "sig").withColumnRenamed("root", "bundle"), "bundles")
 
     # one row of each member of a bundle is read again for its set
@@ -440,16 +492,16 @@ def link(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
         return pd.DataFrame({"sig": sig, "root": sig[roots]})
 
     if not any_large:
-        found = scratch.save(read_again.groupBy("bundle").applyInPandas(whole, "sig long, root long"), "links")
+        links = scratch.save(read_again.groupBy("bundle").applyInPandas(whole, "sig long, root long"), "links")
     else:
         read_again = scratch.save(read_again, "grams")
         small = read_again.join(large, "bundle", "left_anti").groupBy("bundle").applyInPandas(whole, "sig long, root long")
         regions = _dealt(read_again.join(F.broadcast(large), "bundle"), large, percent)
         dealt = regions.groupBy("bundle", "region").applyInPandas(whole, "sig long, root long")
-        found = components(small.unionByName(dealt).select(F.col("sig").alias("a"), F.col("root").alias("b")), scratch, "inner")
-        found = found.withColumnRenamed("node", "sig")
-    found = found.where("sig <> root").withColumnRenamed("root", "linked")
-    return rows.drop("keys", "sketch").join(found, "sig", "left").withColumn("root", F.coalesce("linked", "sig")).drop("linked")
+        links = components(small.unionByName(dealt).select(F.col("sig").alias("a"), F.col("root").alias("b")), scratch, "inner")
+        links = links.withColumnRenamed("node", "sig")
+    links = links.where("sig <> root").withColumnRenamed("root", "linked")
+    return rows.drop("keys", "sketch").join(links, "sig", "left").withColumn("root", F.coalesce("linked", "sig")).drop("linked")
 
 
 def _dealt(grams: DataFrame, large: DataFrame, percent: int, pivots: int = 16) -> DataFrame:
