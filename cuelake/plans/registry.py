@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import speech_queries, text_queries
+from . import numeric_queries, speech_queries, text_queries
 
-_PARTS = (speech_queries, text_queries)
+_PARTS = (speech_queries, text_queries, numeric_queries)
 
 
 def queries() -> dict:
