@@ -40,5 +40,20 @@ j AS (SELECT x.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fa
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND q >= 0.5 AS kept FROM j"""
 
 
+def jaccard_join_sql(k: int = 4, percent: int = 85) -> str:
+    """Links by counting shared n-grams of all pairs that share one, components by a recursive query."""
+    upper = "".join(map(chr, range(65, 91)))
+    return rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT rid, array_to_string(w[i:i + {k - 1}], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - {k - 1}, 1) + 1)) AS u(i) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+c AS (SELECT x.rid AS a, y.rid AS b, count(*) AS shared FROM g x JOIN g y ON x.g = y.g AND x.rid < y.rid GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM c JOIN n p ON p.rid = a JOIN n q ON q.rid = b WHERE 100 * shared >= {percent} * (p.n + q.n - shared)),
+s AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.first_id AS component_id
+FROM d LEFT JOIN n ON n.rid = d.rid JOIN (SELECT r.a, min(o.doc_id) AS first_id FROM r JOIN d o ON o.rid = r.b GROUP BY r.a) m ON m.a = d.rid"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": quality_rules_sql()}
+    return {"op2_jaccard_join": jaccard_join_sql(), "op9_quality_rules": quality_rules_sql()}
