@@ -48,7 +48,7 @@ def smart_join_text(spark, d):
 
 @query("clean_token", r"SELECT doc_id, regexp_replace(left(text, 200), '[^\p{L}\p{N}'']', '', 'g') AS cleaned FROM documents")
 def clean_token(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.clean_token(F.left("text", F.lit(200))).alias("cleaned"))
+    return table(spark, d, "documents").select("doc_id", T.clean_token(F.col("text")).alias("cleaned"))
 
 
 @query("tokenize_general", r"SELECT item_id, CAST(len(t) AS INTEGER) AS n_tokens, t[1] AS first_token, t[-1] AS last_token FROM (SELECT item_id, regexp_extract_all(regexp_replace(text, '[^\p{L}\p{N}''\s]', '', 'g'), '[^\s]+') AS t FROM benchmark)")
