@@ -177,8 +177,7 @@ def alignment_shift(spark, d):
 @query("character_errors", f"WITH {UTTERANCES_SQL}, t AS (SELECT rec_id, pos, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM utterances), p AS (SELECT rec_id, pos, left(text, 60) AS a, left(lag(text) OVER (PARTITION BY rec_id ORDER BY pos), 60) AS b FROM t) SELECT rec_id, CAST(sum(levenshtein(a, b)) AS BIGINT) AS edits, CAST(sum(length(b)) AS BIGINT) AS chars FROM p WHERE b IS NOT NULL GROUP BY rec_id")
 def character_errors(spark, d):
     w = Window.partitionBy("rec_id").orderBy("pos")
-    t = utterances(spark, d).withColumn("text", F.regexp_replace("text", "[^ -~]", ""))
-    p = t.select("rec_id", F.left("text", F.lit(60)).alias("a"), F.left(F.lag("text").over(w), F.lit(60)).alias("b")).where("b is not null")
+    p = utterances(spark, d).select("rec_id", F.col("text").alias("a"), F.lag("text").over(w).alias("b")).where("b is not null")
     return p.groupBy("rec_id").agg(F.sum(F.levenshtein("a", "b")).alias("edits"), F.sum(F.length("b")).alias("chars"))
 
 

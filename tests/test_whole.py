@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
 import unicodedata
 
 import pytest
 
+from cuelake.functions.decoding import edits
 from cuelake.plans import registry
 
 
@@ -24,3 +26,13 @@ def test_clean_token_keeps_the_whole_text(run):
     texts = ["it's é 你好, 1½! " * 90, "x" * 199 + "-y", "", None]
     got = {r["doc_id"]: r["cleaned"] for r in run("clean_token", "documents", "doc_id long, text string", list(enumerate(texts)))}
     assert got == {i: t and "".join(c for c in t if unicodedata.category(c)[0] in "LN" or c == "'") for i, t in enumerate(texts)}
+
+
+def test_character_errors_of_whole_texts(run):
+    r = random.Random(1)
+    text = lambda n: "".join(r.choice("abé你 𝄞ñ.") for _ in range(n))
+    base = text(200)
+    texts = [base, base[:150] + "é" + base[151:], base[:150] + "e" + base[151:], text(300), "", None, text(90)]
+    got = run("character_errors", "conversations", "conv_id long, turn int, role string, text string", [(1, i, "a", t) for i, t in enumerate(texts)] + [(2, 0, "a", "alone")])
+    whole = [t or "" for t in texts]
+    assert [(x["rec_id"], x["edits"], x["chars"]) for x in got] == [(1, sum(map(edits, whole[1:], whole)), sum(map(len, whole[:-1])))]
