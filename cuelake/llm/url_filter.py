@@ -7,8 +7,10 @@ the chance after ``k - 1`` bytes as its prior, and a context is used only if it
 no rule fits is allowed if its length-normalised log-likelihood difference reaches a threshold, which is calibrated on a fifth of the
 ruled urls that the counts leave out.
 
-Counts cover all ruled urls. They are kept in ``2 ** BITS`` places for each order, so the models have the same size
-whatever the input, and that bounds what is collected and broadcast.
+Counts cover all ruled urls and are exact: a table has a row for each distinct run of ``ORDER`` + 1 bytes, which holds the counts
+of all orders, as a lower order's are sums over its suffixes. The table grows with the input and is never collected. Only orders 0 and 1, at
+most 257 * 256 rows whatever the input, are broadcast; the others are worked out where runs with the same last context bytes meet. Urls
+are dealt into blocks of ``BLOCK``, and a block fetches the difference of each run that it has once.
 
 A null url, or one without ``://``, has empty host and path, and no rule fits; it scores 0 if null or empty. Without ruled
 urls of both kinds the threshold is 0 and all differences are 0: such urls are allowed. Repeated rows are judged alike; an empty
@@ -17,15 +19,19 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import Scratch, read
 
-#: Highest order, places of an order's counts, sightings that a context needs, weight of the lower order.
-ORDER, BITS, LEAST, SMOOTH = 5, 16, 3, 1.5
+#: Highest order, sightings that a context needs, weight of the lower order.
+ORDER, LEAST, SMOOTH = 5, 3, 1.5
+#: Bits of a byte in a run (0: before the url's start), orders that are broadcast, urls of a block.
+WIDE, LOW, BLOCK = 9, 1, 4096
 #: Bins of the calibration histogram, over differences from -SPAN to SPAN nats a byte.
 BINS, SPAN = 4000, 4.0
 
@@ -63,57 +69,119 @@ class Rules:
         return best[2], best[3]
 
 
-def _places(urls: list[str | None]):
-    """For all bytes of the urls: their url's number, and for each order the places of context and of context with the byte."""
+def _grams(urls: list[str | None]) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """For all bytes of the urls: their url's number, and the run of the byte and the ORDER before it. The lengths of the urls are between."""
     raws = [(u or "").encode("utf-8", "replace") for u in urls]
-    of = np.repeat(np.arange(len(raws)), [len(r) for r in raws])
-    data = np.frombuffer(b"".join(raws), np.uint8).astype(np.uint64)
-    starts = np.concatenate([[0], np.cumsum([len(r) for r in raws])])[:-1]
-    at = np.arange(len(data)) - starts[of] if len(data) else np.zeros(0, int)
-    context, mask = np.zeros(len(data), np.uint64), np.uint64((1 << BITS) - 1)
-    mix = lambda x: ((x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)) & mask
-    out = []
-    for k in range(ORDER + 1):
-        if k:  # bytes before the url's start are zeros
-            back = np.zeros(len(data), np.uint64)
-            back[k:] = data[:-k] if k < len(data) else back[k:]
-            back[at < k] = 0
-            context = context * np.uint64(257) + back + np.uint64(1)
-        salted = context * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
-        out.append((mix(salted).astype(np.int64), mix((salted ^ (data + np.uint64(7))) * np.uint64(0x94D049BB133111EB)).astype(np.int64)))
-    return of, [len(r) for r in raws], out
+    lengths = [len(r) for r in raws]
+    of = np.repeat(np.arange(len(raws)), lengths)
+    data = np.frombuffer(b"".join(raws), np.uint8).astype(np.int64) + 1
+    at = np.arange(len(data)) - (np.cumsum([0, *lengths])[:-1])[of]
+    grams = data.copy()
+    for k in range(1, ORDER + 1):
+        back = np.zeros(len(data), np.int64)
+        back[k:] = data[:-k]
+        back[at < k] = 0
+        grams |= back << (WIDE * k)
+    return of, lengths, grams
+
+
+def _order(grams, k: int):
+    """The runs' last ``k`` + 1 bytes."""
+    return grams & ((1 << WIDE * (k + 1)) - 1)
+
+
+def _sums(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Sums of counts [kind, row] over each wanted key."""
+    if not len(keys):
+        return np.zeros((2, len(wanted)))
+    known, of = np.unique(keys, return_inverse=True)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return np.stack([np.bincount(of, c, len(known))[at] * (known[at] == wanted) for c in counts])
+
+
+def _chances(p: np.ndarray, wanted: np.ndarray, grams: np.ndarray, counts: np.ndarray, orders: range) -> np.ndarray:
+    """P(byte | accepted) and P(byte | rejected) of wanted runs by these orders; ``p`` by the order before."""
+    for k in orders:
+        n, m = (_sums(_order(grams, k) >> w, counts, _order(wanted, k) >> w) for w in (WIDE, 0))
+        p = np.where(n >= LEAST, (m + SMOOTH * p) / (n + SMOOTH), p)
+    return p
+
+
+def _even(n: int) -> np.ndarray:
+    return np.full((2, n), 1 / 256)
 
 
 class Models:
-    """Counts [accepted or rejected, order, context or n-gram, place]."""
+    """Counts [accepted or rejected, row] of runs; all of them, or the last bytes up to order LOW with ``table``, which has all (gram, accepted, rejected)."""
 
-    def __init__(self, counts: np.ndarray | None = None, threshold: float = 0.0):
-        self.counts = np.zeros((2, ORDER + 1, 2, 1 << BITS), np.int64) if counts is None else counts
-        self.threshold = threshold
+    def __init__(self, grams: np.ndarray | None = None, counts: np.ndarray | None = None, threshold: float = 0.0, table: DataFrame | None = None, scratch: Scratch | None = None):
+        self.grams = np.zeros(0, np.int64) if grams is None else grams
+        self.counts = np.zeros((2, 0), np.int64) if counts is None else counts
+        self.threshold, self.table, self.scratch = threshold, table, scratch
 
     def add(self, urls: list[str], kinds: list[int]) -> None:
-        of, _, places = _places(urls)
-        kind = np.array(kinds, int)[of] if len(of) else np.zeros(0, int)
-        for k, pair in enumerate(places):
-            for j, p in enumerate(pair):
-                for c in (0, 1):
-                    self.counts[c, k, j] += np.bincount(p[kind == c], minlength=1 << BITS)
+        of, _, grams = _grams(urls)
+        kind = np.array(kinds, np.int64)[of] if len(of) else np.zeros(0, np.int64)
+        both = np.concatenate([self.counts, np.stack([kind == 0, kind == 1])], axis=1)
+        self.grams, at = np.unique(np.concatenate([self.grams, grams]), return_inverse=True)
+        self.counts = np.stack([np.bincount(at, c, len(self.grams)).astype(np.int64) for c in both])
+
+    def fitted(self) -> bool:
+        return bool(self.counts.any(axis=1).all())
 
     def differences(self, urls: list[str | None]) -> np.ndarray:
         """Mean of log P(byte | accepted) - log P(byte | rejected) over each url's bytes."""
-        of, lengths, places = _places(urls)
-        if not self.counts[0, 0, 0].any() or not self.counts[1, 0, 0].any():
+        of, lengths, grams = _grams(urls)
+        if not self.fitted():
             return np.zeros(len(urls))
-        log = []
-        for c in (0, 1):
-            p = np.full(len(of), 1 / 256)
-            for k, (context, gram) in enumerate(places):
-                n, m = self.counts[c, k, 0][context], self.counts[c, k, 1][gram]
-                p = np.where(n >= LEAST, (np.minimum(m, n) + SMOOTH * p) / (n + SMOOTH), p)
-            log.append(np.log(p))
+        log = np.log(_chances(_even(len(grams)), grams, self.grams, self.counts, range(ORDER + 1)))
         return np.bincount(of, log[0] - log[1], minlength=len(urls)) / np.maximum(lengths, 1)
 
 
+def _scored(rows: DataFrame, models: Models) -> DataFrame:
+    """``rows``, whose last column is url, with score, the mean difference over the url's bytes."""
+    schema = rows.withColumn("score", F.lit(0.0)).schema
+    if not models.fitted():
+        return rows.withColumn("score", F.lit(0.0))
+    dealt = models.scratch.save(rows.withColumn("__deal", F.expr(f"monotonically_increasing_id() div {BLOCK}")), f"dealt-{uuid.uuid4().hex[:8]}")
+    shared = rows.sparkSession.sparkContext.broadcast((models.grams, models.counts))  # 257 * 256 rows at most
+
+    def used(batches):
+        for b in batches:
+            of, _, grams = _grams(b.column(1).to_pylist())
+            deals = b.column(0).to_numpy()
+            for d in np.unique(deals):
+                mine = np.unique(grams[(deals == d)[of]])
+                yield pa.RecordBatch.from_pydict({"deal": pa.array(np.full(len(mine), d), pa.int64()), "gram": pa.array(mine, pa.int64())})
+
+    def differ(wanted: pa.Table, counted: pa.Table) -> pa.Table:
+        grams = wanted["gram"].to_numpy()
+        counts = np.stack([counted[c].to_numpy() for c in ("accepted", "rejected")]) if counted.num_rows else np.zeros((2, 0))
+        p = _chances(_even(len(grams)), grams, *shared.value, range(LOW + 1))
+        log = np.log(_chances(p, grams, counted["gram"].to_numpy() if counted.num_rows else np.zeros(0, np.int64), counts, range(LOW + 1, ORDER + 1)))
+        return pa.table({"gram": pa.array(grams, pa.int64()), "difference": pa.array(log[0] - log[1], pa.float64())})
+
+    def score(urls: pa.Table, runs: pa.Table) -> pa.Table:
+        if not urls.num_rows:
+            return schema_table([[]] * len(schema))
+        of, lengths, grams = _grams(urls.column(urls.num_columns - 2).to_pylist())
+        total = np.zeros(urls.num_rows)
+        if len(grams):
+            known, first = np.unique(runs["gram"].to_numpy(), return_index=True)
+            total = np.bincount(of, runs["difference"].to_numpy()[first][np.searchsorted(known, grams)], minlength=urls.num_rows)
+        return schema_table([*urls.columns[:-1], pa.array(total / np.maximum(lengths, 1), pa.float64())])
+
+    names = schema.names
+
+    def schema_table(columns: list) -> pa.Table:
+        return pa.Table.from_arrays(columns, names=names)
+
+    seen = dealt.select("__deal", "url").mapInArrow(used, "deal long, gram long")
+    last = lambda df: df.groupBy(F.shiftright(F.col("gram"), WIDE).bitwiseAND((1 << WIDE * (LOW + 1)) - 1).alias("last"))
+    worth = last(seen.select("gram").distinct()).cogroup(last(models.table)).applyInArrow(differ, "gram long, difference double")
+    return dealt.groupBy("__deal").cogroup(seen.join(worth, "gram").groupBy("deal")).applyInArrow(score, schema)
+
+
 def _ruled(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """url, kind (0 accepted, 1 rejected) and calibrates, of every url that a rule fits."""
 
@@ -133,30 +201,25 @@ def _ruled(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 
 
 def fit(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> Models:
-    ruled = _ruled(pages, rules)
+    ruled, scratch = _ruled(pages, rules), Scratch(pages.sparkSession, "url_filter")
 
     def count(batches):
-        models = Models()
         for b in batches:
+            models = Models()
             models.add(b.column(0).to_pylist(), b.column(1).to_pylist())
-        flat = models.counts.reshape(2, -1)
-        at = np.flatnonzero(flat.any(axis=0))
-        yield pa.RecordBatch.from_pydict({"place": pa.array(at, pa.int32()), "accepted": pa.array(flat[0, at], pa.int64()), "rejected": pa.array(flat[1, at], pa.int64())})
-
-    counted = ruled.where(~F.col("calibrates")).select("url", "kind").mapInArrow(count, "place int, accepted long, rejected long")
-    got = counted.groupBy("place").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")).toArrow()  # 2 * (ORDER + 1) * 2 ** BITS rows at most
-    models = Models()
-    flat = models.counts.reshape(2, -1)
-    flat[0, got["place"].to_numpy()], flat[1, got["place"].to_numpy()] = got["accepted"].to_numpy(), got["rejected"].to_numpy()
-    shared = pages.sparkSession.sparkContext.broadcast(models)
-
-    def bins(batches):
-        for b in batches:
-            d = shared.value.differences(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_pydict({"bin": pa.array(np.clip((d + SPAN) / (2 * SPAN) * BINS, 0, BINS - 1).astype(int), pa.int32()), "kind": b.column(1)})
+            yield pa.RecordBatch.from_pydict({"gram": pa.array(models.grams, pa.int64()), "accepted": pa.array(models.counts[0], pa.int64()), "rejected": pa.array(models.counts[1], pa.int64())})
+
+    def sums(df, gram):
+        return df.groupBy(gram.alias("gram")).agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
+
+    counted = ruled.where(~F.col("calibrates")).select("url", "kind").mapInArrow(count, "gram long, accepted long, rejected long")
+    table = scratch.save(sums(counted, F.col("gram")), "counts")
+    low = sums(table, F.col("gram").bitwiseAND((1 << WIDE * (LOW + 1)) - 1)).toArrow()  # 257 * 256 rows at most
+    models = Models(low["gram"].to_numpy(), np.stack([low["accepted"].to_numpy(), low["rejected"].to_numpy()]), table=table, scratch=scratch)
 
     hist = np.zeros((2, BINS), np.int64)
-    for r in ruled.where("calibrates").select("url", "kind").mapInArrow(bins, "bin int, kind int").groupBy("bin", "kind").agg(F.count(F.lit(1)).alias("n")).collect():
+    binned = F.least(F.greatest(F.floor((F.col("score") + SPAN) / (2 * SPAN) * BINS), F.lit(0)), F.lit(BINS - 1)).cast("int")
+    for r in _scored(ruled.where("calibrates").select("kind", "url"), models).groupBy(binned.alias("bin"), "kind").agg(F.count(F.lit(1)).alias("n")).collect():
         hist[r["kind"], r["bin"]] = r["n"]
     if hist.sum(axis=1).all():
         # below the threshold: rejected; the sum of both error rates is least
@@ -169,24 +232,23 @@ def fit(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> Models:
 
 def judge(pages: DataFrame, models: Models, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """``pages`` without html, with host, path, rule, verdict and score (the difference)."""
-    shared = pages.sparkSession.sparkContext.broadcast(models)
+    threshold = models.threshold
     rest = [c for c in pages.columns if c not in ("html", "url", "host", "path", "rule", "verdict", "score")]
     named = ["url", "host", "path", "rule", "verdict"]
     schema = pages.select(*(F.col(f"`{c}`") for c in rest), *(F.lit(None).cast("string").alias(n) for n in named), F.lit(None).cast("double").alias("score")).schema
 
     def run(batches):
-        known, m = Rules(rules), shared.value
+        known = Rules(rules)
         for b in batches:
-            urls = b.column(len(rest)).to_pylist()
-            score = m.differences(urls)
+            urls, score = b.column(len(rest)).to_pylist(), b.column(len(rest) + 1).to_numpy()
             split = [parts(u) for u in urls]
             found = [known.match(*x) for x in split]
-            verdicts = [v or ("allow" if s >= m.threshold else "block") for (_, v), s in zip(found, score)]
+            verdicts = [v or ("allow" if s >= threshold else "block") for (_, v), s in zip(found, score)]
             columns = (urls, [h for h, _ in split], [p for _, p in split], [r for r, _ in found], verdicts)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, pa.string()) for c in columns), pa.array(score, pa.float64())], names=[*rest, *named, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *(pa.array(c, pa.string()) for c in columns), pa.array(score, pa.float64())], names=[*rest, *named, "score"])
 
-    out = pages.select(*(F.col(f"`{c}`") for c in rest), F.col("url").cast("string")).mapInArrow(run, schema)
-    return out
+    urls = pages.select(*(F.col(f"`{c}`") for c in rest), F.col("url").cast("string").alias("url"))
+    return _scored(urls, models).mapInArrow(run, schema)
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
