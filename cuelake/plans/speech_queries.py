@@ -133,7 +133,9 @@ def speaker_count_frames(spark, d):
 def top_count_reconstruct(spark, d):
     a = _frames(spark, d).groupBy("frame", "user_id").agg(F.max("v").alias("v"))
     w = Window.partitionBy("frame").orderBy(F.desc("v"), "user_id")
-    return a.withColumn("place", F.row_number().over(w)).where("place <= 2").select("frame", "user_id", "v", "place")
+    # the count of speaker_count_frames; a window over the frame alone, so frames aren't shuffled again
+    n = F.rint(F.sum(F.when(F.col("v") > 50_000, 1).otherwise(0)).over(Window.partitionBy("frame")).cast("double") / 2).cast("int")
+    return a.withColumns({"place": F.row_number().over(w), "n_speakers": n}).where("place <= n_speakers").select("frame", "user_id", "v", "place")
 
 
 @query("token_loop_breaker", f"WITH {UTTERANCES_SQL}, {_WORDS}, o AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY pos, k) AS n FROM w), m AS (SELECT *, list(word) OVER (PARTITION BY rec_id ORDER BY n ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS l FROM o) SELECT rec_id, CAST(n AS INTEGER) AS n, word, n > 15 AND len(list_distinct(l)) <= 12 AS loops FROM m")

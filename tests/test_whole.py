@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import unicodedata
+from datetime import UTC, datetime
 
 import pytest
 
@@ -36,3 +37,22 @@ def test_character_errors_of_whole_texts(run):
     got = run("character_errors", "conversations", "conv_id long, turn int, role string, text string", [(1, i, "a", t) for i, t in enumerate(texts)] + [(2, 0, "a", "alone")])
     whole = [t or "" for t in texts]
     assert [(x["rec_id"], x["edits"], x["chars"]) for x in got] == [(1, sum(map(edits, whole[1:], whole)), sum(map(len, whole[:-1])))]
+
+
+def test_top_count_reconstruct_keeps_the_counted_speakers(run):
+    minute = lambda m: datetime(2024, 1, 1, m // 60, m % 60)
+    r = random.Random(2)
+    rows = [(i, minute(r.randrange(60)), r.randrange(12), r.choice([10.0, 60.5, 80.25, 99.0])) for i in range(150)] + [(150, minute(59), 3, None), (151, minute(90), 4, 60.5), (152, minute(91), 5, 99.0)]
+    active: dict = {}
+    for _, ts, user, value in rows:
+        for frame in range(int(ts.replace(tzinfo=UTC).timestamp()) // 60, int(ts.replace(tzinfo=UTC).timestamp()) // 60 + 10):
+            users = active.setdefault(frame, {})
+            users[user] = max((v for v in (users.get(user), None if value is None else round(value * 1000)) if v is not None), default=None)
+    counts = {f: round(sum(v is not None and v > 50_000 for v in users.values()) / 2) for f, users in active.items()}
+    assert {0, 1, 3} <= set(counts.values())
+    want = []
+    for f, users in active.items():
+        ordered = sorted(users, key=lambda u: (users[u] is None, -(users[u] or 0), u))
+        want += [(f, u, users[u], k + 1) for k, u in enumerate(ordered[: counts[f]])]
+    got = run("top_count_reconstruct", "events", "event_id long, ts timestamp_ntz, user_id int, value double", rows)
+    assert sorted((x["frame"], x["user_id"], x["v"], x["place"]) for x in got) == sorted(want)
