@@ -147,7 +147,7 @@ def token_loop_breaker(spark, d):
 
 @query("merge_languages", "WITH l AS (SELECT doc_id // 10 AS rec_id, doc_id AS pos, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE lang END AS lang FROM documents), n AS (SELECT *, lag(lang) OVER (PARTITION BY rec_id ORDER BY pos) AS p FROM l WHERE trim(coalesce(lang, '')) <> '') SELECT rec_id, string_agg(lang, ',' ORDER BY pos) AS languages FROM n WHERE p IS NULL OR p <> lang GROUP BY rec_id")
 def merge_languages(spark, d):
-    l = table(spark, d, "documents").select(F.expr("doc_id div 10").alias("rec_id"), F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 7 == 0, " ").otherwise(F.col("lang")).alias("lang"))
+    l = table(spark, d, "documents").select(F.expr("doc_id div 10").alias("rec_id"), F.col("doc_id").alias("pos"), "lang")
     return timeline.merge_languages(l, ["rec_id"], "pos", "lang")
 
 

@@ -56,3 +56,9 @@ def test_top_count_reconstruct_keeps_the_counted_speakers(run):
         want += [(f, u, users[u], k + 1) for k, u in enumerate(ordered[: counts[f]])]
     got = run("top_count_reconstruct", "events", "event_id long, ts timestamp_ntz, user_id int, value double", rows)
     assert sorted((x["frame"], x["user_id"], x["v"], x["place"]) for x in got) == sorted(want)
+
+
+def test_merge_languages_drops_only_blanks(run):
+    langs = ["fr", "en", "en", None, "en", "de", " ", "de", "", "fr"] + ["es", "it"] * 5
+    got = run("merge_languages", "documents", "doc_id long, lang string", list(enumerate(langs)))
+    assert {x["rec_id"]: x["languages"] for x in got} == {0: "fr,en,de,fr", 1: ",".join(["es", "it"] * 5)}
