@@ -66,7 +66,7 @@ def speaker_prefix_split(spark, d):
 
 @query("collapse_char_runs")
 def collapse_char_runs(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.length(T.collapse_runs(F.col("text"))).alias("n_chars"))
+    return table(spark, d, "documents").select("doc_id", F.length(T.fix_repetitions(F.col("text"))).alias("n_chars"))
 
 
 _RAW = [("language Chinese<asr_text>你好", None), ("language None<asr_text>", None), ("plain words", None), ("language ENGLISH<asr_text>hi there", None), ("<asr_text>only", None), ("language german<asr_text>ja", "french"), ("", None)]

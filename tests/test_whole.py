@@ -7,7 +7,9 @@ import unicodedata
 from datetime import UTC, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from cuelake.functions import text as T
 from cuelake.functions.decoding import edits
 from cuelake.plans import registry
 
@@ -62,3 +64,35 @@ def test_merge_languages_drops_only_blanks(run):
     langs = ["fr", "en", "en", None, "en", "de", " ", "de", "", "fr"] + ["es", "it"] * 5
     got = run("merge_languages", "documents", "doc_id long, lang string", list(enumerate(langs)))
     assert {x["rec_id"]: x["languages"] for x in got} == {0: "fr,en,de,fr", 1: ",".join(["es", "it"] * 5)}
+
+
+def fixed(s: str) -> str:
+    """Repetitions fixed character by character: over 20 of one, then patterns of up to 20 that come 20 times or more."""
+    out, i = "", 0
+    while i < len(s):
+        n = next((k for k in range(i, len(s)) if s[k] != s[i]), len(s)) - i
+        out, i = out + (s[i] if n > 20 else s[i : i + n]), i + n
+    s, out, i = out, "", 0
+    while i < len(s):
+        for k in range(1, 21):
+            if len(s) - i >= max(40, 20 * k) and s[i : i + 20 * k] == s[i : i + k] * 20:
+                out, end = out + s[i : i + k], i + 20 * k
+                while s[end : end + k] == s[i : i + k]:
+                    end += k
+                i = end
+                break
+        else:
+            out, i = out + s[i], i + 1
+    return out
+
+
+def test_repeated_patterns_are_fixed(spark, run):
+    r = random.Random(3)
+    texts = ["ab" * 30, "x" + "ab" * 19, "a" * 20, "a" * 20 + "b" * 19, "a" * 20 + "bc" * 10, "a" * 21 + "é", "你好𝄞\n" * 25 + "end", "abcdefghijklmnopqrst" * 21, "abcdefghijklmnopqrstu" * 25, "ab" * 50_000, ""]
+    for _ in range(150):
+        texts.append("".join("".join(r.choice("ab") for _ in range(r.randint(1, 22))) * r.choice([1, 1, 18, 19, 20, 21, 40]) for _ in range(r.randint(1, 5))))
+    got = {x["doc_id"]: x["n_chars"] for x in run("collapse_char_runs", "documents", "doc_id long, text string", list(enumerate(texts)))}
+    assert got == {i: len(fixed(t)) for i, t in enumerate(texts)}
+    language, text = T.parse_transcript(F.col("raw"))
+    raws = spark.createDataFrame([(i, f"language german<asr_text>{t}.") for i, t in enumerate(texts)], "i int, raw string").select("i", language.alias("l"), text.alias("t")).collect()
+    assert {x["i"]: (x["l"], x["t"]) for x in raws} == {i: ("German", fixed(f"language german<asr_text>{t}.").removeprefix("language german<asr_text>")) for i, t in enumerate(texts)}
