@@ -148,18 +148,18 @@ def split_translation(text: str, start: int, duration: int) -> list[tuple[int, i
 
 
 def split_oversize(text: str, most: int) -> list[str]:
-    """Words wrapped at spaces; a text without spaces is sliced."""
+    """Words wrapped at spaces; a text without spaces is sliced. Further spaces stay inside a line and go where a line begins."""
     if len(text) <= most:
         return [text] if text else []
     if " " not in text:
         return [text[i : i + most] for i in range(0, len(text), most)]
     lines: list[str] = []
     for w in text.split(" "):
-        if lines and len(lines[-1]) + 1 + len(w) <= most:
-            lines[-1] += " " + w
+        if lines and (not lines[-1] or len(lines[-1]) + 1 + len(w) <= most):
+            lines[-1] = f"{lines[-1]} {w}" if lines[-1] else w
         else:
             lines.append(w)
-    return [x for x in lines if x]
+    return [x for x in lines if x] or [text]
 
 
 _LINE = "start_ms long, end_ms long, text string, speaker string"

@@ -274,10 +274,10 @@ def route_files(spark, d):
 
 @query("split_oversize", "SELECT item_id, replace(text, chr(10), ' ') AS text FROM benchmark WHERE NOT contains(replace(text, chr(10), ' '), '  ')")
 def split_oversize(spark, d):
-    """Wrapped lines joined by spaces are the text again."""
-    @F.pandas_udf("string")
+    """The wrapped lines of every item, and those joined by spaces; null: null. Line breaks become spaces first."""
+    @F.pandas_udf("array<string>")
     def wrapped(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: " ".join(segment.split_oversize(t, 48)))
+        return texts.map(lambda t: None if t is None else segment.split_oversize(t, 48))
 
-    t = table(spark, d, "benchmark").select("item_id", F.regexp_replace("text", "\n", " ").alias("text")).where(~F.contains("text", F.lit("  ")))
-    return t.select("item_id", wrapped("text").alias("text"))
+    t = table(spark, d, "benchmark").select("item_id", wrapped(F.regexp_replace("text", "\n", " ")).alias("lines"))
+    return t.select("item_id", F.array_join("lines", " ").alias("text"), "lines")

@@ -96,3 +96,26 @@ def test_repeated_patterns_are_fixed(spark, run):
     language, text = T.parse_transcript(F.col("raw"))
     raws = spark.createDataFrame([(i, f"language german<asr_text>{t}.") for i, t in enumerate(texts)], "i int, raw string").select("i", language.alias("l"), text.alias("t")).collect()
     assert {x["i"]: (x["l"], x["t"]) for x in raws} == {i: ("German", fixed(f"language german<asr_text>{t}.").removeprefix("language german<asr_text>")) for i, t in enumerate(texts)}
+
+
+def test_split_oversize_of_every_row(run):
+    def lines(t: str) -> list[str]:
+        """The reference's way."""
+        out, line = [], ""
+        for w in t.split(" "):
+            longer = f"{line} {w}" if line else w
+            if len(longer) > 48 and line:
+                out, line = [*out, line], w
+            else:
+                line = longer
+        return [*out, line] if line else out or [t]
+
+    r = random.Random(4)
+    texts = [None, "", "a  b", "a\n\nb", " " * 60, "x" * 100, "w" * 60 + "  y", *("".join(r.choice(["ab", "c" * 9, " ", " ", "\n", "d" * 50]) for _ in range(60)) for _ in range(80))]
+    want = {0: (None, None), 1: ("", []), 5: ("x" * 48 + " " + "x" * 48 + " " + "x" * 4, ["x" * 48, "x" * 48, "x" * 4])}
+    for i, t in enumerate(texts):
+        if i not in want:
+            one = lines(t.replace("\n", " "))
+            want[i] = (" ".join(one), one)
+    got = {x["item_id"]: (x["text"], x["lines"]) for x in run("split_oversize", "benchmark", "item_id long, text string", list(enumerate(texts)))}
+    assert got == want
