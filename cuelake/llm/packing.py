@@ -1,9 +1,11 @@
 """Packing of documents into sequences by hierarchical residual best fit.
 
 Each partition packs its pieces by best fit, largest first. Bins that are full, or nearly so, are sequences. The bins
-with room left become the items of the next round, which packs them on an eighth of the partitions, and so on up a
-tree until one partition is left, or merging would give a task over ``MOST_ITEMS`` items. Each round is a written
-table, so a lost executor costs only a reread.
+with room left become the items of the next round, which packs those of eight tasks in one, and so on up a tree until one
+task is left, at every size. Best fit leaves at most one bin of half the capacity or less in a task, and two fuller ones never fit
+together; so the eight tasks that merge have eight bins at most that can still be joined to others, and a task sends at most eight bins
+of each fill up the tree. The others could not be joined in any later round, and a task has 8 * 8 bins of a fill at most. Each round is
+a written table, so a lost executor costs only a reread.
 
 Null text counts as empty: a document of the end id alone. Null doc_ids and repeated rows are packed as rows of their
 own. An empty table gives an empty result. Other columns of the input are ignored.
@@ -12,6 +14,7 @@ own. An empty table gives an empty result. Other columns of the input are ignore
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +25,13 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import Scratch, read
 
-#: Room that a nearly full bin may have, partitions that merge into one, items of a task in a merging round.
-NEARLY, FAN_IN, MOST_ITEMS = 2, 8, 50_000
+#: Room that a nearly full bin may have, tasks that merge into one.
+NEARLY, FAN_IN = 2, 8
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 FIELDS = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 MEMBERS = [*FIELDS, ("offset", pa.int64())]
-BIN = f"bin_id long, fill long, members array<struct<{PIECE}, offset long>>"
+BIN = f"bin_id long, fill long, goes_on boolean, members array<struct<{PIECE}, offset long>>"
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -90,8 +93,11 @@ def _bins(sizes: np.ndarray, of: np.ndarray, members: list[pa.Array], capacity:
     at = np.cumsum(length) - length
     columns.append(pa.array(at - np.repeat(at[starts[:-1]], counts), pa.int64()))
     lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(pa.struct(MEMBERS))))
-    fill = pa.array([int(sizes[b].sum()) for b in packed], pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(range(first_id, first_id + len(packed)), pa.int64()), fill, lists], names=["bin_id", "fill", "members"])
+    fill, goes_on, of_fill = [int(sizes[b].sum()) for b in packed], [], Counter()
+    for f in fill:
+        of_fill[f] += 1
+        goes_on.append(f < capacity - NEARLY and of_fill[f] <= FAN_IN)
+    return pa.RecordBatch.from_arrays([pa.array(range(first_id, first_id + len(packed)), pa.int64()), pa.array(fill, pa.int64()), pa.array(goes_on, pa.bool_()), lists], names=["bin_id", "fill", "goes_on", "members"])
 
 
 def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None, scratch: Scratch | None = None) -> DataFrame:
@@ -118,18 +124,14 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str
 
     small = cut_up.where(F.col("length") < capacity)
     bins = scratch.save(small.mapInArrow(first_round, BIN), "round0")
-    rounds, tasks, k = [], bins.select(F.shiftright("bin_id", 32)).distinct().count(), 0
-    while True:
-        has_room = F.col("fill") < capacity - NEARLY
-        left = bins.where(has_room).count()
-        fewer = max(-(-tasks // FAN_IN), -(-left // MOST_ITEMS), 1)
-        if not left or fewer >= tasks:
-            rounds.append(bins)
-            break
-        rounds.append(bins.where(~has_room))
-        k, tasks = k + 1, fewer
-        merged = bins.where(has_room).select("fill", "members").repartition(fewer).mapInArrow(later_round(k), BIN)
-        bins = scratch.save(merged, f"round{k}")
+    task = F.shiftright("bin_id", 32).bitwiseAND((1 << 24) - 1).cast("int")
+    rounds, tasks, k = [], (bins.agg(F.max(task)).first()[0] or 0) + 1, 0
+    while tasks > 1:
+        rounds.append(bins.where(~F.col("goes_on")))
+        k, tasks = k + 1, -(-tasks // FAN_IN)
+        up = bins.where("goes_on").repartitionById(tasks, F.floor(task / FAN_IN).cast("int"))
+        bins = scratch.save(up.select("fill", "members").mapInArrow(later_round(k), BIN), f"round{k}")
+    rounds.append(bins)
     out = rounds[0]
     for more in rounds[1:]:
         out = out.unionByName(more)
