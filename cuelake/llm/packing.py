@@ -66,16 +66,14 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str) -> DataFrame:
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches):
-        encode = tokens.encoder(vocabulary).encode
+        encoder = tokens.encoder(vocabulary)
         for batch in batches:
-            rows: list[list] = [[] for _ in FIELDS]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
-                ids += end
-                for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                    for col, x in zip(rows, (doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]))):
+            ids, at = tokens.with_end(*encoder.encode_array(batch.column(1)), end_id)
+            raw, rows = memoryview(ids.astype("<u4").tobytes()), [[] for _ in FIELDS]
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), at.tolist(), at[1:].tolist()):
+                for k, (start, length) in enumerate(cut(b - a, capacity)):
+                    for col, x in zip(rows, (doc_id, k, start, length, zlib.crc32(raw[4 * (a + start) : 4 * (a + start + length)]))):
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(rows, FIELDS)], names=[n for n, _ in FIELDS])
 

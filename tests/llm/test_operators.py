@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,12 +89,16 @@ def test_jaccard_filter_keeps_one_of_each_group(docs, empty):
     assert jaccard_join.filter_documents(empty).count() == 0
 
 
+def whole_ids(library: tokens.Encoder, text: str | None) -> bytes:
+    return np.append(library.whole(text or ""), 2).astype("<u4").tobytes()
+
+
 def test_packing_against_the_library(docs, empty):
     pieces = packing.pack(docs, capacity=64).collect()
     library = tokens.Encoder(tokens.default_path())
     want = []
     for r in sample():
-        ids = library.whole(r[1] or "") + b"\2\0\0\0"
+        ids = whole_ids(library, r[1])
         want += [(r[0], k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(packing.cut(len(ids) // 4, 64))]
     assert key(tuple(p)[:5] for p in pieces) == key(want)
     by = {}
@@ -108,16 +113,42 @@ def test_token_files(docs, empty, spark, tmp_path):
     token_files.write(docs, str(tmp_path / "a"))
     got = [tuple(r) for r in token_files.scan(spark, str(tmp_path / "a")).collect()]
     library = tokens.Encoder(tokens.default_path())
-    encoded = {i: library.whole(r[1] or "") + b"\2\0\0\0" for i, r in enumerate(sample())}
+    encoded = {i: whole_ids(library, r[1]) for i, r in enumerate(sample())}
     assert key((g[0], g[2], g[3]) for g in got) == key((r[0], len(encoded[i]) // 4, zlib.crc32(encoded[i])) for i, r in enumerate(sample()))
     at, last = 0, -1
     for g in sorted(got, key=lambda g: g[1]):
         assert g[1] == at and (g[0] is None or g[0] >= last)
         at, last = at + g[2], last if g[0] is None else g[0]
+    again = str(tmp_path / "c")
+    token_files.write(docs.repartition(5), again)
+    assert key(tuple(r) for r in token_files.scan(spark, again).collect()) == key(got)  # whatever the order of the rows, repeated doc_ids too
     token_files.write(empty, str(tmp_path / "b"))
     assert token_files.scan(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_token_files_of_one_hot_doc_id(spark, tmp_path):
+    rows = [(7 if i % 3 else None if i % 2 else i, prose(5)) for i in range(400)]
+    token_files.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), str(tmp_path / "h"))
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_files.scan(spark, str(tmp_path / "h")).collect())
+    library = tokens.Encoder(tokens.default_path())
+    want = [(d, whole_ids(library, t)) for d, t in rows]
+    assert key((d, len(x) // 4, zlib.crc32(x)) for d, x in want) == key(g[1:] for g in got)
+    order = [g[1] for g in got]
+    assert order == sorted(order, key=lambda d: (d is not None, d or 0)) and [g[0] for g in got] == [0, *np.cumsum([g[2] for g in got])[:-1].tolist()]
+    parts = {r["part"] for r in spark.read.parquet(str(tmp_path / "h")).select("part").collect()}
+    assert len(parts) == 4  # two thirds of the rows have one doc_id
+
+
+def test_op10_reads_back_what_the_library_gives(spark):
+    sf = "/root/testdata/sf0.001"
+    library, at, want = tokens.Encoder(tokens.default_path()), 0, []
+    for r in sorted(spark.read.parquet(f"{sf}/documents.parquet").collect(), key=lambda r: r["doc_id"]):
+        x = whole_ids(library, r["text"])
+        want.append((r["doc_id"], at, len(x) // 4, zlib.crc32(x)))
+        at += len(x) // 4
+    assert sorted(tuple(r) for r in token_files.op10_token_files(spark, sf).collect()) == want
+
+
 def test_sharding(docs, empty):
     rows = sharding.shard(docs, 3).collect()
     assert key((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == key((r[0], len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in sample())

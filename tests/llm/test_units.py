@@ -101,13 +101,17 @@ def test_best_fit():
     assert packing.cut(2500, 1024) == [(0, 452), (452, 1024), (1476, 1024)] and packing.cut(1024, 1024) == [(0, 1024)] and packing.cut(2048, 1024) == [(0, 1024), (1024, 1024)]
 
 
-def test_encoder_gives_the_librarys_ids():
+def test_encoder_gives_the_librarys_ids(monkeypatch):
     e = tokens.Encoder(tokens.default_path())
-    bits = ["a", "é", "  ", " ", "\n", " \n", "don't", "12", "!!", "\t", "　", "\x1c", "\x85", "​", " <|endoftext|>", "日本", "x y z", "Ġ", "\xa0"]
+    bits = ["a", "é", "  ", " ", "\n", " \n", "don't", "12", "!!", "\t", "　", "\x1c", "\x85", "​", " <|endoftext|>", "日本", "x y z", "Ġ", "\xa0", "\n\n", "\r\n", "\n ", ".\nFür", ","]
     for k in range(400):
         r = random.Random(k)
         text = "".join(r.choice(bits) for _ in range(r.randint(0, 14)))
-        assert e.encode([text, None]) == [e.whole(text), b""]
+        assert e.encode([text, None]) == [e.whole(text).tobytes(), b""]
+    texts = ["".join(random.Random(k).choice(bits) for _ in range(k % 40)) for k in range(400)]
+    monkeypatch.setattr(tokens, "SLICE", 700)  # many slices
+    monkeypatch.setattr(tokens, "KEEP", 300)  # and forgetting between them
+    assert e.encode(texts) == [e.whole(t).tobytes() for t in texts] and e.encode([]) == []
 
 
 def test_segment_round_trip_and_random_access():
@@ -117,7 +121,11 @@ def test_segment_round_trip_and_random_access():
     flat = np.concatenate(docs)
     assert (seg.tokens() == flat).all() and seg.valid.tolist() == [True, False] + [True] * 7
     assert all(seg.token(i) == flat[i] for i in range(len(flat)))
-    assert (seg.document(4) == docs[4]).all()
+    assert all((seg.document(k) == d).all() and seg.document(k).dtype == np.dtype("<u4") for k, d in enumerate(docs))
+    ends = sorted(r.randint(0, len(flat)) for _ in range(60))
+    assert all((seg.span(a, b) == flat[a:b]).all() for a in ends for b in ends)
+    two = [d.astype("<u2") for d in docs]
+    assert (token_files.Segment(token_files.write_segment([None] * 9, [d.tobytes() for d in two], "<u2")).tokens() == np.concatenate(two)).all()
     with pytest.raises(IndexError):
         seg.token(len(flat))
 
