@@ -7,10 +7,12 @@ a linear model with hinge loss is fitted to the scaled indicators by dual coordi
 logistic curve to the share of the classes among all labels.
 
 Fitting takes at most ``SAMPLE`` labelled texts of each class, those with the smallest hash of doc_id; the labels chosen are
-broadcast (their number is bounded), so the texts are not shuffled. Scoring takes every text whole.
+broadcast (their number is bounded), so the texts of other documents are not shuffled. Of documents with the same doc_id one teaches, the
+one whose text has the least hash, so the driver gets at most ``2 * SAMPLE`` sets of places. Scoring takes every text whole, however long.
 
 Null or empty text has the feature "empty" alone. Rows with null doc_id or null label aren't learned from, but are
-scored. Without labels of both classes the score is the smoothed share of label 1. Repeated rows are scored alike.
+scored. A label that is given twice counts once; a doc_id with both labels teaches both. Without labels of both classes the score is the
+smoothed share of label 1. Repeated rows are scored alike. An empty table gives an empty result. A column named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 def shape(word: str) -> str:
     """Lower-case runs to ``a``, capitals to ``A`` (one) or ``AA`` (more), digits to ``0``; other signs at most twice."""
     out, last = [], ""
-    for c in word[:40]:
+    for c in word:
         k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if k == last and (k in "a0" or len(out) > 1 and out[-2] == k):
             continue
@@ -140,7 +142,7 @@ def fit(rows: list[np.ndarray], labels: list[int], share: float) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
     """Fits to ``labels`` (doc_id, ``label`` 0/1), texts from ``docs`` (doc_id, text)."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").distinct()
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     chosen = None
@@ -148,6 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = some if chosen is None else chosen.unionByName(some)
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    # the map side keeps one text of each label; a doc_id of many rows stays one row
+    joined = joined.groupBy("y", "doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def run(batches):
         for b in batches:
