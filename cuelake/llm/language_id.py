@@ -6,11 +6,12 @@ rectifier and a linear layer to a softmax over the languages. A text's probabili
 letters.
 
 Training takes about ``SAMPLE`` texts of each language (those whose hash of doc_id is below that language's share, at most twice
-as many), and of each text ``PER_TEXT`` windows spread over its length; all bounds are parameters. Prediction takes every
-text whole, in batches of windows of a fixed size.
+as many) and all windows of each; the bound on texts is a parameter. The driver gets one row for each language and the texts
+chosen. Prediction takes every text whole, however long, in batches of windows of a fixed size.
 
 Null text or text without a letter gives ``und`` with score 0; so does every text if there is nothing to learn from.
-Rows with null doc_id or language aren't learned from. Repeated rows are predicted alike.
+Rows with null doc_id or language aren't learned from. Repeated rows are predicted alike; of ties the first language wins. An empty table
+gives an empty result. Columns named lang_pred or score are replaced, all others but text are kept.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-WINDOW, WIDTHS, FILTERS, SAMPLE, PER_TEXT, BATCH = 128, (2, 3, 4), 16, 250, 6, 1024
+WINDOW, WIDTHS, FILTERS, SAMPLE, BATCH = 128, (2, 3, 4), 16, 250, 1024
 LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -135,7 +136,7 @@ class Network:
         return out
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, per_text: int = PER_TEXT) -> Network:
+def fit(docs: DataFrame, sample: int = SAMPLE) -> Network:
     """Trains on ``docs`` (doc_id, text, lang)."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null and text is not null and lang is not null")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -151,9 +152,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, per_text: int = PER_TEXT) -> Netw
             langs, ids, raws = [], [], []
             for lang, doc_id, text in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if LETTER.search(text):
-                    w = windows(text)
-                    at = np.unique(np.linspace(0, len(w) - 1, per_text).round().astype(int))
-                    langs.append(lang), ids.append(doc_id), raws.append(w[at].tobytes())
+                    langs.append(lang), ids.append(doc_id), raws.append(windows(text).tobytes())
             yield pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "doc_id": pa.array(ids, pa.int64()), "raw": pa.array(raws, pa.binary())})
 
     got = chosen.select("lang", "doc_id", "text").mapInArrow(run, "lang string, doc_id long, raw binary").limit(2 * sample * len(languages)).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
