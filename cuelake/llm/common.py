@@ -20,10 +20,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, one machine) a temporary folder takes its place.
+    Only where that is unset and the master is local, so that one machine is all there is, a temporary folder takes its place.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='cuelake-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -45,12 +47,11 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str | None = None) -> None:
-        try:
-            jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-            path.getFileSystem(conf).delete(path, True)
-        except Exception:  # the session may be over already; then its folder is the cluster's to clean
-            pass
+        if self.spark.sparkContext._jsc is None:  # the session is over; then its folder is the cluster's to clean
+            return
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def scalar(df: DataFrame):

@@ -158,12 +158,20 @@ def test_sharding(docs, empty):
     assert sharding.shard(empty, 3).count() == 0
 
 
-def test_sharding_splits_only_groups_over_half_a_share(spark):
-    texts = ["hot " * 50] * 400 + ["warm"] * 3 + [prose(30) for _ in range(200)]
+@pytest.mark.parametrize("items", [sharding.ITEMS, 12])
+def test_sharding_keeps_all_groups_whole_that_fit_a_shard(spark, monkeypatch, items):
+    monkeypatch.setattr(sharding, "ITEMS", items)  # few: several levels of partial partitions
+    texts = ["hot " * 50] * 400 + ["0.6 of a share " * 4] * 280 + ["warm"] * 3 + [prose(30) for _ in range(500)]
     rows = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 6).collect()
     load = [sum(r["size"] for r in rows if r["shard"] == s) for s in range(6)]
-    assert max(load) - min(load) < 0.01 * sum(load)
-    assert len({r["shard"] for r in rows if r["doc_id"] in (400, 401, 402)}) == 1
+    assert len(rows) == len(texts) and max(load) - min(load) < 0.02 * sum(load)
+    share = sum(load) / 6
+    groups: dict = {}
+    for r in rows:
+        groups.setdefault(texts[r["doc_id"]], []).append(r)
+    sizes = {t: sum(r["size"] for r in g) for t, g in groups.items()}
+    assert sizes["hot " * 50] > share and 0.5 * share < sizes["0.6 of a share " * 4] < share
+    assert all(len({r["shard"] for r in g}) == 1 for t, g in groups.items() if sizes[t] <= share)
 
 
 def brute_stats(text: str | None) -> tuple:
@@ -205,6 +213,8 @@ def test_quality_classifier(docs, empty, spark):
     labels = spark.createDataFrame([(i, int(i not in (10, 11)), 0) for i in range(14)] + [(None, 1, 0), (5, None, 0), (77, 1, 1)], "doc_id long, quality int, toxic int")
     scored = quality_classifier.score(docs, quality_classifier.train(docs, labels))
     assert sorted(scored.columns) == sorted(docs.columns) and scored.where("score between 0 and 1").count() == len(sample())
+    twice = quality_classifier.train(docs.unionByName(docs).unionByName(docs.where("doc_id = 3").withColumn("text", F.lit("other"))), labels.unionByName(labels))
+    assert twice.weights is not None and (quality_classifier.train(docs, labels).weights == quality_classifier.train(docs.unionByName(docs), labels.unionByName(labels)).weights).all()
     none = quality_classifier.train(docs, labels.where("false"))
     assert {r["score"] for r in quality_classifier.score(docs, none).collect()} == {0.5}
     assert quality_classifier.score(empty, none).count() == 0
@@ -217,6 +227,15 @@ def test_language_id(docs, empty):
     assert {r["lang_pred"] for r in language_id.predict(docs, language_id.fit(empty)).collect()} == {"und"}
 
 
+def test_language_id_learns_from_all_windows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_id.Network, "train", lambda self, x, y: seen.append((x, y)))
+    texts = [prose(3000), prose(900), "short", None, "12 34"]
+    language_id.fit(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string"))
+    want = np.concatenate([language_id.windows(t) for t in texts[:3]])
+    assert sorted(map(bytes, seen[0][0])) == sorted(map(bytes, want)) and (seen[0][1] == 0).all()
+
+
 def test_decontamination(docs, empty, spark):
     item = sample()[0][1]
     bench = spark.createDataFrame([(1, prose(30)), (2, docs.where("doc_id = 12").first()["text"]), (3, None), (4, "")], "item_id long, text string")

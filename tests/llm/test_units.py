@@ -81,15 +81,34 @@ def test_ngrams():
     assert not (jj.ngrams("É a b c", 4) == jj.ngrams("é a b c", 4)).all()
 
 
+def plain_differencing(sizes: list[int], k: int) -> list[int]:
+    """Sorted sums by Karmarkar-Karp differencing, with whole lists searched at each step."""
+    parts = [[0] * (k - 1) + [s] for s in sizes]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[0] - p[-1])
+        a, b = parts.pop(0), parts.pop(0)
+        parts.append(sorted(x + y for x, y in zip(a, b[::-1])))
+    return parts[0]
+
+
 def test_differencing():
     r = random.Random(4)
     sizes = [r.randint(1, 1000) for _ in range(500)]
     to, totals = sharding.differencing(sizes, 24)
     assert max(totals) - min(totals) <= 3
     assert [sum(s for s, t in zip(sizes, to) if t == k) for k in range(24)] == totals
-    to, totals = sharding.differencing(sizes, 3, [50_000, 0, 0])
-    assert max(totals) - min(totals) <= 2 and totals[0] == 50_000 + sum(s for s, t in zip(sizes, to) if t == 0)
-    assert sharding.differencing([], 4)[0] == []
+    for k in (2, 3, 5):
+        few = [round(1.7**i) for i in range(12)]  # no two spreads are equal, so there is one answer
+        assert sharding.differencing(few, k)[1] == plain_differencing(few, k)
+    parts = [sharding.differencing(sizes[i::5], 7)[1] for i in range(5)]
+    to, totals = sharding.combine([*parts, [4], [9]], 7)
+    assert all(sorted(x) == list(range(7)) for x in to[:5]) and max(totals) - min(totals) <= 9
+    sums = [0.0] * 7
+    for part, x in zip([*parts, [4], [9]], to):
+        for y, t in zip(part, x):
+            sums[t] += y
+    assert sums == totals
+    assert sharding.differencing([], 4)[0] == [] and sharding.combine([[3.0, 1.0]], 2)[1] == [1.0, 3.0]
 
 
 def test_best_fit():
@@ -157,6 +176,8 @@ def test_classifier():
     m = quality_classifier.fit(rows, labels, 0.75)
     assert all(m.score(quality_classifier.features(good())) > 0.5 > m.score(quality_classifier.features(bad())) for _ in range(20))
     assert quality_classifier.fit(rows[1:3], [1, 1], 0.9).score(rows[0]) == pytest.approx(0.9)
+    long = "x" * 39 + "A1b2" * 10
+    assert quality_classifier.shape(long) == "a" + "A0a0" * 10 and quality_classifier.shape("aaB9" + "é" * 99 + "!!!!") == "aA0a!!"
     assert quality_classifier.features(None).tolist() == quality_classifier.features(" ").tolist() == [0]
 
 
