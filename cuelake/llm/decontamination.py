@@ -1,19 +1,27 @@
 """Benchmark decontamination by BM25 retrieval with block-max WAND.
 
-The test items are indexed, items over ``ENTRY`` words in segments. Every training text is cut into passages of ``2 * ENTRY``
-words with a step of ``ENTRY``, so that each run of up to ``ENTRY`` words is whole in some passage. Each passage is a query; an entry
-is retrieved if its BM25 score is at least ``THRESHOLD`` of what it scores against itself. Term weights
+The test items are indexed, items over ``ENTRY`` words in segments, which are the index's entries. Every training text is cut into passages
+of ``2 * ENTRY`` words with a step of ``ENTRY``, so that each run of up to ``ENTRY`` words is whole in some passage. Each passage is a query;
+an entry is retrieved if its BM25 score is at least ``THRESHOLD`` of what it scores against itself. Term weights
 use the passage frequencies of the index's terms over all training texts (a first pass; its result has one row for
 each term of the index).
 
-Retrieval prunes twice, and exactly. Frequent terms whose weights can't bring any entry near the threshold are set
-aside; a passage is looked at only if its other terms, plus all that those set aside can add, reach the threshold for some entry. Such passages go
-through block-max WAND. What it retrieves is verified: at least ``OVERLAP`` of the three-word runs of the item's question
-(its first part) and of its answer (its last sentence, or last third) must be in the passage.
+Retrieval is block-max WAND for every passage, and exact. Its lists are those of the essential terms: frequent terms of little weight are set
+aside, as long as they can't add more than ``ASIDE`` of the threshold to any entry, and the lists need only reach the rest. The first
+choice of a pivot is made for all passages of a batch at once; most passages have none, which ends their search. An entry that is
+retrieved scores with all terms.
 
-Items go to indexes of at most ``INDEX`` entries, one pass over the texts for each, so an index has a bound whatever the size of
-the benchmark. Null or empty texts and items match nothing. Rows with a null doc_id are searched too; repeated rows give
-repeated results. An empty table on either side gives no hits. Extra columns are kept by ``filter_documents``.
+What is retrieved is verified against the item itself: at least ``OVERLAP`` of the three-word runs of its question
+(its first part) and of its answer (its last sentence, or last third) must be there: in the passage if the item is one entry; else
+in the words around the passage, as many on each side as the item has. So part of a long item without its answer is no leak.
+
+Entries are numbered, and an index takes ``INDEX`` of them (and the whole of an item whose entries it shares). Indexes are searched one after the
+other, each in one pass whose result is written, so the driver and a task hold one index at a time, whatever the size of
+the benchmark.
+
+Null or empty texts and items match nothing; texts of any length are searched whole. Rows with a null doc_id are searched too; repeated
+rows give repeated results; a null item_id stays null, and rows of the benchmark that repeat an item_id are items of their own. Of passages of equal score the first is
+reported. An empty table on either side gives no hits. ``filter_documents`` keeps all columns, whatever their names; ``find`` ignores all but doc_id and text.
 """
 
 from __future__ import annotations
@@ -21,19 +29,23 @@ from __future__ import annotations
 import itertools
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import Scratch, read
 
 ENTRY, THRESHOLD, OVERLAP, INDEX, BLOCK = 64, 0.6, 0.5, 20_000, 16
 #: Share of the threshold that the terms set aside may add to an entry.
 ASIDE = 0.5
 K1, B = 1.2, 0.75
+#: What the essential terms of an entry that is retrieved give at least.
+LOW = THRESHOLD * (1 - ASIDE) - 1e-9
 #: ASCII letters (lower-cased), digits and all bytes beyond ASCII make words; other bytes part them.
 _PARTS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -55,60 +67,66 @@ def question_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     return all_words[:-k], all_words[-k:]
 
 
+def entries(n_words: int) -> int:
+    return -(-n_words // ENTRY)
+
+
 def runs(ids: list[int], n: int = 3) -> set:
     return {tuple(ids[i : i + n]) for i in range(max(1, len(ids) - n + 1))} if ids else set()
 
 
 class Index:
-    """Inverted index of test items' entries; ``weigh`` makes the weights."""
+    """Inverted index of entries ``low`` to ``high`` (without it) of the items (item_id, text, number of its first entry); ``weigh`` makes the weights."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple], low: int = 0, high: float = float("inf")):
         self.terms: dict[bytes, int] = {}
-        self.item: list[int] = []
+        self.item: list[int] = []  # of each entry, its item's number
         self.entries: list[list[int]] = []
-        self.parts: list[tuple[set, set]] = []
-        for item_id, text in items:
+        self.item_id: list[int | None] = []
+        self.parts: list[tuple[set, set]] = []  # of each item, the runs of question and answer
+        self.reach: list[int] = []  # of each item, the words beside a passage that may hold the rest
+        first = 0
+        for item_id, text, *at in items:
+            first = at[0] if at else first
             question, answer = question_answer(text or "")
             ids = [self.terms.setdefault(w, len(self.terms)) for w in question + answer]
-            n = -(-len(ids) // ENTRY)
+            n = entries(len(ids))
             for k in range(n):
-                a, b = k * len(ids) // n, (k + 1) * len(ids) // n
-                cut = min(max(len(question), a), b) if n == 1 else a + 2 * (b - a) // 3
-                self.item.append(item_id)
-                self.entries.append(ids[a:b])
-                self.parts.append((runs(ids[a:cut]), runs(ids[cut:b])))
+                if low <= first + k < high:
+                    self.item.append(len(self.item_id))
+                    self.entries.append(ids[k * len(ids) // n : (k + 1) * len(ids) // n])
+            first += n
+            self.item_id.append(item_id)
+            self.parts.append((runs(ids[: len(question)]), runs(ids[len(question) :])))
+            self.reach.append(len(ids) if n > 1 else 0)
 
     def weigh(self, frequency: np.ndarray, passages: int) -> None:
         """``frequency``: of each term, the passages that have it."""
-        self.frequency = frequency
         idf = np.log(1 + (passages - frequency + 0.5) / (frequency + 0.5)) + 1e-6
         mean = sum(map(len, self.entries)) / max(1, len(self.entries))
         postings = defaultdict(list)
+        self.weight: list[dict[int, float]] = []  # of each entry, by term
         for e, ids in enumerate(self.entries):
             terms, counts = np.unique(ids, return_counts=True)
             w = idf[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * len(ids) / mean))
-            for t, x in zip(terms.tolist(), (w / w.sum()).tolist()):
+            self.weight.append(dict(zip(terms.tolist(), (w / w.sum()).tolist())))
+            for t, x in self.weight[-1].items():
                 postings[t].append((e, x))
-        self.docs = [[e for e, _ in postings[t]] for t in range(len(self.terms))]
-        self.weights = [[x for _, x in postings[t]] for t in range(len(self.terms))]
-        self.block_max = [[max(w[i : i + BLOCK]) for i in range(0, len(w), BLOCK)] for w in self.weights]
-        self.most = [max(w, default=0.0) for w in self.weights]
-        aside, room = np.zeros(len(self.terms), bool), np.full(len(self.entries), ASIDE * THRESHOLD)
+        docs = [[e for e, _ in postings[t]] for t in range(len(self.terms))]
+        weights = [[x for _, x in postings[t]] for t in range(len(self.terms))]
+        aside, room = np.zeros(len(self.terms) + 1, bool), np.full(len(self.entries), ASIDE * THRESHOLD)
         for t in np.argsort(-frequency, kind="stable").tolist():
-            d, w = self.docs[t], np.array(self.weights[t])
+            d, w = docs[t], np.array(weights[t])
             if (room[d] >= w).all():
                 room[d] -= w
                 aside[t] = True
-        self.added = ASIDE * THRESHOLD - room  # by the terms set aside, to each entry
-        keep = [t for t in range(len(self.terms)) if not aside[t]]
-        self.first = np.full(len(self.terms) + 1, -1)  # the last is for unknown words
-        self.count = np.zeros(len(self.terms) + 1, int)
-        at = 0
-        for t in keep:
-            self.first[t], self.count[t] = at, len(self.docs[t])
-            at += len(self.docs[t])
-        self.flat_docs = np.array([e for t in keep for e in self.docs[t]], np.int64)
-        self.flat_weights = np.array([x for t in keep for x in self.weights[t]], np.float64)
+        self.added = (ASIDE * THRESHOLD - room).tolist()  # at most, by the terms set aside, to each entry
+        # the lists of the essential terms; what is empty needs no list. The last place is for unknown words
+        self.docs = [[] if aside[t] else docs[t] for t in range(len(self.terms))]
+        self.weights = [[] if aside[t] else weights[t] for t in range(len(self.terms))]
+        self.block_max = [[max(w[i : i + BLOCK]) for i in range(0, len(w), BLOCK)] for w in self.weights]
+        self.most = [max(w, default=0.0) for w in self.weights]
+        self.most_of = np.array([*self.most, 0.0])
 
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Term ids of all words of all texts (-1: not in the index), and where each text starts."""
@@ -134,25 +152,18 @@ class Index:
         keys = pd.unique(np.concatenate([p[known & (p >= 0)] * len(self.terms) + flat[known & (p >= 0)] for p in (p1, p2)]))
         return np.bincount(keys % max(1, len(self.terms)), minlength=len(self.terms)), int(n.sum())
 
-    def promising(self, flat: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
-        """Passages that may reach the threshold for some entry."""
-        n = self.count[flat]
-        at = np.flatnonzero(n)
-        take = np.repeat(at, n[at])
-        inside = np.arange(len(take)) - np.repeat(np.cumsum(n[at]) - n[at], n[at])
-        post = self.first[flat[take]] + inside
-        e, w = self.flat_docs[post], self.flat_weights[post]
-        keys = np.concatenate([p1[take] * len(self.entries) + e, p2[take] * len(self.entries) + e])
-        w = np.concatenate([w, w])
-        ok = np.concatenate([p1[take] >= 0, p2[take] >= 0])
-        keys, w = keys[ok], w[ok]
-        found, back = np.unique(keys, return_inverse=True)
-        total = np.bincount(back, w, minlength=len(found)) + self.added[found % len(self.entries)]
-        return np.unique(found[total >= THRESHOLD - 1e-9] // len(self.entries))
+    def reaching(self, flat: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
+        """Passages for which the first choice of a pivot finds one: the most that all their lists can give reaches the threshold."""
+        at = np.flatnonzero(self.most_of[flat] > 0)
+        size = len(self.terms) + 1
+        keys = pd.unique(np.concatenate([p[at][p[at] >= 0] * size + flat[at][p[at] >= 0] for p in (p1, p2)]))
+        passage = keys // size
+        found, back = np.unique(passage, return_inverse=True)
+        return found[np.bincount(back, self.most_of[keys % size], len(found)) >= LOW]
 
     def wand(self, query: list[int]) -> list[tuple[int, float]]:
         """Block-max WAND: (entry, score) of all entries whose score reaches the threshold. ``query``: distinct terms."""
-        low = THRESHOLD - 1e-9
+        low, terms = LOW, set(query)
         lists = [[self.docs[t][0], 0, t] for t in query if self.docs[t]]  # current entry, place, term
         docs, weights, block_max, most = self.docs, self.weights, self.block_max, self.most
         out = []
@@ -195,14 +206,16 @@ class Index:
                 lists = [x for k, x in enumerate(lists) if k > pivot or advance(x, to)]
             elif lists[0][0] == entry:
                 score = sum(weights[x[2]][x[1]] for x in lists[: pivot + 1])
-                if score >= low:
-                    out.append((entry, score))
+                if score + self.added[entry] >= THRESHOLD - 1e-9:  # else the terms set aside can't make up for the rest
+                    score = sum(w for t, w in self.weight[entry].items() if t in terms)
+                    if score >= THRESHOLD - 1e-9:
+                        out.append((entry, score))
                 lists = [x for k, x in enumerate(lists) if k > pivot or advance(x, entry + 1)]
             else:
                 lists = [x for k, x in enumerate(lists) if k > pivot or advance(x, entry)]
         return out
 
-    def hits(self, texts: list[str | None]) -> list[list[tuple[int, int, float, float, float]]]:
+    def hits(self, texts: list[str | None]) -> list[list[tuple]]:
         """For each text (item_id, first word of the passage, score, question's and answer's overlap), the best passage of each item."""
         out: list[list] = [[] for _ in texts]
         if not self.entries:
@@ -210,31 +223,58 @@ class Index:
         flat, starts = self.ids(texts)
         p1, p2, n, base = self.passages(starts)
         best: dict[tuple[int, int], tuple] = {}
-        for p in self.promising(flat, p1, p2).tolist():
+        for p in self.reaching(flat, p1, p2).tolist():
             text = int(np.searchsorted(base, p, "right")) - 1
             start = int(p - base[text]) * ENTRY
-            ids = flat[starts[text] + start : min(starts[text] + start + 2 * ENTRY, starts[text + 1])].tolist()
-            seen = None
+            a, b = starts[text], starts[text + 1]
+            ids = flat[a + start : min(a + start + 2 * ENTRY, b)].tolist()
+            seen: dict[int, set] = {}
             for e, score in self.wand(sorted({i for i in ids if i >= 0})):
-                seen = seen or (runs(ids) | runs(ids, 1) | runs(ids, 2))
-                question, answer = (len(part & seen) / len(part) if part else 1.0 for part in self.parts[e])
+                item = self.item[e]
+                reach = self.reach[item]
+                if reach not in seen:
+                    around = flat[max(a, a + start - reach) : min(a + start + 2 * ENTRY + reach, b)].tolist() if reach else ids
+                    seen[reach] = runs(around) | runs(around, 1) | runs(around, 2)
+                question, answer = (len(part & seen[reach]) / len(part) if part else 1.0 for part in self.parts[item])
                 if question >= OVERLAP and answer >= OVERLAP:
-                    key, row = (text, self.item[e]), (start, score, question, answer)
+                    key, row = (text, item), (start, score, question, answer)
                     if key not in best or row[1:] > best[key][1:]:
                         best[key] = row
         for (text, item), row in sorted(best.items()):
-            out[text].append((item, *row))
+            out[text].append((self.item_id[item], *row))
         return out
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame) -> list[Index]:
-    """The weighed indexes of ``benchmark`` (item_id, text) against the texts of ``docs``."""
+def numbered(benchmark: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """The items (item_id, text, part, first entry in its part, entries) as a written table, the first entries' offset by part, and how many entries there are."""
+
+    def run(batches):
+        part, at = TaskContext.get().partitionId(), 0
+        for b in batches:
+            n = [entries(len(words(t))) for t in b.column(1).to_pylist()]
+            first = np.cumsum([at, *n])
+            at = int(first[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * len(n), pa.int32()), pa.array(first[:-1], pa.int64()), pa.array(n, pa.int64())], names=["item_id", "text", "part", "first", "n"])
+
+    items = scratch.save(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "item_id long, text string, part int, first long, n long"), "items")
+    total, offset = 0, {}
+    for r in sorted(items.groupBy("part").agg(F.sum("n").alias("n")).collect()):
+        offset[r["part"]], total = total, total + r["n"]
+    at = spark_map(offset)[F.col("part")] if offset else F.lit(0)
+    return items.withColumn("first", F.col("first") + at), total
+
+
+def spark_map(values: dict):
+    return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
+
+
+def indexes(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> Iterator[Index]:
+    """The weighed indexes of ``benchmark`` (item_id, text) against the texts of ``docs``, one after the other."""
+    items, total = numbered(benchmark, scratch)
     spark = docs.sparkSession
-    total = benchmark.count()
-    out = []
-    for k in range(-(-total // INDEX)):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(-(-total // INDEX))) == k)
-        index = Index(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"] or "") for r in part.select(F.col("item_id").cast("long"), F.col("text").cast("string")).collect()))
+    for low in range(0, total, INDEX):
+        part = items.where((F.col("first") < low + INDEX) & (F.col("first") + F.col("n") > low))
+        index = Index([tuple(r) for r in part.select("item_id", "text", "first").orderBy("first").collect()], low, low + INDEX)
         shared = spark.sparkContext.broadcast(index)
 
         def count(batches, shared=shared):
@@ -246,6 +286,7 @@ def indexes(docs: DataFrame, benchmark: DataFrame) -> list[Index]:
             yield pa.RecordBatch.from_pydict({"term": pa.array([-1, *at.tolist()], pa.int32()), "n": pa.array([n, *counts[at].tolist()], pa.int64())})
 
         got = docs.select(F.col("text").cast("string")).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        shared.unpersist()
         frequency, passages = np.zeros(len(index.terms)), 0
         for t, n in zip(got["term"].to_pylist(), got["n"].to_pylist()):
             if t < 0:
@@ -253,37 +294,43 @@ def indexes(docs: DataFrame, benchmark: DataFrame) -> list[Index]:
             else:
                 frequency[t] = n
         index.weigh(frequency, passages)
-        out.append(index)
-    return out
+        yield index
 
 
-def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, item_id, passage (its first word), score, question_overlap, answer_overlap of every leak."""
-    shared = [docs.sparkSession.sparkContext.broadcast(i) for i in indexes(docs, benchmark)]
-    names = ["doc_id", "item_id", "passage", "score", "question_overlap", "answer_overlap"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+    spark, scratch = docs.sparkSession, scratch or Scratch(docs.sparkSession, "decontamination")
+    schema = "doc_id long, item_id long, passage long, score double, question_overlap double, answer_overlap double"
+    names, types = [x.split()[0] for x in schema.split(", ")], [pa.int64()] * 3 + [pa.float64()] * 3
+    out = spark.createDataFrame([], schema)
+    for k, index in enumerate(indexes(docs, benchmark, scratch)):
+        shared = spark.sparkContext.broadcast(index)
 
-    def run(batches):
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            rows = [(d, *h) for s in shared for d, hits in zip(ids, s.value.hits(texts)) for h in hits]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)], names=names)
+        def run(batches, shared=shared):
+            for b in batches:
+                rows = [(d, *h) for d, hits in zip(b.column(0).to_pylist(), shared.value.hits(b.column(1).to_pylist())) for h in hits]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, item_id long, passage long, score double, question_overlap double, answer_overlap double")
+        out = out.unionByName(scratch.save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema), f"hits{k}"))
+        shared.unpersist()
+    return out
 
 
 def filter_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a leak."""
-    shared = [docs.sparkSession.sparkContext.broadcast(i) for i in indexes(docs, benchmark)]
-    at = docs.columns.index("text")
+    """The rows of ``docs`` without a leak; written after each index."""
+    scratch, at = Scratch(docs.sparkSession, "decontamination-filter"), docs.columns.index("text")
+    left = docs
+    for k, index in enumerate(indexes(docs, benchmark, scratch)):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-    def run(batches):
-        for b in batches:
-            texts = b.column(at).cast(pa.string()).to_pylist()
-            leaks = [any(x) for x in zip(*(s.value.hits(texts) for s in shared))] if shared else [False] * len(texts)
-            yield b.filter(pa.array([not x for x in leaks], pa.bool_()))
+        def run(batches, shared=shared):
+            for b in batches:
+                yield b.filter(pa.array([not x for x in shared.value.hits(b.column(at).cast(pa.string()).to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+        left = scratch.save(left.mapInArrow(run, docs.schema), f"left{k}")
+        shared.unpersist()
+        scratch.drop(f"left{k - 1}")
+    return left
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

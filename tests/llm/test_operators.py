@@ -236,11 +236,17 @@ def test_language_id_learns_from_all_windows(spark, monkeypatch):
     assert sorted(map(bytes, seen[0][0])) == sorted(map(bytes, want)) and (seen[0][1] == 0).all()
 
 
-def test_decontamination(docs, empty, spark):
+def test_decontamination(docs, empty, spark, monkeypatch):
     item = sample()[0][1]
     bench = spark.createDataFrame([(1, prose(30)), (2, docs.where("doc_id = 12").first()["text"]), (3, None), (4, "")], "item_id long, text string")
     hits = decontamination.find(docs, bench).collect()
     assert {(h["doc_id"], h["item_id"]) for h in hits} == {(12, 2)}
+    for size in (20, 49):  # several indexes
+        monkeypatch.setattr(decontamination, "INDEX", size)
+        long = spark.createDataFrame([(8, sample()[8][1]), (None, sample()[12][1]), (-1, prose(40)), (2, sample()[12][1])], "item_id long, text string")
+        got = {(h["doc_id"], h["item_id"]) for h in decontamination.find(docs, long).collect()}
+        assert got == {(12, 2), (12, None), (8, 8), (9, 8)}
+        assert decontamination.filter_documents(docs, long).count() == len(sample()) - 3
     assert decontamination.filter_documents(docs, bench).count() == len(sample()) - 1
     assert decontamination.find(empty, bench).count() == 0 == decontamination.find(docs, bench.where("false")).count()
     assert decontamination.filter_documents(docs, bench.where("false")).count() == len(sample()) and item

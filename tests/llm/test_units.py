@@ -23,11 +23,13 @@ def test_wand_retrieves_what_brute_force_does():
     index.weigh(np.array([r.randint(0, 500) for _ in index.terms], float), 1000)
     for _ in range(150):
         q = sorted(set(r.choice(index.entries)) - {r.randrange(60)} | {r.randrange(len(index.terms)) for _ in range(10)})
-        score = [sum(index.weights[t][index.docs[t].index(e)] for t in q if e in index.docs[t]) for e in range(len(index.entries))]
-        assert [e for e, _ in sorted(index.wand(q))] == [e for e, s in enumerate(score) if s >= dc.THRESHOLD - 1e-9]
-        flat = np.array([t for t in q for _ in (0,)] + [-1])
+        score = [sum(index.weight[e].get(t, 0) for t in q) for e in range(len(index.entries))]
+        got = index.wand(q)
+        assert [e for e, _ in sorted(got)] == [e for e, s in enumerate(score) if s >= dc.THRESHOLD - 1e-9]
+        assert all(abs(s - score[e]) < 1e-9 for e, s in got)
+        flat = np.array([*q, -1, -1])
         zero, none = np.zeros(len(flat), int), np.full(len(flat), -1)
-        assert not any(s >= dc.THRESHOLD for s in score) or list(index.promising(flat, zero, none)) == [0]
+        assert not got or list(index.reaching(flat, zero, none)) == [0]
 
 
 def test_hits_find_planted_items_and_near_copies_only():
@@ -45,6 +47,57 @@ def test_hits_find_planted_items_and_near_copies_only():
     assert dc.Index([]).hits(["a b c"]) == [[]]
 
 
+def test_a_leak_of_a_long_item_needs_its_answer():
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    question, answer = [word() for _ in range(280)], [word() for _ in range(20)]
+    item = " ".join(question) + ". " + " ".join(answer)
+    noise = lambda n: " ".join(word() for _ in range(n))
+    texts = [" ".join(question[:70]), noise(100) + " " + " ".join(question), noise(700) + " " + item + " " + noise(900), item, " ".join(answer), noise(90) + " " + " ".join(question[100:]) + " " + " ".join(answer)]
+    index = dc.Index([(None, item), (-1, noise(40))])
+    counts, n = index.counts(texts)
+    index.weigh(counts.astype(float), n)
+    assert [[h[0] for h in x] for x in index.hits(texts)] == [[], [], [None], [None], [], [None]]
+
+
+def brute_hits(index: dc.Index, texts: list[str | None]) -> list[set]:
+    """Every passage scored against every entry, term by term."""
+    out = []
+    for text in texts:
+        ids = [index.terms.get(w, -1) for w in dc.words(text)]
+        found = set()
+        for start in range(0, max(1, len(ids) - dc.ENTRY), dc.ENTRY):
+            passage = ids[start : start + 2 * dc.ENTRY]
+            for e, weight in enumerate(index.weight):
+                if sum(w for t, w in weight.items() if t in passage) >= dc.THRESHOLD - 1e-9:
+                    reach = index.reach[index.item[e]]
+                    around = ids[max(0, start - reach) : start + 2 * dc.ENTRY + reach]
+                    seen = dc.runs(around) | dc.runs(around, 1) | dc.runs(around, 2)
+                    if all(len(p & seen) >= dc.OVERLAP * len(p) for p in index.parts[index.item[e]]):
+                        found.add(index.item[e])
+        out.append(found)
+    return out
+
+
+def test_hits_are_those_of_brute_force():
+    r = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(300)]
+    some = lambda n: [vocabulary[int(300 * r.random() ** 3)] for _ in range(n)]
+    items = [some(r.choice([3, 20, 50, 64, 65, 150, 400])) for _ in range(40)]
+    texts: list = [None, "", " ".join(some(20_000))]
+    for _ in range(40):
+        w = list(r.choice(items))
+        for _ in range(len(w) // r.choice([2, 4, 9, 99])):
+            w[r.randrange(len(w))] = r.choice(vocabulary)
+        a, b = sorted((r.randrange(len(w) + 1), len(w)))
+        texts.append(" ".join(some(r.randrange(150)) + w[a if r.random() < 0.2 else 0 : b] + some(r.randrange(150))))
+    index = dc.Index([(i, " ".join(w)) for i, w in enumerate(items)])
+    counts, n = index.counts(texts)
+    index.weigh(counts.astype(float), n)
+    got = index.hits(texts)
+    assert [{h[0] for h in x} for x in got] == brute_hits(index, texts) and sum(map(len, got)) > 15
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_bundle_join_is_exact(percent):
     r = random.Random(3)
