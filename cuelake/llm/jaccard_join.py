@@ -9,18 +9,23 @@ The distance of two sets is 1 - Jaccard, a metric. The join is in two layers.
   hash class, set if the class has an odd number of n-grams; each n-gram in which two sets differ flips one
   bit, so the sketches' Hamming distance is at most the sets' difference.) What is left joins members to bundles
   (connected components), so that no link is between bundles.
-* In a bundle, pivots are members: distances to a few pivots make Voronoi regions; by the triangle inequality a
-  member must also meet the regions whose pivot is at most twice the radius farther than its own, and pairs whose
-  distances to any pivot differ by more than the radius can't be links. Regions are joined recursively, down to
-  leaves that compare what is left. Members already in one component need no comparison, so copies aren't expanded into pairs.
-
-A bundle over ``LARGE`` bytes is dealt out to tasks by its pivots in the same way, and the tasks' links are joined by
-connected components. Equal sets are one member from the start. What goes to the driver or is broadcast has a fixed
-size (count sketch, Bloom filters) or is a number of pivots.
+* In a bundle, pivots are members: distances to a few pivots make Voronoi regions. By the triangle inequality a linked pair is whole in
+  the region of either's home if each region also takes, as copies, the members whose pivot is at most twice the radius farther than their own. Regions
+  with their copies are joined recursively as long as that makes them smaller. A region that it doesn't is covered by balls: a member's
+  ball is all that is linked with it, and thus one component; from there only the shell, up to twice the radius, can be linked to the ball, and
+  only pairs are compared whose distances to the pivot differ by at most the radius and which no link connects yet. The ball leaves, and
+  the next member left is a pivot. So near copies collapse to one ball and aren't expanded into pairs.
+
+A task joins bundles of up to ``LARGE`` bytes. Larger ones are dealt out to tasks in the same way, in rounds of written tables: members are measured
+against pivots of their region, those in a ball of a pivot are linked to it, and go on to a region only if members that they aren't linked with yet
+are there at a distance from its pivot that the radius allows. Regions in which all are linked end. A region that doesn't get smaller is
+split into blocks of bounded size, and each two blocks meet in a task. The tasks' links are joined by connected components. Equal sets are one member from
+the start. What goes to the driver or is broadcast has a fixed size (count sketch, Bloom filters, at most ``HOT`` keys).
 
 Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; fewer words than ``k``: the sequence is the only n-gram. Null text, or
-text without words: an empty set, linked with nothing. Rows with null doc_id take part; a component of such rows alone has a
-null component_id. Repeated rows are links like other equal texts. An empty table gives an empty result.
+text without words: an empty set, linked with nothing. Texts of any length count whole. Rows with null doc_id take part; a component of such rows alone has a
+null component_id. Repeated rows are links like other equal texts. An empty table gives an empty result. Other columns are ignored
+(``filter_documents`` keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, parallelism, read
 
@@ -41,8 +47,10 @@ from .common import Scratch, parallelism, read
 SKETCH, BLOOM, PARTS = 1 << 20, 1 << 26, 64
 #: Rows from which a region is compared by sketches in its task; smaller regions give pairs.
 DENSE = 8
-#: Members of a leaf; pivots of a region; bytes of a bundle that one task joins.
-LEAF, PIVOTS, LARGE = 48, 6, 48_000_000
+#: Members of a leaf; pivots of a region in a task, and of one that is dealt out; bytes of a bundle that one task joins.
+LEAF, PIVOTS, DEALT, LARGE = 48, 6, 16, 48_000_000
+#: Keys that a skewed join may treat apart.
+HOT = 256
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -182,7 +190,7 @@ class Bundle:
     """The sets of a bundle, with n-grams numbered; those in one set only count for its size alone."""
 
     def __init__(self, sets: list[np.ndarray], percent: int):
-        self.percent = percent
+        self.percent, self.radius = percent, 1 - percent / 100 + 1e-9
         self.size = np.array([len(s) for s in sets], np.int64)
         values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         keep = counts[inverse] > 1
@@ -190,14 +198,22 @@ class Bundle:
         owner = np.repeat(np.arange(len(sets)), self.size)[keep]
         self.flat = number[inverse[keep]]
         self.start = np.searchsorted(owner, np.arange(len(sets) + 1))
-        self.mark = np.zeros(int((counts > 1).sum()) + 1, bool)
+        n_values = int((counts > 1).sum())
+        self.mark = np.zeros(n_values + 1, bool)
+        # members by n-gram
+        order = np.argsort(self.flat, kind="stable")
+        self.holders, self.held = owner[order], np.searchsorted(self.flat[order], np.arange(n_values + 1))
         self.union = Union(len(sets))
 
     def common(self, x: int, ys: np.ndarray) -> np.ndarray:
-        """Intersection sizes of set x with sets ys."""
+        """Intersection sizes of set x with sets ys: by the holders of its n-grams, or by the n-grams of ys, whichever are fewer."""
         own = self.flat[self.start[x] : self.start[x + 1]]
+        n, m = self.start[ys + 1] - self.start[ys], self.held[own + 1] - self.held[own]
+        if m.sum() + len(self.size) < n.sum():
+            first = np.cumsum(m) - m
+            at = np.repeat(self.held[own] - first, m) + np.arange(int(m.sum()))
+            return np.bincount(self.holders[at], minlength=len(self.size))[ys]
         self.mark[own] = True
-        n = self.start[ys + 1] - self.start[ys]
         first = np.cumsum(n) - n
         at = np.repeat(self.start[ys] - first, n) + np.arange(int(n.sum()))
         hit = np.concatenate([[0], np.cumsum(self.mark[self.flat[at]])])
@@ -210,57 +226,44 @@ class Bundle:
     def distance(self, x: int, ys: np.ndarray, both: np.ndarray) -> np.ndarray:
         return 1 - both / np.maximum(1, self.size[x] + self.size[ys] - both)
 
-    def compare(self, xs: np.ndarray, ys: np.ndarray | None = None, table: np.ndarray | None = None, place: dict | None = None) -> None:
-        """Compares xs with ys (each with the later ones of xs, if None), leaving out what can't or needn't be linked."""
-        radius = 1 - self.percent / 100 + 1e-9
-        for i, x in enumerate(xs.tolist()):
-            others = xs[i + 1 :] if ys is None else ys
-            if not len(others):
-                continue
-            roots = self.union.roots() if i % 16 == 0 or len(others) > 256 else self.union.up
-            small, large = np.minimum(self.size[x], self.size[others]), np.maximum(self.size[x], self.size[others])
-            ok = (roots[others] != self.union.find(x)) & (100 * small >= self.percent * large)
-            if table is not None and ok.any():
-                at = place[x]
-                ok &= (np.abs(table[:, [place[y] for y in others.tolist()]] - table[:, [at]]) <= radius).all(axis=0) if len(others) <= 64 else (np.abs(table[:, self.place[others]] - table[:, [at]]) <= radius).all(axis=0)
-            left = others[ok]
-            if len(left):
-                for y in left[self.linked(x, left, self.common(x, left))].tolist():
-                    self.union.join(x, y)
-
-    def join(self, members: np.ndarray, depth: int = 0) -> None:
+    def cover(self, members: np.ndarray) -> None:
+        """Joins members by balls around one after the other."""
+        left = members
+        while len(left) > 1:
+            x, others = int(left[0]), left[1:]
+            both = self.common(x, others)
+            d, inside = self.distance(x, others, both), self.linked(x, others, both)
+            ball, shell = others[inside], others[~inside & (d <= 2 * self.radius)]
+            for y in ball.tolist():
+                self.union.join(x, y)
+            if len(ball) and len(shell):
+                beside = d[~inside & (d <= 2 * self.radius)]
+                for y, own in zip(ball.tolist(), d[inside].tolist()):
+                    ok = (beside - own <= self.radius) & (self.union.roots()[shell] != self.union.find(x))
+                    some = shell[ok]
+                    if len(some):
+                        for z in some[self.linked(y, some, self.common(y, some))].tolist():
+                            self.union.join(y, z)
+            left = others[~inside]
+
+    def join(self, members: np.ndarray) -> None:
         if len(members) <= LEAF:
-            return self.compare(members)
-        pivots, table, nearest = [], [], None
+            return self.cover(members)
+        table, nearest = [], None
         x = int(members[np.argmax(self.size[members])])
         for _ in range(PIVOTS):  # each farthest from those before
-            both = self.common(x, members)
-            d = self.distance(x, members, both)
-            for y in members[self.linked(x, members, both)].tolist():
-                self.union.join(x, y)
-            pivots.append(x)
+            d = self.distance(x, members, self.common(x, members))
             table.append(d)
             nearest = d if nearest is None else np.minimum(nearest, d)
             if nearest.max() <= 1e-12:
                 break
             x = int(members[np.argmax(nearest)])
         table = np.array(table)
-        home, own = table.argmin(axis=0), table.min(axis=0)
-        radius = 1 - self.percent / 100 + 1e-9
-        window = table - own[None, :] <= 2 * radius
-        sizes = [int((home == j).sum()) for j in range(len(table))]
-        if depth > 12 or max(sizes) > 0.9 * len(members) or window.sum() > 3 * len(members):
-            self.place = np.zeros(len(self.size), np.int64)
-            self.place[members] = np.arange(len(members))
-            return self.compare(members, None, table, dict(zip(members.tolist(), range(len(members)))))
-        for j in range(len(table)):
-            core = members[home == j]
-            if len(core):
-                self.join(core, depth + 1)
-        for j in range(len(table)):  # links between regions: what the windows bring to region j from later ones
-            core, guests = members[home == j], members[(home > j) & window[j]]
-            if len(core) and len(guests):
-                self.compare(guests, core) if len(guests) < len(core) else self.compare(core, guests)
+        window = table - nearest[None, :] <= 2 * self.radius  # a member's home is in it
+        if window.sum() > 1.5 * len(members) or window.sum(axis=1).max() > 0.7 * len(members):
+            return self.cover(members)
+        for own in window:
+            self.join(members[own])
 
 
 def join_sets(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -347,9 +350,10 @@ def region_edges(sig: np.ndarray, n: np.ndarray, pos: np.ndarray, sketches: list
 def link(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """uid, doc_id, n_shingles, sig and root of every row of ``docs`` (uid, doc_id, text): equal roots, same component.
 
-    ``docs`` is read more than once: a row must have the same uid each time, as it has in files or a written table."""
+    ``docs`` is read three times. A text that is read again is known by a hash of it, and its set by its signature, so nothing hangs on the order or the
+    split of the rows; uid is only passed on."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("uid").cast("long"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(F.col("uid").cast("long"), F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("hash"))
 
     def sketch(b, counts):
         for t in b.column(0).to_pylist():
@@ -376,9 +380,9 @@ def link(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
                 order = np.lexsort((s, lv[(s >> np.uint64(44)).astype(np.int64)])) if len(s) else np.zeros(0, int)
                 keys.append(s[order[: _window(len(s), percent)]].tobytes() if len(s) else b"")
                 sketches.append(parity(s))
-            yield pa.RecordBatch.from_pydict({"uid": b.column(0), "doc_id": b.column(1), "n_shingles": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.int64()), "keys": pa.array(keys, pa.binary()), "sketch": pa.array(sketches, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"uid": b.column(0), "doc_id": b.column(1), "hash": b.column(3), "n_shingles": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.int64()), "keys": pa.array(keys, pa.binary()), "sketch": pa.array(sketches, pa.binary())})
 
-    rows = scratch.save(docs.mapInArrow(windowed, "uid long, doc_id long, n_shingles long, sig long, keys binary, sketch binary"), "rows")
+    rows = scratch.save(docs.mapInArrow(windowed, "uid long, doc_id long, hash long, n_shingles long, sig long, keys binary, sketch binary"), "rows")
 
     def explode(batches):
         for b in batches:
@@ -469,69 +473,145 @@ def link(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     edges = found.where("sure").select("a", "b").unionByName(checked)
     bundles = scratch.save(components(edges, scratch, "outer").withColumnRenamed("node", "sig").withColumnRenamed("root", "bundle"), "bundles")
 
-    # one row of each member of a bundle is read again for its set
-    members = rows.select("uid", "sig", "n_shingles").join(bundles, "sig").groupBy("sig", "bundle").agg(F.min("uid").alias("uid"), F.first("n_shingles").alias("n"))
+    # one text of each member of a bundle is read again for its set
+    members = rows.select("hash", "sig", "n_shingles").join(bundles, "sig").groupBy("sig", "bundle").agg(F.min("hash").alias("hash"), F.first("n_shingles").alias("n"))
     members = scratch.save(members, "members")
-    wanted = spark.sparkContext.broadcast(bloom(members, "uid"))
+    wanted = spark.sparkContext.broadcast(bloom(members, "hash"))
 
     def sets(batches):
+        sent: set[int] = set()  # equal texts of a task go once
         for b in batches:
             ok = np.flatnonzero(in_bloom(wanted.value, b.column(0).to_numpy().astype(np.int64)))
-            part = b.take(pa.array(ok))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([ngrams(t, k).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["uid", "grams"])
+            new = [i for i, x in zip(ok.tolist(), b.column(0).take(pa.array(ok)).to_pylist()) if x not in sent and not sent.add(x)]
+            if len(sent) > 1_000_000:
+                sent.clear()
+            found = [ngrams(t, k) for t in b.column(1).take(pa.array(new, pa.int64())).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"hash": b.column(0).take(pa.array(new, pa.int64())), "sig": pa.array(map(signature, found), pa.int64()), "grams": pa.array([x.tobytes() for x in found], pa.binary())})
+
+    again = docs.where("text is not null").select("hash", "text").mapInArrow(sets, "hash long, sig long, grams binary")
+    again = again.join(members.select("hash", "sig", "bundle"), ["hash", "sig"])
+    large = members.groupBy("bundle").agg(F.sum(8 * F.col("n")).alias("bytes")).where(F.col("bytes") > LARGE)
+    large = scratch.save(large.select("bundle"), "large")
+    if large.take(1):
+        again = scratch.save(again.dropDuplicates(["sig"]), "grams")
+        small = _whole(again.join(large, "bundle", "left_anti"), ["bundle"], percent)
+        links = _deal(again.join(large, "bundle"), percent, scratch).unionByName(small.where("a <> b"))
+        links = components(links, scratch, "inner").withColumnRenamed("node", "sig").withColumnRenamed("root", "linked")
+    else:
+        links = _whole(again, ["bundle"], percent).select(F.col("a").alias("sig"), F.col("b").alias("linked"))
+    links = scratch.save(links.where("sig <> linked"), "links")
+    for name in ("shared", "pairs", "bundles", "members", "large", "grams"):
+        scratch.drop(name)
+    return _join_skewed(rows.drop("keys", "sketch", "hash"), links, "sig").withColumn("root", F.coalesce("linked", "sig")).drop("linked")
+
+
+def _join_skewed(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """Left join of rows with one value of each key. Keys of over ``1/HOT`` of the rows, less than ``HOT`` of them, are joined by broadcast."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.where(F.col("n") > 1)
+    total = rows.count()
+    hot = [r[0] for r in counts.where(F.col("n") > max(16, total / HOT)).select(key).collect()]
+    if not hot:
+        return rows.join(values, key, "left")
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return rows.where(is_hot).join(F.broadcast(values.where(is_hot)), key, "left").unionByName(rows.where(~is_hot).join(values.where(~is_hot), key, "left"))
+
+
+def _whole(grams: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """(a, b): each member of a group (sig, grams) and its component's first."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("sig").sort_values("sig")
+        sig = pdf["sig"].to_numpy()
+        return pd.DataFrame({"a": sig, "b": sig[join_sets([np.frombuffer(x, np.uint64) for x in pdf["grams"]], percent)]})
 
-    read_again = docs.select("uid", "text").mapInArrow(sets, "uid long, grams binary").join(members, "uid")
-    loads = members.groupBy("bundle").agg(F.sum(8 * F.col("n")).alias("bytes"))
-    large = scratch.save(loads.where(F.col("bytes") > LARGE).select("bundle"), "large")
-    any_large = bool(large.take(1))
+    return grams.groupBy(*keys).applyInPandas(run, "a long, b long")
 
-    def whole(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sig")
-        roots = join_sets([np.frombuffer(x, np.uint64) for x in pdf["grams"]], percent)
-        sig = pdf["sig"].to_numpy()
-        return pd.DataFrame({"sig": sig, "root": sig[roots]})
 
-    if not any_large:
-        links = scratch.save(read_again.groupBy("bundle").applyInPandas(whole, "sig long, root long"), "links")
-    else:
-        read_again = scratch.save(read_again, "grams")
-        small = read_again.join(large, "bundle", "left_anti").groupBy("bundle").applyInPandas(whole, "sig long, root long")
-        regions = _dealt(read_again.join(F.broadcast(large), "bundle"), large, percent)
-        dealt = regions.groupBy("bundle", "region").applyInPandas(whole, "sig long, root long")
-        links = components(small.unionByName(dealt).select(F.col("sig").alias("a"), F.col("root").alias("b")), scratch, "inner")
-        links = links.withColumnRenamed("node", "sig")
-    links = links.where("sig <> root").withColumnRenamed("root", "linked")
-    return rows.drop("keys", "sketch").join(links, "sig", "left").withColumn("root", F.coalesce("linked", "sig")).drop("linked")
-
-
-def _dealt(grams: DataFrame, large: DataFrame, percent: int, pivots: int = 16) -> DataFrame:
-    """Members of large bundles with each region that they must meet: their own, and those in their window."""
+def measure(sig: np.ndarray, raw: list[bytes], pivot_sig: list[int], pivot_raw: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Members against pivots: distances [pivot, member], the window as a mask of the same shape, for each member the component of pivots
+    that it is linked with (-1: none), and the links (member, pivot)."""
     radius = 1 - percent / 100 + 1e-9
-    chosen: dict[int, list[np.ndarray]] = {}
-    for r in large.collect():  # bundles of over LARGE bytes; each gives a few pivots
-        some = grams.where(F.col("bundle") == r["bundle"]).orderBy(F.xxhash64("sig")).limit(pivots).collect()
-        chosen[r["bundle"]] = [np.frombuffer(x["grams"], np.uint64) for x in some]
-    shared = grams.sparkSession.sparkContext.broadcast(chosen)
-
-    def run(batches):
-        for b in batches:
-            at, regions = [], []
-            for i, (bundle, raw) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
-                s = np.frombuffer(raw, np.uint64)
-                d = np.array([1 - (n := len(np.intersect1d(s, p, assume_unique=True))) / max(1, len(s) + len(p) - n) for p in shared.value[bundle]])
-                for j in np.flatnonzero(d - d.min() <= 2 * radius).tolist():
-                    at.append(i)
-                    regions.append(j)
-            part = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(regions, pa.int32())], names=["bundle", "sig", "grams", "region"])
+    sets, pivots = [np.frombuffer(x, np.uint64) for x in raw], [np.frombuffer(x, np.uint64) for x in pivot_raw]
+    size = np.array([len(x) for x in sets], np.int64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+
+    def both(p: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(p, flat), len(p) - 1)
+        return np.bincount(owner[p[at] == flat], minlength=len(sets))
+
+    common = np.array([both(p) for p in pivots])
+    union = np.array([[len(p)] for p in pivots]) + size[None, :] - common
+    distance, linked = 1 - common / union, 100 * common >= percent * union
+    among = Union(len(pivots))
+    for i, p in enumerate(pivots):
+        for j in range(i):
+            n = len(np.intersect1d(p, pivots[j], assume_unique=True))
+            if 100 * n >= percent * (len(p) + len(pivots[j]) - n):
+                among.join(i, j)
+    home = distance.argmin(axis=0)
+    settled = np.where(linked.any(axis=0), among.roots()[linked.argmax(axis=0)], -1)
+    links = [(int(sig[m]), pivot_sig[j]) for j, m in zip(*(x.tolist() for x in np.nonzero(linked)))]
+    return distance, distance - distance[home, np.arange(len(sets))] <= 2 * radius, settled, links
+
+
+def _deal(grams: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that connect each component of the members (bundle, sig, grams) of large bundles."""
+    radius, spark = 1 - percent / 100 + 1e-9, grams.sparkSession
+    work, links, k = grams.select(F.col("bundle").alias("region"), "sig", "grams", F.lit(None).cast("long").alias("before")), spark.createDataFrame([], "a long, b long"), 0
+
+    def measured(members: pa.Table, pivots: pa.Table) -> pa.Table:
+        out = {"region": [], "place": [], "sig": [], "grams": [], "settled": [], "distance": [], "link": []}
+        if members.num_rows and pivots.num_rows:
+            region, sig, raw = members["region"][0].as_py(), members["sig"].to_numpy(), members["grams"].to_pylist()
+            distance, window, settled, found = measure(sig, raw, pivots["pivot_sig"].to_pylist(), pivots["pivot_grams"].to_pylist(), percent)
+            place, at = np.nonzero(window)
+            out = {
+                "region": [region] * len(at) + [None] * len(found), "place": place.tolist() + [None] * len(found), "sig": sig[at].tolist() + [a for a, _ in found],
+                "grams": [raw[i] for i in at.tolist()] + [None] * len(found), "settled": settled[at].tolist() + [None] * len(found),
+                "distance": distance[place, at].tolist() + [None] * len(found), "link": [None] * len(at) + [b for _, b in found],
+            }
+        return pa.table(out, schema=pa.schema([("region", pa.int64()), ("place", pa.int32()), ("sig", pa.int64()), ("grams", pa.binary()), ("settled", pa.int32()), ("distance", pa.float64()), ("link", pa.int64())]))
 
-    return grams.select("bundle", "sig", "grams").mapInArrow(run, "bundle long, sig long, grams binary, region int")
+    while True:
+        loads = scratch.save(work.groupBy("region").agg(F.sum(F.octet_length("grams")).alias("bytes"), F.max("before").alias("before")), f"loads{k}")
+        small = work.join(loads.where(F.col("bytes") <= LARGE).select("region"), "region", "left_semi")
+        links = links.unionByName(scratch.save(_whole(small, ["region"], percent).where("a <> b"), f"small{k}"))
+        large = loads.where(F.col("bytes") > LARGE)
+        if not large.take(1):
+            return links
+        # regions that the last round left nearly as large: blocks of half the bound, each two in one task
+        stuck = large.where(F.col("bytes") > 0.8 * F.col("before")).select("region", F.ceil(2 * F.col("bytes") / LARGE).cast("int").alias("blocks"))
+        own = F.pmod(F.xxhash64("sig", F.lit(3)), F.col("blocks")).cast("int")
+        paired = work.join(stuck, "region").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        paired = paired.withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other"))
+        links = links.unionByName(scratch.save(_whole(paired.select("region", "one", "two", "sig", "grams"), ["region", "one", "two"], percent).where("a <> b"), f"stuck{k}"))
+        # the others: a region's members in groups of bounded size, each with the region's pivots
+        wide = large.where(F.col("before").isNull() | (F.col("bytes") <= 0.8 * F.col("before"))).select("region", "bytes", F.ceil(F.col("bytes") / LARGE).cast("int").alias("groups"))
+        big = work.drop("before").join(wide, "region")
+        first = Window.partitionBy("region").orderBy(F.xxhash64("sig", F.lit(k)), "sig")
+        pivots = big.withColumn("at", F.row_number().over(first)).where(F.col("at") <= DEALT).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+        members = big.withColumn("group", F.pmod(F.xxhash64("sig", F.lit(5)), F.col("groups")).cast("int")).select("region", "group", "sig", "grams")
+        pivots = pivots.select(*(F.col(c).alias(f"pivot_{c}") for c in ("region", "group", "sig", "grams")))
+        dealt = members.groupBy("region", "group").cogroup(pivots.groupBy("pivot_region", "pivot_group"))
+        dealt = scratch.save(dealt.applyInArrow(measured, "region long, place int, sig long, grams binary, settled int, distance double, link long"), f"dealt{k}")
+        links = links.unionByName(dealt.where("link is not null and sig <> link").select(F.col("sig").alias("a"), F.col("link").alias("b")))
+        rows = dealt.where("link is null")
+        # what is in a region: components of pivots, and the distances of members that are linked with no pivot
+        open_at = F.when(F.col("settled") < 0, F.col("distance"))
+        kinds = rows.groupBy("region", "place").agg(F.count_distinct(F.when(F.col("settled") >= 0, F.col("settled"))).alias("kinds"), F.min(open_at).alias("low"), F.max(open_at).alias("high"))
+        kinds = kinds.where("kinds > 1 or low is not null")
+        needed = (F.col("kinds") > 1) | (F.col("settled") < 0) | F.col("distance").between(F.col("low") - radius, F.col("high") + radius)
+        left = rows.join(kinds, ["region", "place"]).where(needed).join(wide.select("region", "bytes"), "region")
+        work = scratch.save(left.select(F.xxhash64("region", "place", F.lit(k)).alias("region"), "sig", "grams", F.col("bytes").alias("before")), f"work{k}")
+        k += 1
 
 
 def classes(linked: DataFrame) -> DataFrame:
     """uid, doc_id, n_shingles and component_id from ``link``."""
     least = linked.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return linked.join(least, "root", "left").select("uid", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
+    return _join_skewed(linked, least, "root").select("uid", "doc_id", "n_shingles", component)
 
 
 def filter_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -545,5 +625,6 @@ def filter_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
-    return classes(link(docs, 4, 85, Scratch(spark, "jaccard-join"))).select("doc_id", "n_shingles", "component_id")
+    docs = read(spark, sf_dir, "documents").select(F.lit(0).alias("uid"), "doc_id", "text")
+    scratch = Scratch(spark, "jaccard-join")
+    return classes(scratch.save(link(docs, 4, 85, scratch), "linked")).select("doc_id", "n_shingles", "component_id")

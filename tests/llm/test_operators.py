@@ -66,19 +66,39 @@ def test_jaccard_join(docs, empty, spark):
     assert jaccard_join.classes(jaccard_join.link(uid(empty), 4, 85, Scratch(spark, "t"))).count() == 0
 
 
-def test_jaccard_join_of_a_large_bundle(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "LARGE", 2000)
-    base = [f"w{i}" for i in range(120)]
-    texts = []
-    for i in range(60):
-        w = list(base)
-        for _ in range(i % 5):
-            w[R.randrange(120)] = f"x{R.random()}"
+@pytest.mark.parametrize(("large", "dealt", "kind"), [(5000, 16, "near"), (12_000, 3, "near"), (20_000, 4, "chain"), (20_000, 2, "star")])
+def test_jaccard_join_of_a_large_bundle(spark, monkeypatch, large, dealt, kind):
+    monkeypatch.setattr(jaccard_join, "LARGE", large)
+    monkeypatch.setattr(jaccard_join, "DEALT", dealt)
+    r = random.Random(large)
+    word = lambda: f"x{r.random()}"
+    base = [word() for _ in range(120)]
+    texts, w = [], list(base)
+    for i in range(90):
+        if kind != "chain":
+            w = list(base)
+        at = r.randrange(120)
+        for _ in range({"near": i % 5, "chain": 2, "star": 3 * (i > 0)}[kind]):
+            w[(at + r.randrange(8 if kind == "star" else 120)) % 120] = word()
         texts.append(" ".join(w))
-    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("uid", F.col("doc_id"))
-    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.classes(jaccard_join.link(d, 4, 85, Scratch(spark, "t"))).collect()}
-    roots = jaccard_join.join_sets([jaccard_join.ngrams(t, 4) for t in texts], 85)
-    assert [got[i] for i in range(60)] == [int(x) for x in roots]
+    sets = [set(jaccard_join.ngrams(t, 4).tolist()) for t in texts]
+    comp = list(range(90))
+    linked = [(a, b) for a in range(90) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    for _ in texts:
+        for a, b in linked:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("uid", F.lit(0))
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_join.classes(jaccard_join.link(d, 4, 85, Scratch(spark, "t"))).collect()}
+    assert [got[i] for i in range(90)] == comp and len(linked) > 80
+
+
+def test_near_copies_collapse_when_dealt():
+    r = random.Random(5)
+    base = np.unique(np.array([r.randrange(2**60) for _ in range(300)], np.uint64))
+    sets = [np.unique(np.append(np.delete(base, r.sample(range(len(base)), 5)), np.uint64(r.randrange(2**60)))) for _ in range(200)]
+    raw, sig = [x.tobytes() for x in sets], np.arange(200)
+    _, window, settled, links = jaccard_join.measure(sig, raw, list(range(16)), raw[:16], 85)
+    assert set(settled.tolist()) == {0} and {a for a, _ in links} == set(range(200))  # one component: no member goes on
 
 
 def test_jaccard_filter_keeps_one_of_each_group(docs, empty):
