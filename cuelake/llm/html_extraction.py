@@ -10,8 +10,10 @@ The model is trained on pages made by ``training_page``: articles in many layout
 notices, adverts, forms and reader comments, whose blocks are labelled by construction. The number of pages is a parameter.
 
 Text: character references decoded, white space (and line breaks) within a block made one space, trimmed; blocks in page order,
-joined by an empty line. Null or empty html gives an empty text. Pages are extracted one by one: repeated rows give
-repeated results, an empty table an empty result, and columns other than page_id, url and html are ignored.
+joined by an empty line. Null or empty html gives an empty text. Broken markup: end tags that are missing are implied by the next block or the end; a script,
+style or text field that isn't closed lasts to the end of the page, any other such element has no content; nesting may be of any depth; a quote that isn't
+closed is part of its attribute. Pages of any length are read whole. They are extracted one by one: repeated rows give
+repeated results, an empty table an empty result, and columns other than page_id, url and html, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,11 +33,14 @@ from .common import read
 
 BLOCKS = frozenset("html body div p h1 h2 h3 h4 h5 h6 ul ol li table tbody thead tfoot tr td th section article main aside nav header footer form figure figcaption blockquote pre dl dt dd fieldset details summary address center hgroup caption legend dialog menu search".split())
 #: Their content is never text.
-SILENT = frozenset("script style head noscript template textarea select button svg iframe object math canvas audio video option".split())
-_RAW = frozenset("script style textarea title noscript iframe template svg select button object math canvas audio video".split())
+SILENT = frozenset("script style head noscript template textarea select button svg iframe object canvas audio video option".split())
+#: Of those, the ones whose content runs to their end tag; without one, that of the first kind is the rest of the page, that of the others nothing.
+_TO_END = frozenset("script style textarea title".split())
+_RAW = _TO_END | frozenset("noscript iframe template svg select button object canvas audio video".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"})}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: A comment, a tag with its attributes (values in quotes, or up to a blank), a declaration. A quote without its partner is a sign like others.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=>)))?+|=)*+)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
 PART = re.compile(r"[a-z]+")
@@ -135,7 +140,7 @@ class Page:
     @staticmethod
     def _after_raw(source: str, at: int, name: str) -> int:
         m = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-        return m.end() if m else len(source)
+        return m.end() if m else len(source) if name in _TO_END else at
 
     def _close(self, stack: list[int], names: set[str], stops: set[str], opening: str | None = None) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -251,6 +256,15 @@ def training_page(seed: int) -> tuple[str, set[int]]:
         items = "".join(f"<{wrap}><a href='/x'>{piece(1, 3)}</a></{wrap}>" if r.random() < 0.9 else f"<{wrap}>{piece(1, 3)}</{wrap}>" for _ in range(n))
         return f"<ul>{items}</ul>" if wrap == "li" else items
 
+    def inline(text: str) -> str:
+        """Some words in inline elements."""
+        w = text.split(" ")
+        for _ in range(r.choice([0, 0, 0, 1, 2])):
+            i = r.randrange(1, len(w)) if len(w) > 1 else 0
+            t = r.choice(["em", "b", "i", "strong", "span", "code", "q", "math", "a", "sup"])
+            w[i] = f"<{t}>{w[i]}</{t}>"
+        return " ".join(w)
+
     def named(*tokens: str) -> str:
         if r.random() < 0.2:
             return ""
@@ -291,7 +305,7 @@ def training_page(seed: int) -> tuple[str, set[int]]:
         k = r.random()
         if k < 0.72:
             text = piece(2, 25, r.choice([1, 1, 2, 3, 6]), True)
-            return r.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}", "<p><b>{}<br>", "<p>{} <a href='#'>link</a></p>"]).format(text)
+            return r.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}", "<p><b>{}<br>", "<p>{} <a href='#'>link</a></p>"]).format(inline(text) if r.random() < 0.3 else text)
         if k < 0.8:
             return f"<h{(h := r.randint(2, 3))}>{piece(1, 5, 1, True)}</h{h}>"
         if k < 0.87:
@@ -300,8 +314,33 @@ def training_page(seed: int) -> tuple[str, set[int]]:
             return f"<blockquote><p>{piece(5, 20, 1, True)}</p></blockquote>"
         if k < 0.95:
             return "<table>" + "".join("<tr>" + "".join(f"<td>{piece(1, 3, 1, True)}</td>" for _ in range(2)) + "</tr>" for _ in range(r.randint(1, 4))) + "</table>"
+        if k < 0.96:
+            return f"<pre>{piece(2, 12, 2, True)}</pre>"
+        if k < 0.97:
+            return f"<figure><img src=x><figcaption>{piece(3, 12, 1, True)}</figcaption></figure>"
+        if k < 0.98:
+            return f"<dl><dt>{piece(1, 3, 1, True)}<dd>{piece(4, 15, 1, True)}</dl>"
         return f"<div>{piece(4, 25, 2, True)}</div>"
 
+    def bare() -> str:
+        """An article without a wrapper that names it."""
+        k = r.randrange(7)
+        if k == 0:
+            return f"<p>{inline(piece(1, 20, r.choice([1, 1, 2]), True))}</p>"
+        if k == 1:
+            return f"<div>{piece(2, 20, r.choice([1, 2]), True)}" + "".join(f"<p>{inline(piece(2, 20, r.choice([1, 2, 4]), True))}</p>" for _ in range(r.randint(1, 4))) + "</div>"
+        if k == 2:  # a layout table
+            side = f"<td>{links(r.randint(2, 6), r.choice(['li', 'p']))}</td>" if r.random() < 0.6 else ""
+            return f"<table><tr>{side}<td>" + "".join(block() for _ in range(r.randint(2, 8))) + "</td></tr></table>"
+        if k == 3:
+            return "".join(f"<div>{inline(piece(3, 25, r.choice([1, 2, 4]), True))}</div>" for _ in range(r.randint(1, 8)))
+        if k == 4:
+            return f"<section{named('x', 'col', 'part')}>" + "".join(block() for _ in range(r.randint(1, 6))) + "</section>"
+        if k == 5:
+            return "".join(f"<section><h2>{piece(1, 5, 1, True)}</h2>" + "".join(f"<p>{piece(3, 20, 2, True)}</p>" for _ in range(r.randint(1, 3))) + "</section>" for _ in range(r.randint(1, 4)))
+        return (f"<h1>{piece(1, 8, 1, True)}</h1>" if r.random() < 0.5 else "") + "".join(block() for _ in range(r.randint(1, 10)))
+
+    kind = "bare" if r.random() < 0.35 else "named"
     inner = []
     if r.random() < 0.8:
         h = r.choice(["h1", "h1", "h2"])
@@ -320,13 +359,20 @@ def training_page(seed: int) -> tuple[str, set[int]]:
         body = f"<main>{body}</main>"
     else:
         body = f"<div {r.choice(['class', 'id'])}=\"{r.choice(['content', 'post', 'entry-content', 'story', 'article-body', 'main', 'post-body', 'text', 'main-content'])}\">{body}</div>"
-    if r.random() < 0.3:
+    if kind == "bare":
+        count[0], body = 0, ""
+        article.clear()
+        body = bare()
+    if r.random() < 0.3 and kind != "bare":
         body = f"<div class=\"{r.choice(['wrapper', 'container', 'page', 'row'])}\">{junk() if r.random() < 0.5 else ''}{body}{junk() if r.random() < 0.5 else ''}</div>"
-    before, after = "".join(junk() for _ in range(r.randint(0, 4))), "".join(junk() for _ in range(r.randint(0, 4)))
+    most = r.choice([0, 0, 2, 4]) if kind == "bare" else 4
+    before, after = "".join(junk() for _ in range(r.randint(0, most))), "".join(junk() for _ in range(r.randint(0, most)))
+    if kind == "bare" and r.random() < 0.4:
+        return f"{before}{body}{after}", article
     return f"<!DOCTYPE html><html><head><title>t</title></head><body>{before}<!-- c -->{body}{after}" + r.choice(["</body></html>", ""]), article
 
 
-def train(pages: int = 500, seed: int = 1) -> Trees:
+def train(pages: int = 700, seed: int = 1) -> Trees:
     xs, ys = [], []
     for k in range(pages):
         source, article = training_page(seed * 100_000 + k)

@@ -262,13 +262,29 @@ def test_decoding_is_consistent():
     assert all(label[p] == he.SOME or label[i] == label[p] for i, p in enumerate(parent) if i)
 
 
+#: Layouts written by hand, with the text that a reader would take from them.
+_ONE, _TWO = "The river rose in the night, and by morning the lower fields were under water.", "Nobody had seen such a flood since the old bridge was built, the miller said."
+LAYOUTS = [
+    ("<p>One only.</p>", "One only."),
+    ("<div>Hello world, this is text. <p>And then there is more of it.</p></div>", "Hello world, this is text.\n\nAnd then there is more of it."),
+    (f"<p title=don't>It's a start. {_ONE}</p><p data-x='a>b'>{_TWO}</p>", f"It's a start. {_ONE}\n\n{_TWO}"),
+    (f"<html><body><svg><p>{_ONE}</p><button><p>{_TWO}</p></body></html>", f"{_ONE}\n\n{_TWO}"),
+    (f"<html><body><header class=header><a href=/>Home</a></header><main><h1>Floods</h1><p>{_ONE} Here <math><mi>x</mi>=<mn>2</mn></math> metres.</p><p>{_TWO}</p></main><footer>&copy; 2020 Us</footer></body></html>", f"Floods\n\n{_ONE} Here x=2 metres.\n\n{_TWO}"),
+    (f"<body><div class='sidebar'><ul><li><a href=1>News</a><li><a href=2>Sport</a></ul></div><article><h2>Floods</h2><p>{_ONE}<script>if (a<b) x('</p>')</script></p><blockquote><p>{_TWO}</p></blockquote></article><div id=comments><p>Great read, thanks!</p></div></body>", f"Floods\n\n{_ONE}\n\n{_TWO}"),
+    ("<div>" * 3000 + f"<p>{_ONE}</p>" + "</div>" * 2000, _ONE),
+    (f"<p>{_ONE}<script>var s = 1; <p>{_TWO}", _ONE),
+]
+
+
 def test_extraction():
-    model = he.train(200)
+    model = he.train()
     wrong = total = 0
-    for k in range(80):
+    for k in range(120):
         page, article = he.training_page(9_000_000 + k)
         got = set(map(int, re.findall(r"q(\d+)q", he.extract_many([page], model)[0])))
         wrong, total = wrong + len(got ^ article), total + len(article)
     assert wrong < 0.08 * total
+    for source, text in LAYOUTS:
+        assert he.extract_many([source], model) == [text], source
     page = "<html><nav><a href=x>menu</a></nav><article><h1>T &amp; U</h1><p>One\n two<br>three, and  more words here.<p><b>Four five six.</article><footer>&copy; x"
     assert he.extract_many([None, "", page, "<p"], model) == ["", "", "T & U\n\nOne two three, and more words here.\n\nFour five six.", ""]
