@@ -14,12 +14,21 @@ def fix_timestamps(values: list[int]) -> list[int]:
     n = len(v)
     if not n:
         return []
+    # a tree of (longest run, less its place) by value, so that the longest run that ends at a value or below is found in log n steps
+    rank = np.unique(v, return_inverse=True)[1].tolist()
+    best, size = [(0, 0)] * (max(rank) + 2), max(rank) + 2
     length, parent = np.ones(n, int), np.full(n, -1)
-    for i in range(1, n):
-        before = np.where(v[:i] <= v[i], length[:i], 0)
-        j = int(before.argmax())
-        if before[j]:
-            length[i], parent[i] = before[j] + 1, j
+    for i, r in enumerate(rank):
+        k, found = r + 1, (0, 0)
+        while k:
+            found = max(found, best[k])
+            k &= k - 1
+        if found[0]:
+            length[i], parent[i] = found[0] + 1, -found[1]
+        k, own = r + 1, (int(length[i]), -i)
+        while k < size:
+            best[k] = max(best[k], own)
+            k += k & -k
     kept = []
     i = int(length.argmax())
     while i >= 0:

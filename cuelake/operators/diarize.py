@@ -40,10 +40,13 @@ def centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:
     return vectors.select(label, F.posexplode(vector).alias("dim", "x")).groupBy(label, "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
-def nearest(vectors: DataFrame, key: str, vector: str, centers: DataFrame) -> DataFrame:
+def nearest(vectors: DataFrame, key: str, vector: str, centers: DataFrame, most: int = 50_000) -> DataFrame:
     """key and label of the center (label, center array) at the least cosine distance, the smallest label in a tie.
 
-    There are as many centers as labels; they are one array that is broadcast, so no pair of rows is made."""
+    There are as many centers as labels; they are one array that is broadcast, so no pair of rows is made. Over ``most`` of them are an error:
+    then vectors are to be clustered in parts first."""
+    if (n := centers.count()) > most:
+        raise ValueError(f"{n} centers, {most} at most")
     one = centers.agg(F.sort_array(F.collect_list(F.struct("label", "center"))).alias("centers"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     scored = F.transform("centers", lambda c: F.struct((-dot(F.col(vector), c["center"]) / F.sqrt(dot(c["center"], c["center"]))).alias("distance"), c["label"].alias("label")))

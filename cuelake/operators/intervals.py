@@ -27,10 +27,13 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int = 600_000) -> Dat
 
 def dominant_speaker(clause_rows: DataFrame, turn_rows: DataFrame, keys: list[str]) -> DataFrame:
     """``clause_rows`` with the label that shares most time with each; ties go to the label whose turn comes first in the list;
-    null where no turn overlaps. ``keys`` name a clause."""
-    votes = overlap_join(clause_rows, turn_rows).groupBy(*keys, F.col("r_label").alias("label")).agg(F.sum("overlap_ms").alias("overlap_ms"), F.min("r_seq").alias("first_seq"))
+    null where no turn overlaps. A clause without length has the label at its start. ``keys`` name a clause."""
+    long, point = clause_rows.where("end_ms > start_ms"), clause_rows.where("end_ms <= start_ms")
+    votes = overlap_join(long, turn_rows).groupBy(*keys, F.col("r_label").alias("label")).agg(F.sum("overlap_ms").alias("overlap_ms"), F.min("r_seq").alias("first_seq"))
     best = Window.partitionBy(*keys).orderBy(F.desc("overlap_ms"), "first_seq")
     won = votes.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place", "first_seq")
+    at = speaker_at(point.select(*keys, F.col("start_ms").alias("at_ms")), turn_rows, keys).where("label is not null")
+    won = won.unionByName(at.select(*keys, "label", F.lit(0).cast("long").alias("overlap_ms")))
     return clause_rows.join(won, keys, "left")
 
 

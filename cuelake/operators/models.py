@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 
 class NoModel(RuntimeError):
@@ -17,20 +18,71 @@ def missing(*_):
     raise NoModel("no model is configured; pass a callable")
 
 
-_loaded: dict[int, Callable] = {}
+_loaded: dict[str, Callable] = {}
 
 
-def apply_model(df: DataFrame, column: str, out: str, load: Callable[[], Callable[[list], list]] = lambda: missing) -> DataFrame:
-    """``df`` with ``out``, what the model gives for ``column``. ``load`` runs once in each worker process and returns ``inputs -> texts``."""
+def loaded(name: str, load: Callable[[], Callable]) -> Callable:
+    """The model of this name, loaded once in each worker process."""
+    if name not in _loaded:
+        _loaded[name] = load()
+    return _loaded[name]
+
+
+def apply_model(df: DataFrame, column: str, out: str, load: Callable[[], Callable[[list], list]] = lambda: missing, name: str | None = None, kind: pa.DataType | None = None, batch: int = 32) -> DataFrame:
+    """``df`` with ``out``, what the model gives for ``column``, ``batch`` inputs at a time. ``load`` returns ``inputs -> outputs`` and runs once in each worker process for
+    a ``name``; without one, once in each task. ``kind``: the outputs' type (string)."""
+    kind = kind or pa.string()
     names, at = [*df.columns, out], df.columns.index(column)
+    schema = df.withColumn(out, F.lit(None).cast(from_arrow_type(kind))).schema
 
     def run(batches):
-        model = _loaded.setdefault(id(load), None) or load()
-        _loaded[id(load)] = model
+        model = loaded(name, load) if name else load()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model(b.column(at).to_pylist()), pa.string())], names=names)
+            inputs = b.column(at).to_pylist()
+            outputs = [y for i in range(0, len(inputs), batch) for y in model(inputs[i : i + batch])]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(outputs, kind)], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
+def retrying(model: Callable[[object, float], tuple[str, bool]], tries: int = 4, warmer: float = 0.3, mark: str = "====解码有误，强制熔断====") -> Callable[[object, float], str]:
+    """``model`` (input, temperature) gives a text and whether it was broken off; then it is asked again, ``warmer``, at most ``tries`` times. The last text
+    that was broken off ends in ``mark``."""
+    def ask(x: object, temperature: float = 0.0) -> str:
+        text = ""
+        for _ in range(tries):
+            text, broken = model(x, temperature)
+            if not broken:
+                break
+            temperature += warmer
+            text += mark
+        return text
+
+    return ask
+
+
+def chunk_loop(encode: Callable, decode: Callable, align: Callable | None = None, memory: int = 2) -> Callable[[list], list[tuple[str, list]]]:
+    """A recording's chunks in order -> text and items of each: ``encode(chunk)``, ``decode(encoded, texts of the chunks before)``, ``align(chunk, text)``."""
+    def run(chunks: list) -> list[tuple[str, list]]:
+        out: list[tuple[str, list]] = []
+        for chunk in chunks:
+            text = decode(encode(chunk), [t for t, _ in out[-memory:]] if memory else [])
+            out.append((text, align(chunk, text) if align and text else []))
+        return out
+
+    return run
+
 
-    return df.mapInArrow(run, df.withColumn(out, F.lit(None).cast("string")).schema)
+def translate(texts: list[str], ask: Callable[[list[str]], str], parse: Callable[[str, int], list[str] | None], batch: int = 1) -> list[str]:
+    """Translations of ``texts``. ``ask`` gives a reply to one or several; a reply to several that ``parse`` can't take apart is asked for again one by
+    one, and a text without a translation stays as it is."""
+    out = []
+    for i in range(0, len(texts), batch):
+        some = texts[i : i + batch]
+        found = parse(ask(some), len(some)) if len(some) > 1 else [ask(some)]
+        found = found or [ask([t]) for t in some]
+        out += [f or t for f, t in zip(found, some)]
+    return out
 
 
 def identity():

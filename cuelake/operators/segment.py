@@ -7,16 +7,22 @@ recording's ordered rows in ``applyInPandas``. Times are integer milliseconds.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.itn import normalize as digits
+from ..functions.text import AFTER, BEFORE, BREAKS
+from . import intervals
 
 # Signs that end a clause, and signs that end a sentence and may be followed by closing signs.
-BREAK = re.compile(r"[。！？!?…～，、；：,;:\n\r]|\.(?=\s|$)")
+BREAK = re.compile(rf"[{BREAKS}]|\.(?=\s|$)")
 ENDS = set("。！？!?….")
 CLOSERS = "\"'”’」』）)》】…～ "
-_AFTER = re.compile(r"[A-Za-z0-9,.;:!?%)\]}'\"]$")
-_BEFORE = re.compile(r"^[A-Za-z0-9(\[{$#@'\"&]")
+_AFTER, _BEFORE = re.compile(f"{AFTER}$"), re.compile(f"^{BEFORE}")
 TAG = re.compile(r"^\s*\[([^\]]{1,32})\]\s*")
 
 
@@ -34,7 +40,7 @@ def join_pieces(pieces: list[str]) -> str:
 
 def split_tag(text: str) -> tuple[str, str]:
     m = TAG.match(text or "")
-    return (m[1].strip(), text[m.end() :]) if m else ("", text or "")
+    return (m[1], text[m.end() :].strip()) if m else ("", (text or "").strip())
 
 
 def clauses(items: list[tuple[int, int, str]], most_ms: int = 6000, gap_ms: int = 1200) -> list[tuple[int, int, str]]:
@@ -56,8 +62,8 @@ def clauses(items: list[tuple[int, int, str]], most_ms: int = 6000, gap_ms: int
     return [(s, e, t.strip()) for s, e, t in out if t.strip()]
 
 
-def pack(rows: list[tuple[int, int, str, str]], most_ms: int = 6000, most_chars: int = 48, gap_ms: int = 1200, least_ms: int = 1000) -> list[tuple[int, int, str, str]]:
-    """(start, end, text, speaker) of lines made of clauses (start, end, text, speaker)."""
+def pack(rows: list[tuple[int, int, str, str]], most_ms: int = 6000, most_chars: int = 48, gap_ms: int = 1200, least_ms: int = 1000, written: Callable[[str], str] = digits) -> list[tuple[int, int, str, str]]:
+    """(start, end, text, speaker) of lines made of clauses (start, end, text, speaker). ``written`` is how a line's text is written: its numerals as digits."""
     lines: list[dict] = []
     current: dict | None = None
 
@@ -81,7 +87,7 @@ def pack(rows: list[tuple[int, int, str, str]], most_ms: int = 6000, most_chars:
             if follows is None or long_enough or follows[3] != current["speaker"] or not fits(current, follows):
                 current = None
     joined = ((c["start"], max(c["start"], c["end"]), join_pieces(c["texts"]).strip(), c["speaker"]) for c in lines)
-    return [x for x in joined if x[2]]
+    return [(a, b, written(t), who) for a, b, t, who in joined if t]
 
 
 def merge_short(rows: list[tuple[int, int, str, str]], least_ms: int = 1000, most_ms: int = 6000, most_chars: int = 64) -> list[tuple[int, int, str, str]]:
@@ -100,24 +106,62 @@ def merge_short(rows: list[tuple[int, int, str, str]], least_ms: int = 1000, mos
     return out
 
 
-def units(rows: list[tuple[int, int, str, str]], hard_ms: int = 45_000) -> list[tuple[int, int, int, str, str, bool, int]]:
-    """(start, end, summed duration, text, speaker, complete, rows) of translation units."""
+def on_timeline(rows: list[tuple[int, int, str, str]], least_ms: int = 600) -> list[tuple[int, int, str, str]]:
+    """Lines that last ``least_ms`` if the next leaves room, and end 20 ms before it; at the least 100 and 50 ms long."""
+    out = []
+    for i, (start, end, text, speaker) in enumerate(rows):
+        following = rows[i + 1][0] if i + 1 < len(rows) else None
+        end = start + least_ms if end <= start else end
+        if end - start < least_ms:
+            end = start + least_ms if following is None else min(start + least_ms, max(start + 100, following - 20))
+        if following is not None and end > following:
+            end = max(start + 50, following - 20)
+        out.append((start, end, text, speaker))
+    return out
+
+
+def finish(rows: list[tuple[int, int, str, str]], most_chars: int = 48, most_ms: int = 6000, with_speaker: bool = True) -> list[tuple[int, int, str, str]]:
+    """Subtitle lines of clauses with speakers: packed, short ones merged, put on the timeline."""
+    lines = pack(rows, most_ms, most_chars)
+    lines = lines if with_speaker else [(a, b, t, "") for a, b, t, _ in lines]
+    return on_timeline(merge_short(lines, most_ms=most_ms, most_chars=max(most_chars, int(1.4 * most_chars))))
+
+
+def text_clauses(text: str | None, total_ms: int, most_ms: int = 6000, most_chars: int = 48) -> list[tuple[int, int, str]]:
+    """(start, end, text): clauses of a text without times. Pieces between clause signs, cut to what fits a line at the text's pace, share the
+    time by length; each gets 400 ms at least, as long as there is time."""
+    bare = (text or "").strip()
+    if not bare:
+        return []
+    allowed = max(4, int(most_ms / 1000 * (len(bare) / max(total_ms / 1000, 0.001)) * 0.95))
+    most, cuts = max(1, min(most_chars, allowed)), [0, *(m.end() for m in BREAK.finditer(text)), len(text)]
+    pieces = [p for a, b in zip(cuts, cuts[1:]) if (x := text[a:b].strip()) for p in split_oversize(x, most)] or [bare]
+    whole, out, cursor = sum(map(len, pieces)), [], 0.0
+    for p in pieces:
+        end = min(float(total_ms), cursor + max(400.0, total_ms * len(p) / whole))
+        out.append((round(cursor), round(max(end, cursor)), p))
+        cursor = end
+    return out
+
+
+def units(rows: list[tuple[int, int, str, str]], hard_ms: int = 45_000) -> list[tuple[int, int, int, str, str, bool, int, list[int]]]:
+    """(start, end, summed duration, text, speaker, complete, rows, their numbers from 1) of translation units."""
     out, block = [], []
 
     def close() -> None:
         if block:
             text = join_pieces([b[2] for b in block]).strip()
-            out.append((block[0][0], max(b[1] for b in block), sum(max(0, b[1] - b[0]) for b in block), text, block[0][3], ends_sentence(text), len(block)))
+            out.append((block[0][0], max(b[1] for b in block), sum(max(0, b[1] - b[0]) for b in block), text, block[0][3], ends_sentence(text), len(block), [b[4] for b in block]))
             block.clear()
 
-    for start, end, text, speaker in rows:
+    for n, (start, end, text, speaker) in enumerate(rows, 1):
         tag, body = split_tag(text)
         speaker = speaker or tag
         if not body:
             continue
         if block and speaker and block[-1][3] and speaker != block[-1][3]:
             close()
-        block.append((start, end, body, speaker))
+        block.append((start, end, body, speaker, n))
         if ends_sentence(body) or max(b[1] for b in block) - block[0][0] >= hard_ms:
             close()
     close()
@@ -197,13 +241,56 @@ def merge_short_lines(rows: DataFrame) -> DataFrame:
 
 
 def translation_units(rows: DataFrame) -> DataFrame:
-    schema = "start_ms long, end_ms long, duration_ms long, text string, speaker string, complete boolean, n_rows int"
+    """Units of rows (rec_id, idx, start_ms, end_ms, text, speaker); ``members`` are the numbers (from 1, by idx) of a unit's rows."""
+    schema = "start_ms long, end_ms long, duration_ms long, text string, speaker string, complete boolean, n_rows int, members array<int>"
     return _per_recording(rows, schema, ["idx"], lambda p: units(_tuples(p, "start_ms", "end_ms", "text", "speaker")))
 
 
-def translated_rows(units_: DataFrame) -> DataFrame:
-    """Rows of translated units (rec_id, idx, start_ms, end_ms, translation, speaker)."""
+def translated_rows(units_: DataFrame, rows: DataFrame | None = None, with_speaker: bool = True) -> DataFrame:
+    """Rows of translated units (rec_id, idx, start_ms, end_ms, translation, speaker): the translation cut at its signs. A unit without a translation keeps the
+    source rows of ``rows`` that are its members, without their tags; without ``rows`` it has none."""
+    def run(p: pd.DataFrame) -> list[tuple]:
+        return [(*r, u[3], int(u[4]), i) for u in _tuples(p, "start_ms", "end_ms", "translation", "speaker", "idx") for i, r in enumerate(split_translation(u[2], u[0], max(1, u[1] - u[0])))]
+
+    schema = f"{_LINE}, unit int, part int"
+    out = _per_recording(units_, schema, ["idx"], run).drop("idx")
+    if rows is not None:
+        bare = F.trim(F.coalesce("translation", F.lit(""))) == ""
+        failed = units_.where(bare).select("rec_id", F.col("idx").alias("unit"), "speaker", F.posexplode("members").alias("part", "n"))
+        source = rows.withColumn("n", F.row_number().over(Window.partitionBy("rec_id").orderBy("idx"))).drop("speaker")
+        body = F.regexp_replace(F.regexp_replace("text", TAG.pattern, ""), r"(?U)^\s+|\s+$", "")
+        kept = source.join(failed, ["rec_id", "n"]).select("rec_id", "start_ms", F.greatest("end_ms", F.col("start_ms") + 50).alias("end_ms"), body.alias("text"), "speaker", "unit", "part")
+        out = out.unionByName(kept)
+    n = F.row_number().over(Window.partitionBy("rec_id").orderBy("unit", "part"))
+    speaker = F.col("speaker") if with_speaker else F.lit("").alias("speaker")
+    return out.select("rec_id", n.alias("idx"), "start_ms", "end_ms", "text", speaker)
+
+
+def attach_speakers(clause_rows: DataFrame, turn_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Clauses with speaker: the label that shares most time with each, '' if none does."""
+    return intervals.dominant_speaker(clause_rows, turn_rows, keys).withColumn("speaker", F.coalesce("label", F.lit(""))).drop("label", "overlap_ms")
+
+
+def _finished(clause_rows: DataFrame, with_speaker: bool) -> DataFrame:
+    return _per_recording(clause_rows, _LINE, ["idx"], lambda p: finish(_tuples(p, "start_ms", "end_ms", "text", "speaker"), with_speaker=with_speaker))
+
+
+def build_subtitles(items: DataFrame, turn_rows: DataFrame | None = None, with_speaker: bool = True) -> DataFrame:
+    """Subtitle lines of items (rec_id, pos, start_ms, end_ms, text), with the speakers of turns (rec_id, seq, start_ms, end_ms, label) if
+    there are any. Without turns one pass over each recording does it all."""
+    if turn_rows is None:
+        def run(p: pd.DataFrame) -> list[tuple]:
+            return finish([(*c, "") for c in clauses(_tuples(p, "start_ms", "end_ms", "text"))])
+
+        return _per_recording(items, _LINE, ["start_ms", "pos"], run)
+    return _finished(attach_speakers(split_into_clauses(items), turn_rows, ["rec_id", "idx"]), with_speaker)
+
+
+def build_subtitles_from_text(texts: DataFrame, turn_rows: DataFrame | None = None, with_speaker: bool = True) -> DataFrame:
+    """Subtitle lines of texts (rec_id, text, total_ms) without times."""
     def run(p: pd.DataFrame) -> list[tuple]:
-        return [(*r, u[3]) for u in _tuples(p, "start_ms", "end_ms", "translation", "speaker") for r in split_translation(u[2], u[0], max(1, u[1] - u[0]))]
+        return [c for text, total in _tuples(p, "text", "total_ms") for c in text_clauses(text, total)]
 
-    return _per_recording(units_, _LINE, ["idx"], run)
+    found = _per_recording(texts, "start_ms long, end_ms long, text string", ["total_ms"], run)
+    found = found.withColumn("speaker", F.lit("")) if turn_rows is None else attach_speakers(found, turn_rows, ["rec_id", "idx"])
+    return _finished(found, with_speaker)

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def normalize(rows: DataFrame, keys: list[str], order: list[str], least_ms: int = 500) -> DataFrame:
-    """Non-negative starts, at least ``least_ms`` long, and no end beyond the next row's start unless that would leave nothing. Starts never change,
-    so the next row's original start is all that a row needs. Rows are numbered from 1."""
+def normalize(rows: DataFrame, keys: list[str], order: list[str], least_ms: int = 600) -> DataFrame:
+    """Rows that last ``least_ms`` if the next leaves room, and end 20 ms before it; at the least 100 and 50 ms long. Starts never change,
+    so the next row's start is all that a row needs. Rows are numbered from 1."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    start = F.greatest("start_ms", F.lit(0))
-    following = F.lead("start_ms").over(w)
-    wanted = F.greatest("end_ms", start + least_ms)
-    end = F.when(following.isNull() | (wanted <= following), wanted).when(following > start, following).otherwise(start + 1)
-    return rows.select(*keys, F.row_number().over(w).alias("idx"), start.alias("start_ms"), end.alias("end_ms"), "text", "speaker")
+    start, following = F.col("start_ms"), F.lead("start_ms").over(w)
+    end = F.when(F.col("end_ms") <= start, start + least_ms).otherwise(F.col("end_ms"))
+    room = F.when(following.isNull(), start + least_ms).otherwise(F.least(start + least_ms, F.greatest(start + 100, following - 20)))
+    end = F.when(end - start < least_ms, room).otherwise(end)
+    end = F.when(end > following, F.greatest(start + 50, following - 20)).otherwise(end)
+    return rows.select(*keys, F.row_number().over(w).alias("idx"), "start_ms", end.alias("end_ms"), "text", "speaker")
 
 
 def proportional(parts: DataFrame, keys: list[str], order: str, weight, start: str, total: str) -> DataFrame:

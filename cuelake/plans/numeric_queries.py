@@ -76,9 +76,11 @@ def event_rollup(spark, d):
     return table(spark, d, "events").select(F.to_date("ts").cast("string").alias("day"), "event_type").rollup("day", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("customers_without_orders", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("customers_without_orders", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def customers_without_orders(spark, d):
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Customers without an urgent order."""
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").select("c_custkey").join(urgent, "c_custkey", "left_anti")
 
 
 @query("event_windows", "SELECT w AS start_min, event_type, count(*) AS n FROM (SELECT epoch_us(ts) // 600000000 * 10 AS w, event_type FROM events) GROUP BY ALL")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import intervals, timeline
+from ..operators import intervals, numeric, timeline
 from .adapters import CLAUSES_SQL, TURNS_SQL, UTTERANCES_SQL, clauses, table, turns, utterances
 
 QUERIES: dict = {}
@@ -79,9 +79,10 @@ def speaker_changes(spark, d):
     return utterances(spark, d).withColumn("p", F.lag("speaker").over(w)).where("p is null or p <> speaker").select("rec_id", "pos", "start_ms", "speaker")
 
 
-@query("timeline_normalize", f"WITH {UTTERANCES_SQL}, t AS (SELECT *, lead(start_ms) OVER w AS nxt, greatest(start_ms + dur_ms + 300, start_ms + 500) AS want, row_number() OVER w AS idx FROM utterances WINDOW w AS (PARTITION BY rec_id ORDER BY start_ms, pos)) SELECT rec_id, CAST(idx AS INTEGER) AS idx, start_ms, CAST(CASE WHEN nxt IS NULL OR want <= nxt THEN want WHEN nxt > start_ms THEN nxt ELSE start_ms + 1 END AS BIGINT) AS end_ms, text, speaker FROM t")
+@query("timeline_normalize", f"WITH {UTTERANCES_SQL}, a AS (SELECT rec_id, text, speaker, start_ms AS s, CASE WHEN pos % 4 = 1 THEN start_ms + 200 WHEN pos % 4 = 2 THEN start_ms - 5 ELSE end_ms + 300 END AS e0, lead(start_ms) OVER w AS nxt, row_number() OVER w AS idx FROM utterances WINDOW w AS (PARTITION BY rec_id ORDER BY start_ms, pos)), b AS (SELECT *, CASE WHEN e0 <= s THEN s + 600 ELSE e0 END AS e1 FROM a), c AS (SELECT *, CASE WHEN e1 - s >= 600 THEN e1 WHEN nxt IS NULL THEN s + 600 ELSE least(s + 600, greatest(s + 100, nxt - 20)) END AS e2 FROM b) SELECT rec_id, CAST(idx AS INTEGER) AS idx, s AS start_ms, CAST(CASE WHEN e2 > nxt THEN greatest(s + 50, nxt - 20) ELSE e2 END AS BIGINT) AS end_ms, text, speaker FROM c")
 def timeline_normalize(spark, d):
-    u = utterances(spark, d).withColumn("end_ms", F.col("end_ms") + 300)
+    end = F.when(F.col("pos") % 4 == 1, F.col("start_ms") + 200).when(F.col("pos") % 4 == 2, F.col("start_ms") - 5).otherwise(F.col("end_ms") + 300)
+    u = utterances(spark, d).withColumn("end_ms", end)
     return timeline.normalize(u, ["rec_id"], ["start_ms", "pos"])
 
 
@@ -114,13 +115,19 @@ _FRAMES = "g AS (SELECT user_id, epoch_us(ts) // 60000000 AS minute, CAST(round(
 
 @query("sliding_frame_average", f"WITH {_FRAMES} SELECT frame, CAST(sum(v) AS BIGINT) AS total, count(*) AS n, CAST(sum(v) AS DOUBLE) / count(*) AS mean FROM x GROUP BY frame")
 def sliding_frame_average(spark, d):
-    return _frames(spark, d).groupBy("frame").agg(F.sum("v").alias("total"), F.count(F.lit(1)).alias("n"), (F.sum("v").cast("double") / F.count(F.lit(1))).alias("mean"))
+    # events of a minute cover the same frames: they are summed before they are spread
+    minutes = _events(spark, d).groupBy("minute").agg(F.sum("v").alias("total"), F.count(F.lit(1)).alias("n"))
+    f = minutes.select(F.explode(F.expr("transform(sequence(0, 9), o -> minute + o)")).alias("frame"), "total", "n")
+    return f.groupBy("frame").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), (F.sum("total").cast("double") / F.sum("n")).alias("mean"))
+
+
+def _events(spark, d):
+    return table(spark, d, "events").select("user_id", F.expr("unix_micros(cast(ts as timestamp)) div 60000000").alias("minute"), F.round(F.col("value") * 1000).cast("long").alias("v"))
 
 
 def _frames(spark, d):
     """Each event covers ten one-minute frames, as overlapping chunks cover frames."""
-    e = table(spark, d, "events").select("user_id", F.expr("unix_micros(cast(ts as timestamp)) div 60000000").alias("minute"), F.round(F.col("value") * 1000).cast("long").alias("v"))
-    return e.withColumn("frame", F.explode(F.expr("transform(sequence(0, 9), o -> minute + o)"))).drop("minute")
+    return _events(spark, d).withColumn("frame", F.explode(F.expr("transform(sequence(0, 9), o -> minute + o)"))).drop("minute")
 
 
 @query("speaker_count_frames", f"WITH {_FRAMES}, a AS (SELECT frame, user_id, max(v) AS v FROM x GROUP BY ALL) SELECT frame, CAST(round_even(CAST(sum(CASE WHEN v > 50000 THEN 1 ELSE 0 END) AS DOUBLE) / 2, 0) AS INTEGER) AS n_speakers FROM a GROUP BY frame")
@@ -129,7 +136,7 @@ def speaker_count_frames(spark, d):
     return a.groupBy("frame").agg(F.rint(F.sum(F.when(F.col("v") > 50_000, 1).otherwise(0)).cast("double") / 2).cast("int").alias("n_speakers"))
 
 
-@query("top_count_reconstruct", f"WITH {_FRAMES}, a AS (SELECT frame, user_id, max(v) AS v FROM x GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY v DESC, user_id) AS place FROM a) SELECT frame, user_id, v, CAST(place AS INTEGER) AS place FROM k WHERE place <= 2")
+@query("top_count_reconstruct", f"WITH {_FRAMES}, a AS (SELECT frame, user_id, max(v) AS v FROM x GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY v DESC NULLS LAST, user_id) AS place, round_even(CAST(sum(CASE WHEN v > 50000 THEN 1 ELSE 0 END) OVER (PARTITION BY frame) AS DOUBLE) / 2, 0) AS n FROM a) SELECT frame, user_id, v, CAST(place AS INTEGER) AS place FROM k WHERE place <= n")
 def top_count_reconstruct(spark, d):
     a = _frames(spark, d).groupBy("frame", "user_id").agg(F.max("v").alias("v"))
     w = Window.partitionBy("frame").orderBy(F.desc("v"), "user_id")
@@ -138,14 +145,14 @@ def top_count_reconstruct(spark, d):
     return a.withColumns({"place": F.row_number().over(w), "n_speakers": n}).where("place <= n_speakers").select("frame", "user_id", "v", "place")
 
 
-@query("token_loop_breaker", f"WITH {UTTERANCES_SQL}, {_WORDS}, o AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY pos, k) AS n FROM w), m AS (SELECT *, list(word) OVER (PARTITION BY rec_id ORDER BY n ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS l FROM o) SELECT rec_id, CAST(n AS INTEGER) AS n, word, n > 15 AND len(list_distinct(l)) <= 12 AS loops FROM m")
+@query("token_loop_breaker", f"WITH {UTTERANCES_SQL}, {_WORDS}, o AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY pos, k) AS n FROM w), m AS (SELECT *, list(word) OVER (PARTITION BY rec_id ORDER BY n ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS l FROM o) SELECT rec_id, CAST(n AS INTEGER) AS n, word, n > 15 AND len(list_distinct(l)) <= 3 AS loops FROM m")
 def token_loop_breaker(spark, d):
     w = utterances(spark, d).select("rec_id", "pos", F.posexplode(F.regexp_extract_all("text", F.lit("[^ ]+"), 0)).alias("k", "word"))
     w = w.withColumn("n", F.row_number().over(Window.partitionBy("rec_id").orderBy("pos", "k")))
-    return timeline.looping(w, ["rec_id"], "n", "word", 15, 12).select("rec_id", "n", "word", "loops")
+    return timeline.looping(w, ["rec_id"], "n", "word", 15, 3).select("rec_id", "n", "word", "loops")
 
 
-@query("merge_languages", "WITH l AS (SELECT doc_id // 10 AS rec_id, doc_id AS pos, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE lang END AS lang FROM documents), n AS (SELECT *, lag(lang) OVER (PARTITION BY rec_id ORDER BY pos) AS p FROM l WHERE trim(coalesce(lang, '')) <> '') SELECT rec_id, string_agg(lang, ',' ORDER BY pos) AS languages FROM n WHERE p IS NULL OR p <> lang GROUP BY rec_id")
+@query("merge_languages", "WITH l AS (SELECT doc_id // 10 AS rec_id, doc_id AS pos, lang FROM documents), n AS (SELECT *, lag(lang) OVER (PARTITION BY rec_id ORDER BY pos) AS p FROM l WHERE trim(coalesce(lang, '')) <> '') SELECT rec_id, string_agg(lang, ',' ORDER BY pos) AS languages FROM n WHERE p IS NULL OR p <> lang GROUP BY rec_id")
 def merge_languages(spark, d):
     l = table(spark, d, "documents").select(F.expr("doc_id div 10").alias("rec_id"), F.col("doc_id").alias("pos"), "lang")
     return timeline.merge_languages(l, ["rec_id"], "pos", "lang")
@@ -156,19 +163,24 @@ def merged_text(spark, d):
     return utterances(spark, d).groupBy("rec_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "").alias("text"))
 
 
-@query("run_statistics", f"WITH {UTTERANCES_SQL} SELECT rec_id, CAST(sum(dur_ms) AS BIGINT) AS audio_ms, CAST(sum(length(text)) AS BIGINT) AS chars, CASE WHEN sum(dur_ms) = 0 THEN NULL ELSE CAST(sum(length(text)) AS DOUBLE) * 1000 / sum(dur_ms) END AS chars_per_s FROM utterances GROUP BY rec_id")
+@query("run_statistics", f"WITH {UTTERANCES_SQL}, r AS (SELECT rec_id, CAST(sum(dur_ms) AS BIGINT) AS audio_ms, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(len(regexp_extract_all(text, '[^ ]+'))) AS BIGINT) AS tokens, CAST(sum(CASE WHEN speaker = 'user' THEN 0 ELSE 7 * length(text) END) AS BIGINT) AS run_ms FROM utterances GROUP BY rec_id) SELECT *, CASE WHEN audio_ms > 0 THEN CAST(run_ms AS DOUBLE) / audio_ms ELSE 0 END AS rtf, CASE WHEN run_ms > 0 THEN CAST(tokens AS DOUBLE) * 1000 / run_ms ELSE 0 END AS tokens_per_s FROM r")
 def run_statistics(spark, d):
-    u = utterances(spark, d).groupBy("rec_id").agg(F.sum("dur_ms").alias("audio_ms"), F.sum(F.length("text")).alias("chars"))
-    return u.withColumn("chars_per_s", F.try_divide(F.col("chars").cast("double") * 1000, F.col("audio_ms")))
+    """Real-time factor and speed of runs; 0 where there is nothing to divide by. Seven milliseconds for each character that isn't the user's stand in for the run."""
+    u = utterances(spark, d).withColumns({"tokens": F.size(F.regexp_extract_all("text", F.lit("[^ ]+"), 0)), "run_ms": F.when(F.col("speaker") == "user", 0).otherwise(7 * F.length("text"))})
+    r = u.groupBy("rec_id").agg(F.sum("dur_ms").alias("audio_ms"), F.sum(F.length("text")).alias("chars"), F.sum("tokens").alias("tokens"), F.sum("run_ms").alias("run_ms"))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
+    return r.withColumns({"rtf": ratio(F.col("run_ms"), F.col("audio_ms")), "tokens_per_s": ratio(F.col("tokens") * 1000, F.col("run_ms"))})
 
 
-@query("profile_rollup", "WITH k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events), g AS (SELECT event_type, count(*) AS calls, CAST(sum(CAST(round(value * 1000) AS BIGINT)) AS BIGINT) AS total FROM k WHERE n > 1 GROUP BY event_type) SELECT event_type, calls, total, CAST(total AS DOUBLE) / calls AS mean, total * 1000 // CAST(sum(total) OVER () AS BIGINT) AS permille FROM g")
+@query("profile_rollup", "WITH k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events), g AS (SELECT event_type, count(*) AS calls, CAST(sum(CAST(round(value * 1000) AS BIGINT)) AS BIGINT) AS total FROM k WHERE n > 1 GROUP BY event_type), p AS (SELECT *, CAST(total AS DOUBLE) / calls AS mean, 100 * CAST(total AS DOUBLE) / CAST(sum(total) OVER () AS BIGINT) AS pct FROM g) SELECT * FROM p WHERE pct >= 0.1")
 def profile_rollup(spark, d):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    k = table(spark, d, "events").withColumn("n", F.row_number().over(w)).where("n > 1")
-    g = k.groupBy("event_type").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.round(F.col("value") * 1000).cast("long")).alias("total"))
-    whole = g.agg(F.sum("total").alias("whole"))
-    return g.join(F.broadcast(whole)).select("event_type", "calls", "total", (F.col("total").cast("double") / F.col("calls")).alias("mean"), F.expr("total * 1000 div whole").alias("permille"))
+    """Calls without each operator's first, which warms up: number, mean, share of all; shares under 0.1 % are left out, the dearest come first."""
+    ms = F.round(F.col("value") * 1000).cast("long")
+    g = table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(ms).alias("sum"), F.min_by(ms, F.struct("ts", "event_id")).alias("first"))
+    g = g.where("n > 1").select("event_type", (F.col("n") - 1).alias("calls"), (F.col("sum") - F.coalesce("first", F.lit(0))).alias("total"))
+    whole = F.sum("total").over(Window.partitionBy())  # over one row for each operator
+    p = g.withColumns({"mean": F.col("total").cast("double") / F.col("calls"), "pct": 100 * F.col("total").cast("double") / whole})
+    return p.where("pct >= 0.1").orderBy(F.desc("total"))
 
 
 @query("alignment_shift", f"WITH {UTTERANCES_SQL} SELECT rec_id, avg(CAST(abs(start_ms - (start_ms // 80) * 80) AS DOUBLE)) AS shift_ms FROM utterances GROUP BY rec_id")
@@ -176,7 +188,7 @@ def alignment_shift(spark, d):
     return utterances(spark, d).groupBy("rec_id").agg(F.avg(F.abs(F.col("start_ms") - F.expr("start_ms div 80 * 80")).cast("double")).alias("shift_ms"))
 
 
-@query("character_errors", f"WITH {UTTERANCES_SQL}, t AS (SELECT rec_id, pos, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM utterances), p AS (SELECT rec_id, pos, left(text, 60) AS a, left(lag(text) OVER (PARTITION BY rec_id ORDER BY pos), 60) AS b FROM t) SELECT rec_id, CAST(sum(levenshtein(a, b)) AS BIGINT) AS edits, CAST(sum(length(b)) AS BIGINT) AS chars FROM p WHERE b IS NOT NULL GROUP BY rec_id")
+@query("character_errors")
 def character_errors(spark, d):
     w = Window.partitionBy("rec_id").orderBy("pos")
     p = utterances(spark, d).select("rec_id", F.col("text").alias("a"), F.lag("text").over(w).alias("b")).where("b is not null")
@@ -185,7 +197,7 @@ def character_errors(spark, d):
 
 @query("latency_percentiles", "SELECT event_type, quantile_cont(value, 0.95) AS p95, count(*) AS n FROM events GROUP BY event_type")
 def latency_percentiles(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.percentile("value", F.lit(0.95)).alias("p95"), F.count(F.lit(1)).alias("n"))
+    return numeric.exact_percentile(table(spark, d, "events"), "event_type", "value", 0.95).withColumnRenamed("percentile", "p95")
 
 
 @query("stage_progress", f"WITH {UTTERANCES_SQL} SELECT rec_id, pos, least(99, 25 + 55 * (row_number() OVER (PARTITION BY rec_id ORDER BY pos)) // (count(*) OVER (PARTITION BY rec_id))) AS percent FROM utterances")
@@ -200,6 +212,15 @@ def batches(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.expr("(row_number() over (partition by conv_id order by turn) - 1) div 4").alias("batch"))
 
 
-@query("missing_speakers_anti", "SELECT DISTINCT label FROM embeddings e WHERE label NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)")
+@query("missing_speakers_anti", "SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT label FROM embeddings WHERE label IS NOT NULL)")
 def missing_speakers_anti(spark, d):
-    return table(spark, d, "embeddings").select("label").distinct().join(table(spark, d, "events").select(F.col("user_id").cast("int").alias("label")), "label", "left_anti")
+    """Users without an embedding."""
+    return table(spark, d, "events").select("user_id").where("user_id is not null").distinct().join(table(spark, d, "embeddings").select(F.col("label").cast("long").alias("user_id")), "user_id", "left_anti")
+
+
+@query("language_check", "SELECT lang, count(*) AS n, lang IS NOT NULL AND name IN ('English', 'French', 'Spanish') AS valid FROM (SELECT lang, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'Deutsch' WHEN 'es' THEN 'Spanish' ELSE lang END AS name FROM documents) GROUP BY lang, name")
+def language_check(spark, d):
+    """Documents of each language, and whether its name, however written, is one that is supported."""
+    names = F.create_map(*(F.lit(x) for x in ("en", "english", "fr", " FRENCH", "de", "Deutsch", "es", "spanish ")))
+    g = table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return g.select("lang", "n", T.is_language(F.coalesce(names[F.col("lang")], "lang")).alias("valid"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import itn as N
 from ..functions import text as T
-from ..operators import align, segment
+from ..operators import align, intervals, segment
 from ..sources import subtitles
 from .adapters import UTTERANCES_SQL, table, utterances
 
@@ -40,13 +40,13 @@ def ends_sentence_flag(spark, d):
     return utterances(spark, d).select("rec_id", "pos", T.ends_sentence(F.col("text")).alias("ends"))
 
 
-@query("smart_join_text", f"WITH {UTTERANCES_SQL}, n AS (SELECT rec_id, list(trim(text) ORDER BY pos) AS l FROM utterances GROUP BY rec_id) SELECT rec_id, list_reduce(list_prepend('', l), lambda a, x: CASE WHEN a = '' OR x = '' THEN a || x WHEN regexp_matches(right(a, 1), '[A-Za-z0-9,.;:!?%)\\]}}''\"]') AND regexp_matches(left(x, 1), '[A-Za-z0-9(\\[{{$#@''\"&]') THEN a || ' ' || x ELSE a || x END) AS text FROM n")
+@query("smart_join_text", f"WITH {UTTERANCES_SQL}, n AS (SELECT rec_id, list(trim(text) ORDER BY pos) AS l FROM utterances GROUP BY rec_id) SELECT rec_id, list_reduce(list_prepend('', l), lambda a, x: CASE WHEN a = '' OR x = '' THEN a || x WHEN regexp_matches(right(a, 1), '[0-9A-Za-z.,!?;:''\")\\]%-]') AND regexp_matches(left(x, 1), '[0-9A-Za-z(''\"\\[$¥#@]') THEN a || ' ' || x ELSE a || x END) AS text FROM n")
 def smart_join_text(spark, d):
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.trim("text").alias("text")))), lambda x: x["text"])
     return utterances(spark, d).groupBy("rec_id").agg(ordered.alias("l")).select("rec_id", T.smart_join(F.col("l")).alias("text"))
 
 
-@query("clean_token", r"SELECT doc_id, regexp_replace(left(text, 200), '[^\p{L}\p{N}'']', '', 'g') AS cleaned FROM documents")
+@query("clean_token", r"SELECT doc_id, regexp_replace(text, '[^\p{L}\p{N}'']', '', 'g') AS cleaned FROM documents")
 def clean_token(spark, d):
     return table(spark, d, "documents").select("doc_id", T.clean_token(F.col("text")).alias("cleaned"))
 
@@ -57,7 +57,7 @@ def tokenize_general(spark, d):
     return t.select("item_id", F.size("t").alias("n_tokens"), F.try_element_at("t", F.lit(1)).alias("first_token"), F.try_element_at("t", F.lit(-1)).alias("last_token"))
 
 
-@query("speaker_prefix_split", f"WITH {UTTERANCES_SQL}, t AS (SELECT rec_id, pos, ' [' || speaker || '] ' || text AS tagged FROM utterances) SELECT rec_id, pos, regexp_extract(tagged, '^\\s*\\[([^\\]]{{1,32}})\\]\\s*', 1) AS speaker, regexp_replace(tagged, '^\\s*\\[([^\\]]{{1,32}})\\]\\s*', '') AS body FROM t")
+@query("speaker_prefix_split", f"WITH {UTTERANCES_SQL}, t AS (SELECT rec_id, pos, ' [' || speaker || '] ' || text AS tagged FROM utterances) SELECT rec_id, pos, regexp_extract(tagged, '^\\s*\\[([^\\]]{{1,32}})\\]\\s*', 1) AS speaker, regexp_replace(regexp_replace(tagged, '^\\s*\\[([^\\]]{{1,32}})\\]\\s*', ''), '^\\s+|\\s+$', '', 'g') AS body FROM t")
 def speaker_prefix_split(spark, d):
     u = utterances(spark, d).withColumn("tagged", F.concat(F.lit(" ["), "speaker", F.lit("] "), F.col("text")))
     speaker, body = T.speaker_prefix(F.col("tagged"))
@@ -109,11 +109,18 @@ def srt_roundtrip(spark, d):
     return subtitles.parse(subtitles.render(_subtitles(spark, d)))
 
 
-@query("srt_json", f"WITH {UTTERANCES_SQL} SELECT rec_id, CAST(pos AS BIGINT) AS idx, start_ms, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS chars FROM utterances")
+@query("srt_json", f"WITH {UTTERANCES_SQL} SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY start_ms, pos) AS idx, round(CAST(start_ms AS DOUBLE) / 1000, 3) AS start, round(CAST(end_ms AS DOUBLE) / 1000, 3) AS \"end\", speaker, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM utterances")
 def srt_json(spark, d):
-    j = subtitles.to_json(_subtitles(spark, d))
-    back = F.from_json("json", "index long, start double, end double, speaker string, text string")
-    return j.select("rec_id", back.alias("j")).select("rec_id", F.col("j.index").alias("idx"), F.round(F.col("j.start") * 1000).cast("long").alias("start_ms"), F.length("j.text").cast("long").alias("chars"))
+    """Rows as one JSON document for each recording, and back."""
+    back = F.from_json("json", "array<struct<index long, start double, end double, speaker string, text string>>")
+    return subtitles.to_json(_subtitles(spark, d)).select("rec_id", F.inline(back)).withColumnRenamed("index", "idx")
+
+
+@query("srt_has_speaker", f"WITH {UTTERANCES_SQL} SELECT rec_id, count(*) AS n, bool_or(rec_id % 2 = 0) AS has_speaker FROM utterances WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' GROUP BY rec_id")
+def srt_has_speaker(spark, d):
+    """Files with and without speakers, as they are loaded."""
+    some = _subtitles(spark, d).withColumn("speaker", F.when(F.col("rec_id") % 2 == 0, F.col("speaker")).otherwise(""))
+    return subtitles.with_flag(subtitles.parse(subtitles.render(some))).groupBy("rec_id").agg(F.count(F.lit(1)).alias("n"), F.first("has_speaker").alias("has_speaker"))
 
 
 @query("text_paragraphs", r"SELECT item_id, regexp_replace(regexp_replace(text, '([，。？！：])', '\1' || chr(10), 'g'), '([A-Za-z][,.]) ', '\1' || chr(10), 'g') AS text FROM benchmark")
@@ -180,10 +187,58 @@ def merge_short(spark, d):
 
 @query("build_subtitles")
 def build_subtitles(spark, d):
-    from ..operators import timeline
+    return segment.build_subtitles(_items(spark, d))
+
+
+def _speaker_turns(spark, d):
+    u = utterances(spark, d)
+    return u.join(intervals.speaker_labels(u, ["rec_id"]), ["rec_id", "speaker"]).select("rec_id", F.col("pos").alias("seq"), "start_ms", "end_ms", F.col("spk").alias("label"))
+
+
+_SPK = """labels_ AS (SELECT rec_id, speaker, 'spk' || CAST(row_number() OVER (PARTITION BY rec_id ORDER BY s, e, speaker) - 1 AS VARCHAR) AS spk FROM (SELECT rec_id, speaker, min(start_ms) AS s, arg_min(end_ms, (start_ms, end_ms)) AS e FROM utterances GROUP BY ALL)),
+  turns AS (SELECT rec_id, pos AS seq, start_ms, end_ms, spk AS label FROM utterances JOIN labels_ USING (rec_id, speaker))"""
+
+
+@query("attach_speakers", f"WITH {UTTERANCES_SQL}, {_SPK}, c AS (SELECT rec_id, pos AS idx, start_ms + 1000 AS s, CASE WHEN pos % 3 = 0 THEN start_ms + 1000 ELSE end_ms + 2500 END AS e FROM utterances), v AS (SELECT c.rec_id, c.idx, label, sum(least(e, end_ms) - greatest(s, start_ms)) AS ov, min(seq) AS f FROM c JOIN turns t ON t.rec_id = c.rec_id AND e > s AND start_ms < e AND s < end_ms GROUP BY ALL), b AS (SELECT rec_id, idx, label FROM v QUALIFY row_number() OVER (PARTITION BY rec_id, idx ORDER BY ov DESC, f) = 1), p AS (SELECT c.rec_id, c.idx, label FROM c JOIN turns t ON t.rec_id = c.rec_id AND e <= s AND start_ms <= s AND s < end_ms QUALIFY row_number() OVER (PARTITION BY c.rec_id, c.idx ORDER BY start_ms, seq) = 1) SELECT c.rec_id, c.idx, s AS start_ms, e AS end_ms, coalesce(b.label, p.label, '') AS speaker FROM c LEFT JOIN b ON b.rec_id = c.rec_id AND b.idx = c.idx LEFT JOIN p ON p.rec_id = c.rec_id AND p.idx = c.idx")
+def attach_speakers(spark, d):
+    """Spans that reach into the next turn, and points."""
+    u = utterances(spark, d)
+    end = F.when(F.col("pos") % 3 == 0, F.col("start_ms") + 1000).otherwise(F.col("end_ms") + 2500)
+    spans = u.select("rec_id", F.col("pos").alias("idx"), (F.col("start_ms") + 1000).alias("start_ms"), end.alias("end_ms"))
+    return segment.attach_speakers(spans, _speaker_turns(spark, d), ["rec_id", "idx"])
+
+
+@query("speaker_subtitles")
+def speaker_subtitles(spark, d):
+    """Lines that change with the speaker."""
+    return segment.build_subtitles(_items(spark, d), _speaker_turns(spark, d))
+
+
+@query("alignment_srt")
+def alignment_srt(spark, d):
+    return subtitles.render(speaker_subtitles(spark, d))
+
+
+@query("subtitles_from_text")
+def subtitles_from_text(spark, d):
+    texts = utterances(spark, d).groupBy("rec_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"), F.max("end_ms").alias("total_ms"))
+    return segment.build_subtitles_from_text(texts, _speaker_turns(spark, d))
+
 
-    lines = segment.merge_short_lines(segment.pack_lines(_clauses(spark, d)))
-    return timeline.normalize(lines.withColumn("text", N.itn(F.col("text"))), ["rec_id"], ["start_ms", "idx"])
+@query("alignment_json", f"WITH {UTTERANCES_SQL}, {_SPK}, w AS (SELECT rec_id, pos, unnest(regexp_extract_all(text, '\\S+')) AS word, generate_subscripts(regexp_extract_all(text, '\\S+'), 1) AS k FROM utterances), i AS (SELECT rec_id, word || ' ' AS text, row_number() OVER (PARTITION BY rec_id ORDER BY pos, k) AS n, CAST(coalesce(sum(200 * length(word)) OVER (PARTITION BY rec_id ORDER BY pos, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s, CAST(sum(200 * length(word)) OVER (PARTITION BY rec_id ORDER BY pos, k ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM w), v AS (SELECT i.rec_id, n, label, sum(least(e, end_ms) - greatest(s, start_ms)) AS ov, min(seq) AS f FROM i JOIN turns t ON t.rec_id = i.rec_id AND start_ms < e AND s < end_ms GROUP BY ALL), b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY rec_id, n ORDER BY ov DESC, f) = 1) SELECT i.rec_id, i.text, round(CAST(s AS DOUBLE) / 1000, 3) AS start, round(CAST(e AS DOUBLE) / 1000, 3) AS \"end\", coalesce(label, '') AS speaker FROM i LEFT JOIN b ON b.rec_id = i.rec_id AND b.n = i.n")
+def alignment_json(spark, d):
+    """Words with their speakers as one JSON document for each recording, and back."""
+    items = segment.attach_speakers(_items(spark, d), _speaker_turns(spark, d), ["rec_id", "pos"])
+    back = F.from_json("json", "array<struct<text string, start double, end double, speaker string>>")
+    return subtitles.words_json(items).select("rec_id", F.inline(back))
+
+
+@query("export_text", f"WITH {UTTERANCES_SQL}, t AS (SELECT rec_id, string_agg(text, ' ' ORDER BY pos) AS text, string_agg('[' || speaker || '] ' || text, chr(10) ORDER BY pos) || chr(10) AS spoken FROM utterances GROUP BY rec_id) SELECT rec_id, regexp_replace(regexp_replace(text, '([，。？！：])', '\\1' || chr(10), 'g'), '([A-Za-z][,.] )', '\\1' || chr(10), 'g') AS text, spoken FROM t")
+def export_text(spark, d):
+    """A recording's text in lines after its signs, and line by line with its speakers."""
+    ordered = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("pos", x.alias("x")))), lambda r: r["x"])
+    u = utterances(spark, d).groupBy("rec_id").agg(F.array_join(ordered(F.col("text")), " ").alias("text"), F.concat(F.array_join(ordered(T.spoken(F.col("speaker"), F.col("text"))), "\n"), F.lit("\n")).alias("spoken"))
+    return u.select("rec_id", T.text_file(N.itn(F.col("text"))).alias("text"), "spoken")
 
 
 @query("translation_units")
@@ -191,10 +246,29 @@ def translation_units(spark, d):
     return segment.translation_units(_subtitles(spark, d))
 
 
+@query("group_conservation", f"WITH {UTTERANCES_SQL} SELECT rec_id, CAST(sum(dur_ms) AS BIGINT) AS rows_ms, CAST(sum(dur_ms) AS BIGINT) AS units_ms, count(*) AS n_rows FROM utterances WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' GROUP BY rec_id")
+def group_conservation(spark, d):
+    """Units take all rows and all of their time."""
+    rows = _subtitles(spark, d).where("text <> ''").groupBy("rec_id").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("rows_ms"))
+    units = segment.translation_units(_subtitles(spark, d)).groupBy("rec_id").agg(F.sum("duration_ms").alias("units_ms"), F.sum("n_rows").alias("n_rows"))
+    return rows.join(units, "rec_id")
+
+
+def _translated(spark, d):
+    u = segment.translation_units(_subtitles(spark, d))
+    signs = F.regexp_replace(F.regexp_replace("text", r"\. ?", "。"), ", ?", "，")
+    return u.withColumn("translation", F.when(F.col("idx") % 4 == 0, F.lit(None)).when(F.col("idx") % 4 == 2, F.lit(" ")).otherwise(signs))
+
+
 @query("split_translation")
 def split_translation(spark, d):
-    u = segment.translation_units(_subtitles(spark, d)).withColumn("translation", F.regexp_replace(F.regexp_replace("text", r"\. ?", "。"), ", ?", "，"))
-    return segment.translated_rows(u)
+    return segment.translated_rows(_translated(spark, d))
+
+
+@query("translated_segments")
+def translated_segments(spark, d):
+    """Units without a translation keep their rows."""
+    return segment.translated_rows(_translated(spark, d), _subtitles(spark, d))
 
 
 @query("translation_backfill", f"WITH {UTTERANCES_SQL} SELECT rec_id, pos, CASE WHEN pos % 3 = 0  THEN text ELSE '>' || text END AS text, pos % 3 = 0 AS is_source FROM utterances")
@@ -224,35 +298,40 @@ def reconcile_gaps(spark, d):
     return utterances(spark, d).where("text <> ''").select("rec_id", "pos", rebuilt("text", T.tokens(F.col("text"))).alias("text"))
 
 
-_TRANSLATIONS = [('"你好"', "你好"), ("译文：你好", "你好"), ("**你好**", "你好"), ("<think>x\ny</think>好", "好"), ("“早”", "早"), (None, "")]
+def _clean_sql() -> str:
+    """The rule step by step over the column t of r."""
+    strip = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    steps = [strip("regexp_replace(regexp_replace(t, '(?s)<think>.*?</think>', '', 'g'), '</?think>', '', 'g')"), strip("regexp_replace(t, '(?i)^(?:译文|翻译结果|翻译|translation)\\s*[:：]\\s*', '')"), strip("replace(t, '**', '')")]
+    steps += [f"CASE WHEN length(t) >= 2 AND left(t, 1) = '{a}' AND right(t, 1) = '{b}' THEN {strip('substr(t, 2, length(t) - 2)')} ELSE t END" for a, b in ('""', ("''", "''"), "「」", "『』", "“”", "‘’")]
+    steps.append(strip("regexp_replace(t, '^(?:译文|翻译)\\s*[:：]\\s*', '')"))
+    sql = "r"
+    for step in steps:
+        sql = f"(SELECT rec_id, pos, {step} AS t FROM {sql})"
+    return f"SELECT rec_id, pos, t AS text FROM {sql}"
 
 
-@query("clean_translation", _sql_values(_TRANSLATIONS, "raw, text"))
-def clean_translation(spark, d):
-    r = _values(spark, "raw string", [(a,) for a, _ in _TRANSLATIONS])
-    return r.select("raw", T.clean_translation(F.col("raw")).alias("text"))
+_REPLY = f"r AS (SELECT rec_id, pos, CASE pos % 6 WHEN 0 THEN '\"' || text || '\"' WHEN 1 THEN '译文：' || text WHEN 2 THEN '**' || text || '** ' WHEN 3 THEN '<think>x' || chr(10) || 'y</think>' || text WHEN 4 THEN 'Translation: 「' || text || '」' ELSE '“翻译：' || text || '”' END AS t FROM utterances)"
 
 
-_REPLIES = [("1. 你好\n2. 世界\n3. 再见", 3, "你好|世界|再见"), ("1. 你好\n2. 世界", 3, None), ("1. 第一行\n续写内容\n2. 第二行", 2, "第一行续写内容|第二行"), ("好的，这是译文", 1, "好的，这是译文")]
+@query("clean_translation", f"WITH {UTTERANCES_SQL}, {_REPLY} {_clean_sql()}")
+def clean_translation(spark, d):
+    wrapped = ["'\"' || text || '\"'", "'译文：' || text", "'**' || text || '** '", "'<think>x\\ny</think>' || text", "'Translation: 「' || text || '」'"]
+    raw = F.expr("CASE pos % 6 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(wrapped)) + " ELSE '“翻译：' || text || '”' END")
+    return utterances(spark, d).select("rec_id", "pos", T.clean_translation(raw).alias("text"))
 
 
-@query("parse_numbered", _sql_values(_REPLIES, "reply, count, parts"))
+@query("parse_numbered", f"WITH {UTTERANCES_SQL}, u AS (SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY pos) AS k, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM utterances) SELECT rec_id, CASE WHEN bool_or(t = '') OR (rec_id % 5 = 0 AND count(*) > 1) THEN NULL ELSE string_agg(CASE WHEN k = 1 AND rec_id % 3 = 0 THEN t || CASE WHEN regexp_matches(right(t, 1), '[0-9A-Za-z.,!?;:''\")\\]%-]') THEN ' ' ELSE '' END || 'more' ELSE t END, '|' ORDER BY k) END AS parts FROM u GROUP BY rec_id")
 def parse_numbered(spark, d):
-    r = _values(spark, "reply string, count int", [(a, n) for a, n, _ in _REPLIES])
-    lines = F.filter(F.split("reply", "\n"), lambda x: F.trim(x) != "")
-    number = r"^\s*(\d+)\s*[.、)）:：]\s*(.*)$"
-
-    def add(acc, x):
-        n = F.regexp_extract(x, number, 1)
-        starts = (n != "") & (F.try_to_number(n, F.lit("999")).cast("int") == F.size(acc) + 1)
-        more = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(F.try_element_at(acc, F.lit(-1)), F.trim(x))))
-        return F.when(starts, F.concat(acc, F.array(F.trim(F.regexp_extract(x, number, 2))))).when(F.size(acc) > 0, more).otherwise(acc)
+    """Numbered replies from the last to the first; in some a line goes on, in others one is missing."""
+    @F.pandas_udf("array<string>")
+    def parts(reply: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([T.numbered_translations(r, k, segment.join_pieces) for r, k in zip(reply, n)])
 
-    slots = F.aggregate(lines, F.array().cast("array<string>"), add)
-    parts = r.select("reply", "count", slots.alias("slots"))
-    full = (F.size("slots") == F.col("count")) & (F.size(F.filter("slots", lambda x: x == "")) == 0)
-    out = F.when(full, F.array_join("slots", "|")).when(F.col("count") == 1, F.trim(F.regexp_replace("reply", number, "$2")))
-    return parts.select("reply", "count", out.alias("parts"))
+    u = _subtitles(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("rec_id").orderBy("idx")))
+    line = F.concat(F.lit(" 第"), F.col("k").cast("string"), F.lit("条: "), "text", F.when((F.col("k") == 1) & (F.col("rec_id") % 3 == 0), "\nmore").otherwise(""))
+    g = u.withColumn("line", F.when((F.col("k") != 2) | (F.col("rec_id") % 5 != 0), line)).groupBy("rec_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line")), False), lambda x: x["line"]), "\n\n").alias("reply"))
+    g = g.select("rec_id", parts("reply", "n").alias("p"))
+    return g.select("rec_id", F.array_join("p", "|").alias("parts"))
 
 
 @query("numbered_prompt", f"WITH {UTTERANCES_SQL} SELECT rec_id, CAST(count(*) AS BIGINT) AS n, string_agg(CAST(k AS VARCHAR) || '. ' || text, chr(10) ORDER BY k) AS prompt FROM (SELECT rec_id, text, row_number() OVER (PARTITION BY rec_id ORDER BY pos) AS k FROM utterances) GROUP BY rec_id")
@@ -262,17 +341,19 @@ def numbered_prompt(spark, d):
     return u.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(lines, "\n").alias("prompt"))
 
 
-_PATHS = ["a.mp4", "b.srt", "c.wav", "d.SRT", "dir.x/e"]
+@query("route_files", "WITH p AS (SELECT page_id, url || CASE page_id % 4 WHEN 0 THEN '.mp4' WHEN 1 THEN '.SRT' WHEN 2 THEN '.srt' ELSE '' END AS path FROM pages) SELECT page_id, regexp_matches(path, '[^/]\\.[sS][rR][tT]$') AS subtitle, nullif(regexp_replace(path, '([^/])\\.[^./]+$', '\\1') || CASE WHEN page_id % 8 = 2 THEN '' ELSE '.zh' END || '.srt', path) AS output FROM p")
+def route_files(spark, d):
+    """Whether an input is a subtitle file, and where its translation goes; null where that would be the input itself."""
+    ends = F.element_at(F.array(F.lit(".mp4"), F.lit(".SRT"), F.lit(".srt"), F.lit("")), (F.col("page_id") % 4 + 1).cast("int"))
+    p = table(spark, d, "pages").select("page_id", F.concat("url", ends).alias("path"))
+    output = F.when(F.col("page_id") % 8 == 2, T.output_path(F.col("path"), "")).otherwise(T.output_path(F.col("path"), ".zh"))
+    return p.select("page_id", T.is_subtitle_file(F.col("path")).alias("subtitle"), output.alias("output"))
 
 
-@query("route_files", _sql_values([("a.mp4", "media", "a.zh.srt"), ("b.srt", "subtitle", "b.zh.srt"), ("c.wav", "media", "c.zh.srt"), ("d.SRT", "subtitle", "d.zh.srt"), ("dir.x/e", "media", "dir.x/e.zh.srt")], "path, kind, output"))
-def route_files(spark, d):
-    p = _values(spark, "path string", [(x,) for x in _PATHS])
-    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    return p.select("path", F.when(suffix.isin(".srt"), "subtitle").otherwise("media").alias("kind"), F.concat(F.regexp_replace("path", r"\.[^./]+$", ""), F.lit(".zh.srt")).alias("output"))
+_LAST = "regexp_extract(a, '[^\\x01]*$')"
 
 
-@query("split_oversize", "SELECT item_id, replace(text, chr(10), ' ') AS text FROM benchmark WHERE NOT contains(replace(text, chr(10), ' '), '  ')")
+@query("split_oversize", f"WITH t AS (SELECT item_id, replace(text, chr(10), ' ') AS t FROM benchmark), l AS (SELECT item_id, CASE WHEN t IS NULL THEN NULL WHEN t = '' THEN [] WHEN length(t) <= 48 THEN [t] WHEN NOT contains(t, ' ') THEN [substr(t, i, 48) FOR i IN range(1, length(t) + 1, 48)] ELSE list_filter(string_split(list_reduce(string_split(t, ' '), lambda a, x: CASE WHEN {_LAST} = '' THEN a || x WHEN length({_LAST}) + 1 + length(x) <= 48 THEN a || ' ' || x ELSE a || chr(1) || x END), chr(1)), lambda x: x <> '') END AS lines FROM t) SELECT item_id, array_to_string(lines, ' ') AS text, lines FROM l")
 def split_oversize(spark, d):
     """The wrapped lines of every item, and those joined by spaces; null: null. Line breaks become spaces first."""
     @F.pandas_udf("array<string>")

@@ -69,6 +69,28 @@ def write_files(rendered: DataFrame, path: str, key: str = "rec_id") -> None:
     rendered.select(key, "content").write.mode("overwrite").partitionBy(key).text(path)
 
 
+def with_flag(rows: DataFrame, key: str = "rec_id") -> DataFrame:
+    """Parsed rows with has_speaker: whether any row of the file has a speaker."""
+    return rows.withColumn("has_speaker", F.max(F.coalesce("speaker", F.lit("")) != "").over(Window.partitionBy(key)))
+
+
+def _seconds(ms: str):
+    return F.round(F.col(ms) / 1000, 3)
+
+
+def _document(rows: DataFrame, order, columns: list) -> DataFrame:
+    """rec_id, json: the rows of each recording as a list of objects."""
+    listed = F.array_sort(F.collect_list(F.struct(order.alias("__at"), F.struct(*columns).alias("row"))))
+    return rows.groupBy("rec_id").agg(F.to_json(F.transform(listed, lambda x: x["row"])).alias("json"))
+
+
 def to_json(rows: DataFrame) -> DataFrame:
-    """idx, start, end (seconds, three digits), speaker and text as JSON, one string for each row."""
-    return rows.select("rec_id", "idx", F.to_json(F.struct(F.col("idx").alias("index"), (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), "speaker", "text")).alias("json"))
+    """index (from 1 in order of start), start, end (seconds, three digits), speaker and text, one JSON document for each recording."""
+    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("rec_id").orderBy("start_ms", "idx")))
+    return _document(numbered, F.col("n"), [F.col("n").alias("index"), _seconds("start_ms").alias("start"), _seconds("end_ms").alias("end"), F.col("speaker"), F.col("text")])
+
+
+def words_json(items: DataFrame) -> DataFrame:
+    """text, start, end (seconds, three digits) and speaker, if there is one, of items, one JSON document for each recording."""
+    speaker = [F.col("speaker")] if "speaker" in items.columns else []
+    return _document(items, F.struct("start_ms", "pos"), [F.col("text"), _seconds("start_ms").alias("start"), _seconds("end_ms").alias("end"), *speaker])
