@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,5 +65,15 @@ def words(text) -> F.Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
 
 
+_cache: list = ["", lambda: None]
+
+
+def only_cache(name: str, clear: Callable[[], None] = lambda: None) -> None:
+    """Called where an operator's task begins: a worker process is used by many operators in turn, and keeps the cache of the one at work only."""
+    if _cache[0] != name:
+        _cache[1]()
+        _cache[:] = [name, clear]
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read
+from .common import Scratch, only_cache, read
 
 ENTRY, THRESHOLD, OVERLAP, INDEX, BLOCK = 64, 0.6, 0.5, 20_000, 16
 #: Share of the threshold that the terms set aside may add to an entry.
@@ -278,6 +278,7 @@ def indexes(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> Iterator
         shared = spark.sparkContext.broadcast(index)
 
         def count(batches, shared=shared):
+            only_cache("decontamination")
             counts, n = np.zeros(len(shared.value.terms), np.int64), 0
             for b in batches:
                 c, m = shared.value.counts(b.column(0).to_pylist())

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, parallelism, read
+from .common import Scratch, only_cache, parallelism, read
 
 #: Places of the count sketch and of a Bloom filter; parts in which they are summed.
 SKETCH, BLOOM, PARTS = 1 << 20, 1 << 26, 64
@@ -83,6 +83,7 @@ def fixed_array(df: DataFrame, size: int, add) -> np.ndarray:
     step = size // PARTS
 
     def run(batches):
+        only_cache("jaccard")
         counts = np.zeros(size, np.int32)
         for b in batches:
             add(b, counts)
@@ -370,6 +371,7 @@ def link(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     levels = spark.sparkContext.broadcast(level)
 
     def windowed(batches):
+        only_cache("jaccard")
         lv = levels.value
         for b in batches:
             n, sig, keys, sketches = [], [], [], []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import only_cache, read
 
 BITS, SAMPLE, SHAPES = 18, 2500, 4096
 #: Words that a worker keeps the features of.
@@ -154,6 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     joined = joined.groupBy("y", "doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def run(batches):
+        only_cache("words", _words.clear)
         for b in batches:
             yield pa.RecordBatch.from_pydict({
                 "y": pa.array(b.column(0).to_pylist(), pa.int32()),
@@ -173,6 +174,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     at, names = docs.columns.index("text"), [*docs.columns, column]
 
     def run(batches):
+        only_cache("words", _words.clear)
         m = shared.value
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m.score(features(t)) for t in b.column(at).to_pylist()], pa.float64())], names=names)

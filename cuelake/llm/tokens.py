@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import only_cache
+
 #: Pieces that a worker keeps.
 KEEP = 1_200_000
 #: Characters of new pieces that go to the library in one call; bytes of text that are cut up together.
@@ -171,6 +173,7 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """One for each worker process."""
+    only_cache("tokens", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
