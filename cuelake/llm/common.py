@@ -55,6 +55,13 @@ class Scratch:
         path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column begins with it, whatever the case."""
+    while any(c.lower().startswith(name.lower()) for c in columns):
+        name += "_"
+    return name
+
+
 def scalar(df: DataFrame):
     """The only row of an aggregate."""
     return df.first()

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, only_cache, parallelism, read
+from .common import Scratch, fresh, only_cache, parallelism, read
 
 #: Places of the count sketch and of a Bloom filter; parts in which they are summed.
 SKETCH, BLOOM, PARTS = 1 << 20, 1 << 26, 64
@@ -618,12 +618,12 @@ def classes(linked: DataFrame) -> DataFrame:
 
 def filter_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component, the one with the least doc_id (null last), and of equal ones the first; rows with empty sets stay."""
-    scratch = Scratch(docs.sparkSession, "jaccard-filter")
-    kept = scratch.save(docs.withColumn("__uid", F.monotonically_increasing_id()), "docs")
-    linked = link(kept.select(F.col("__uid").alias("uid"), "doc_id", "text"), k, percent, scratch)
+    scratch, uid = Scratch(docs.sparkSession, "jaccard-filter"), fresh(docs.columns, "__uid")
+    kept = scratch.save(docs.withColumn(uid, F.monotonically_increasing_id()), "docs")
+    linked = link(kept.select(F.col(uid).alias("uid"), "doc_id", "text"), k, percent, scratch)
     first = linked.groupBy(F.when(F.col("n_shingles") > 0, F.col("root")), F.when(F.col("n_shingles") == 0, F.col("uid"))).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("x"))
-    stay = first.select(F.col("x.uid").alias("__uid"))
-    return kept.join(stay, "__uid", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    stay = first.select(F.col("x.uid").alias(uid))
+    return kept.join(stay, uid, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only_cache, read
+from .common import fresh, only_cache, read
 
 BITS, SAMPLE, SHAPES = 18, 2500, 4096
 #: Words that a worker keeps the features of.
@@ -189,8 +189,9 @@ def held_out():
 def filter_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that the classifier scores 0.5 or more, with the columns of ``docs``."""
     labels = read(spark, sf_dir, "labels").where(~held_out())
-    scored = score(docs, train(read(spark, sf_dir, "documents"), labels), "__quality_score")
-    return scored.where(F.col("__quality_score") >= 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
+    name = fresh(docs.columns, "__quality_score")
+    scored = score(docs, train(read(spark, sf_dir, "documents"), labels), name)
+    return scored.where(F.col(name) >= 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

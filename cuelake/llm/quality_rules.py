@@ -18,7 +18,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Scratch, read, scalar
+from .common import BLANKS, Scratch, fresh, read, scalar
 
 #: Letters that count as capitals.
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝŒŸ"
@@ -154,8 +154,9 @@ def base_failed(prefix: str = "__q_"):
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows whose posterior probability is at least 0.5, with the columns of ``docs``."""
-    judged = judge(stats(docs))
-    return judged.where(F.col("__q_quality") >= 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
+    prefix = fresh(docs.columns, "__q_")
+    judged = judge(stats(docs, prefix=prefix), prefix=prefix)
+    return judged.where(F.col(f"{prefix}quality") >= 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

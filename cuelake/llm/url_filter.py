@@ -13,8 +13,8 @@ most 257 * 256 rows whatever the input, are broadcast; the others are worked out
 are dealt into blocks of ``BLOCK``, and a block fetches the difference of each run that it has once.
 
 A null url, or one without ``://``, has empty host and path, and no rule fits; it scores 0 if null or empty. Without ruled
-urls of both kinds the threshold is 0 and all differences are 0: such urls are allowed. Repeated rows are judged alike; an empty
-table gives an empty result.
+urls of both kinds the threshold is 0 and all differences are 0: such urls are allowed. Urls of any length are judged whole. Repeated rows are judged alike; an empty
+table gives an empty result. html is left out, columns named like a result are replaced, and all others are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read
+from .common import Scratch, fresh, read
 
 #: Highest order, sightings that a context needs, weight of the lower order.
 ORDER, LEAST, SMOOTH = 5, 3, 1.5
@@ -143,7 +143,8 @@ def _scored(rows: DataFrame, models: Models) -> DataFrame:
     schema = rows.withColumn("score", F.lit(0.0)).schema
     if not models.fitted():
         return rows.withColumn("score", F.lit(0.0))
-    dealt = models.scratch.save(rows.withColumn("__deal", F.expr(f"monotonically_increasing_id() div {BLOCK}")), f"dealt-{uuid.uuid4().hex[:8]}")
+    deal = fresh(rows.columns, "__deal")
+    dealt = models.scratch.save(rows.withColumn(deal, F.expr(f"monotonically_increasing_id() div {BLOCK}")), f"dealt-{uuid.uuid4().hex[:8]}")
     shared = rows.sparkSession.sparkContext.broadcast((models.grams, models.counts))  # 257 * 256 rows at most
 
     def used(batches):
@@ -176,10 +177,10 @@ def _scored(rows: DataFrame, models: Models) -> DataFrame:
     def schema_table(columns: list) -> pa.Table:
         return pa.Table.from_arrays(columns, names=names)
 
-    seen = dealt.select("__deal", "url").mapInArrow(used, "deal long, gram long")
+    seen = dealt.select(deal, "url").mapInArrow(used, "deal long, gram long")
     last = lambda df: df.groupBy(F.shiftright(F.col("gram"), WIDE).bitwiseAND((1 << WIDE * (LOW + 1)) - 1).alias("last"))
     worth = last(seen.select("gram").distinct()).cogroup(last(models.table)).applyInArrow(differ, "gram long, difference double")
-    return dealt.groupBy("__deal").cogroup(seen.join(worth, "gram").groupBy("deal")).applyInArrow(score, schema)
+    return dealt.groupBy(deal).cogroup(seen.join(worth, "gram").groupBy("deal")).applyInArrow(score, schema)
 
 
 def _ruled(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
