@@ -15,10 +15,11 @@ class Utf8Parts:
         return self._decoder.decode(part, last)
 
 
-def rollback(tokens: list[int], k: int, decode) -> list[int]:
-    """The tokens less the last ``k``, and less more of them while the text would end in a broken character."""
-    n = max(0, len(tokens) - k)
-    while n and "�" in decode(tokens[:n]):
+def rollback(tokens: list[int], k: int, decode, finish: bool = False) -> list[int]:
+    """The tokens less the last ``k``, and less more of them while the text would end in a broken character. At the ``finish`` of a
+    session the first token stays, and broken characters too."""
+    n = max(1 if finish else 0, len(tokens) - k)
+    while n and not finish and "\ufffd" in decode(tokens[:n]):
         n -= 1
     return tokens[:n]
 
