@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -215,6 +215,28 @@ class Index:
                 lists = [x for k, x in enumerate(lists) if k > pivot or advance(x, entry)]
         return out
 
+    def around(self, ids: list[int], item: int, places: list[int]) -> Iterator[tuple[float, float]]:
+        """Overlaps of a long item's question and answer with the words around the passages at ``places`` (ascending) of a text; one pass over the text."""
+        parts, reach = self.parts[item], self.reach[item]
+        at = [(i, r) for i, r in enumerate(zip(ids, ids[1:], ids[2:])) if r in parts[0] or r in parts[1]]
+        inside: Counter = Counter()
+        low = high = 0
+        shared = [0, 0]
+        for start in places:
+            while high < len(at) and at[high][0] + 3 <= start + 2 * ENTRY + reach:
+                run = at[high][1]
+                inside[run] += 1
+                if inside[run] == 1:
+                    shared = [n + (run in part) for n, part in zip(shared, parts)]
+                high += 1
+            while low < high and at[low][0] < start - reach:
+                run = at[low][1]
+                inside[run] -= 1
+                if not inside[run]:
+                    shared = [n - (run in part) for n, part in zip(shared, parts)]
+                low += 1
+            yield tuple(n / len(part) if part else 1.0 for n, part in zip(shared, parts))
+
     def hits(self, texts: list[str | None]) -> list[list[tuple]]:
         """For each text (item_id, first word of the passage, score, question's and answer's overlap), the best passage of each item."""
         out: list[list] = [[] for _ in texts]
@@ -223,23 +245,29 @@ class Index:
         flat, starts = self.ids(texts)
         p1, p2, n, base = self.passages(starts)
         best: dict[tuple[int, int], tuple] = {}
+
+        def verified(text: int, item: int, start: int, score: float, question: float, answer: float) -> None:
+            if question >= OVERLAP and answer >= OVERLAP:
+                key, row = (text, item), (start, score, question, answer)
+                if key not in best or row[1:] > best[key][1:]:
+                    best[key] = row
+
+        wide: dict[tuple[int, int], list[tuple[int, float]]] = {}
         for p in self.reaching(flat, p1, p2).tolist():
             text = int(np.searchsorted(base, p, "right")) - 1
             start = int(p - base[text]) * ENTRY
-            a, b = starts[text], starts[text + 1]
-            ids = flat[a + start : min(a + start + 2 * ENTRY, b)].tolist()
-            seen: dict[int, set] = {}
+            ids = flat[starts[text] + start : min(starts[text] + start + 2 * ENTRY, starts[text + 1])].tolist()
+            seen = None
             for e, score in self.wand(sorted({i for i in ids if i >= 0})):
                 item = self.item[e]
-                reach = self.reach[item]
-                if reach not in seen:
-                    around = flat[max(a, a + start - reach) : min(a + start + 2 * ENTRY + reach, b)].tolist() if reach else ids
-                    seen[reach] = runs(around) | runs(around, 1) | runs(around, 2)
-                question, answer = (len(part & seen[reach]) / len(part) if part else 1.0 for part in self.parts[item])
-                if question >= OVERLAP and answer >= OVERLAP:
-                    key, row = (text, item), (start, score, question, answer)
-                    if key not in best or row[1:] > best[key][1:]:
-                        best[key] = row
+                if self.reach[item]:
+                    wide.setdefault((text, item), []).append((start, score))
+                else:
+                    seen = seen or (runs(ids) | runs(ids, 1) | runs(ids, 2))
+                    verified(text, item, start, score, *(len(part & seen) / len(part) if part else 1.0 for part in self.parts[item]))
+        for (text, item), found in wide.items():
+            for (start, score), overlaps in zip(found, self.around(flat[starts[text] : starts[text + 1]].tolist(), item, [x for x, _ in found])):
+                verified(text, item, start, score, *overlaps)
         for (text, item), row in sorted(best.items()):
             out[text].append((self.item_id[item], *row))
         return out
