@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,37 +50,3 @@ def nearest(vectors: DataFrame, key: str, vector: str, centers: DataFrame, most:
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     scored = F.transform("centers", lambda c: F.struct((-dot(F.col(vector), c["center"]) / F.sqrt(dot(c["center"], c["center"]))).alias("distance"), c["label"].alias("label")))
     return vectors.join(F.broadcast(one)).select(key, F.array_min(scored)["label"].alias("nearest"))
-
-
-def centroid_linkage(x: np.ndarray, threshold: float = 0.7046, least: int = 12) -> np.ndarray:
-    """Agglomerative clustering of unit vectors by the distance of centroids, up to ``threshold``; clusters under the least size
-    (at most a tenth of all) join the nearest large one. Labels are numbered by first appearance."""
-    n = len(x)
-    if n == 0:
-        return np.zeros(0, int)
-    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    centers, sizes, member = x.astype(float).copy(), np.ones(n), [[i] for i in range(n)]
-    alive = list(range(n))
-    while len(alive) > 1:
-        c = centers[alive]
-        d = np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(-1), 0))
-        d[np.tril_indices(len(alive))] = np.inf
-        i, j = np.unravel_index(d.argmin(), d.shape)
-        if d[i, j] > threshold:
-            break
-        a, b = alive[i], alive[j]
-        centers[a] = (centers[a] * sizes[a] + centers[b] * sizes[b]) / (sizes[a] + sizes[b])
-        sizes[a] += sizes[b]
-        member[a] += member[b]
-        alive.pop(j)
-    small_size = min(least, max(1, round(0.1 * n)))
-    large = [a for a in alive if sizes[a] >= small_size]
-    label = np.zeros(n, int)
-    if not large:
-        return label
-    unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
-    for a in alive:
-        to = a if a in large else max(large, key=lambda k: float(unit(centers[k]) @ unit(centers[a])))
-        label[member[a]] = to
-    _, first, back = np.unique(label, return_index=True, return_inverse=True)
-    return np.argsort(np.argsort(first))[back]

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from cuelake.functions import audio, decoding
-from cuelake.operators import diarize
+from cuelake.operators import cluster
 from cuelake.sources import audio as source
 
 
@@ -58,8 +58,8 @@ def test_filter_bank():
 def test_clustering():
     r = np.random.default_rng(3)
     x = np.concatenate([r.normal(size=(30, 8)) * 0.05 + c for c in np.eye(8)[:3]])
-    assert diarize.centroid_linkage(x).tolist() == [0] * 30 + [1] * 30 + [2] * 30
-    assert diarize.centroid_linkage(np.zeros((0, 4))).size == 0 and diarize.centroid_linkage(np.ones((1, 4))).tolist() == [0]
+    assert cluster.agglomerate(x).tolist() == [0] * 30 + [1] * 30 + [2] * 30
+    assert cluster.agglomerate(np.zeros((0, 4))).size == 0 and cluster.agglomerate(np.ones((1, 4))).tolist() == [0]
 
 
 def test_decoding():
