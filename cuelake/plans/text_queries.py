@@ -241,7 +241,20 @@ def export_text(spark, d):
     return u.select("rec_id", T.text_file(N.itn(F.col("text"))).alias("text"), "spoken")
 
 
-@query("translation_units")
+_JOIN = lambda a, b: f"{a} || CASE WHEN {a} <> '' AND {b} <> '' AND regexp_matches(right({a}, 1), '[0-9A-Za-z.,!?;:''\")\\]%-]') AND regexp_matches(left({b}, 1), '[0-9A-Za-z(''\"\\[$¥#@]') THEN ' ' ELSE '' END || {b}"
+_UNITS = f"""WITH RECURSIVE {UTTERANCES_SQL},
+  s AS (SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY pos) AS n, start_ms AS s, end_ms AS e, speaker, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '^\\[([^\\]]{{1,32}})\\]\\s*', '') AS t FROM utterances),
+  f AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY n) AS k, regexp_matches(regexp_replace(t, '[”"’''\\)）】》」』…～ ]+$', ''), '[。！？!?….～]$') AS ends FROM s WHERE t <> ''),
+  r AS (SELECT rec_id, n, k, 1 AS unit, s AS bs, e AS be, e - s AS dur, t AS text, speaker AS who, speaker AS first, 1 AS rows, [n] AS members, ends OR e - s >= 45000 AS closed, ends FROM f WHERE k = 1
+    UNION ALL
+    SELECT f.rec_id, f.n, f.k, CASE WHEN x THEN unit + 1 ELSE unit END, CASE WHEN x THEN f.s ELSE bs END, CASE WHEN x THEN f.e ELSE greatest(be, f.e) END, CASE WHEN x THEN f.e - f.s ELSE dur + f.e - f.s END,
+      CASE WHEN x THEN f.t ELSE {_JOIN('text', 'f.t')} END, f.speaker, CASE WHEN x THEN f.speaker ELSE first END, CASE WHEN x THEN 1 ELSE rows + 1 END, CASE WHEN x THEN [f.n] ELSE list_append(members, f.n) END,
+      f.ends OR CASE WHEN x THEN f.e - f.s ELSE greatest(be, f.e) - bs END >= 45000, f.ends
+    FROM (SELECT r.*, r.closed OR (r.who <> '' AND f.speaker <> '' AND r.who <> f.speaker) AS x FROM r JOIN f ON f.rec_id = r.rec_id AND f.k = r.k + 1) r JOIN f ON f.rec_id = r.rec_id AND f.k = r.k + 1)
+  SELECT rec_id, CAST(unit AS INTEGER) AS idx, bs AS start_ms, be AS end_ms, dur AS duration_ms, text, first AS speaker, ends AS complete, CAST(rows AS INTEGER) AS n_rows, members FROM r QUALIFY row_number() OVER (PARTITION BY rec_id, unit ORDER BY k DESC) = 1"""
+
+
+@query("translation_units", _UNITS)
 def translation_units(spark, d):
     return segment.translation_units(_subtitles(spark, d))
 
