@@ -18,7 +18,7 @@ def test_clauses_break_at_signs_silence_and_length():
 
 def test_pack_and_merge():
     rows = [(0, 400, "好的。", "a"), (400, 800, "嗯。", "a"), (800, 3000, "我明白了，", "a"), (3000, 4000, "走吧。", "b")]
-    assert segment.pack(rows) == [(0, 800, "好的。嗯。", "a"), (800, 3000, "我明白了，", "a"), (3000, 4000, "走吧。", "b")] or segment.pack(rows)[-1] == (3000, 4000, "走吧。", "b")
+    assert segment.pack(rows) == [(0, 3000, "好的。嗯。我明白了，", "a"), (3000, 4000, "走吧。", "b")]
     assert segment.merge_short([(0, 300, "Hi.", ""), (300, 2000, "There you are.", "")]) == [(0, 2000, "Hi. There you are.", "")]
 
 
