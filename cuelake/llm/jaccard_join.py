@@ -7,7 +7,8 @@ The distance of two sets is 1 - Jaccard, a metric. The join is in two layers.
   the radius share a pivot among the first ``n - ceil(s * n) + 1`` of each: that window is how far a set must be replicated. In a
   region, pairs are dropped whose sizes, places of the pivot, or parity sketches rule a link out. (A parity sketch has a bit for each
   hash class, set if the class has an odd number of n-grams; each n-gram in which two sets differ flips one
-  bit, so the sketches' Hamming distance is at most the sets' difference.) What is left joins members to bundles
+  bit, so the sketches' Hamming distance is at most the sets' difference.) A region of over ``SPLIT`` members is cut by size, as linked
+  sets are of like size, and what is still larger into blocks, each two of which meet in a task. What is left joins members to bundles
   (connected components), so that no link is between bundles.
 * In a bundle, pivots are members: distances to a few pivots make Voronoi regions. By the triangle inequality a linked pair is whole in
   the region of either's home if each region also takes, as copies, the members whose pivot is at most twice the radius farther than their own. Regions
@@ -20,7 +21,8 @@ A task joins bundles of up to ``LARGE`` bytes. Larger ones are dealt out to task
 against pivots of their region, those in a ball of a pivot are linked to it, and go on to a region only if members that they aren't linked with yet
 are there at a distance from its pivot that the radius allows. Regions in which all are linked end. A region that doesn't get smaller is
 split into blocks of bounded size, and each two blocks meet in a task. The tasks' links are joined by connected components. Equal sets are one member from
-the start. What goes to the driver or is broadcast has a fixed size (count sketch, Bloom filters, at most ``HOT`` keys).
+the start. What goes to the driver or is broadcast has a bounded size (count sketch, Bloom filters of at most ``2 ** MOST_BITS`` bits, at most ``HOT`` keys).
+A Bloom filter has 16 bits for each key as long as it may grow; beyond that it lets more pass, which costs time and no link.
 
 Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; fewer words than ``k``: the sequence is the only n-gram. Null text, or
 text without words: an empty set, linked with nothing. Texts of any length count whole. Rows with null doc_id take part; a component of such rows alone has a
@@ -43,10 +45,10 @@ from pyspark.sql.window import Window
 
 from .common import Scratch, fresh, only_cache, parallelism, read
 
-#: Places of the count sketch and of a Bloom filter; parts in which they are summed.
-SKETCH, BLOOM, PARTS = 1 << 20, 1 << 26, 64
-#: Rows from which a region is compared by sketches in its task; smaller regions give pairs.
-DENSE = 8
+#: Places of the count sketch; exponents of a Bloom filter's least and most bits; parts in which they are summed.
+SKETCH, LEAST_BITS, MOST_BITS, PARTS = 1 << 20, 26, 30, 64
+#: Rows from which a region is compared by sketches in its task; smaller regions give pairs. Rows that a task compares at most.
+DENSE, SPLIT = 8, 10_000
 #: Members of a leaf; pivots of a region in a task, and of one that is dealt out; bytes of a bundle that one task joins.
 LEAF, PIVOTS, DEALT, LARGE = 48, 6, 16, 48_000_000
 #: Keys that a skewed join may treat apart.
@@ -103,14 +105,15 @@ def fixed_array(df: DataFrame, size: int, add) -> np.ndarray:
 
 
 def bloom(df: DataFrame, column: str) -> np.ndarray:
-    """Bits of a Bloom filter over a long column."""
+    """Bits of a Bloom filter over a long column of a written table."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * df.count()).bit_length()))
 
     def add(b, counts):
-        at = (b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) * _M[2]) >> np.uint64(64 - 26)
+        at = (b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) * _M[2]) >> np.uint64(64 - bits)
         np.bitwise_or.at(counts, (at >> np.uint64(5)).astype(np.int64), (np.uint32(1) << (at & np.uint64(31)).astype(np.uint32)).view(np.int32))
 
     # words of 32 bits; the sum over tasks must be an or, so bits are merged as such
-    return _or_array(df.select(column), BLOOM // 32, add)
+    return _or_array(df.select(column), (1 << bits) // 32, add)
 
 
 def _or_array(df: DataFrame, size: int, add) -> np.ndarray:
@@ -135,7 +138,7 @@ def _or_array(df: DataFrame, size: int, add) -> np.ndarray:
 
 
 def in_bloom(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = (values.view(np.uint64) * _M[2]) >> np.uint64(64 - 26)
+    at = (values.view(np.uint64) * _M[2]) >> np.uint64(64 - (32 * len(bits)).bit_length() + 1)
     return (bits[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
 
 
@@ -453,6 +456,9 @@ def link(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
             yield done(pa.Table.from_batches(held))
 
     few = rows.where("n_shingles > 0").select("sig", "keys", F.col("n_shingles").alias("n"), "sketch").mapInArrow(replicate, "key long, sig long, n int, pos int, sketch binary")
+    crowded = scratch.save(counted.where(F.col("n") > SPLIT).select("key"), "crowded")
+    if crowded.take(1):
+        few = few.join(crowded, "key", "left_anti").unionByName(_cut_up(scratch.save(few.join(crowded, "key"), "crowd"), percent, scratch))
     few = few.repartition(parallelism(spark), "key").sortWithinPartitions("key")
     found = scratch.save(few.mapInArrow(regions, "a long, b long, sure boolean").distinct(), "pairs")
 
@@ -502,11 +508,23 @@ def link(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     else:
         links = _whole(again, ["bundle"], percent).select(F.col("a").alias("sig"), F.col("b").alias("linked"))
     links = scratch.save(links.where("sig <> linked"), "links")
-    for name in ("shared", "pairs", "bundles", "members", "large", "grams"):
+    for name in ("shared", "crowded", "crowd", "crowds", "pairs", "bundles", "members", "large", "grams"):
         scratch.drop(name)
     return _join_skewed(rows.drop("keys", "sketch", "hash"), links, "sig").withColumn("root", F.coalesce("linked", "sig")).drop("linked")
 
 
+def _cut_up(few: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Members of crowded regions in regions of ``SPLIT`` members or so, with a new key, so that all pairs that sizes allow are in one of them.
+
+    Sizes of linked sets are in the same band or in neighbouring ones: a region takes two bands. One that is still larger is dealt into blocks."""
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) + 1e-9)) if percent < 100 else F.col("n").cast("long")
+    banded = few.withColumn("band", F.explode(F.array(band, band + 1)))
+    crowds = scratch.save(banded.groupBy("key", "band").agg(F.ceil(2 * F.count(F.lit(1)) / SPLIT).cast("int").alias("blocks")), "crowds")
+    own = F.pmod(F.xxhash64("sig", F.lit(7)), F.col("blocks")).cast("int")
+    met = banded.join(crowds, ["key", "band"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or own <> other")
+    return met.select(F.xxhash64("key", "band", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "sig", "n", "pos", "sketch")
+
+
 def _join_skewed(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
     """Left join of rows with one value of each key. Keys of over ``1/HOT`` of the rows, less than ``HOT`` of them, are joined by broadcast."""
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))

@@ -92,6 +92,31 @@ def test_jaccard_join_of_a_large_bundle(spark, monkeypatch, large, dealt, kind):
     assert [got[i] for i in range(90)] == comp and len(linked) > 80
 
 
+@pytest.mark.parametrize("percent", [60, 85, 100])
+def test_crowded_regions_are_cut_up(spark, monkeypatch, percent):
+    """Many unlike documents of many sizes share runs of words; regions of over six rows are cut into bands and blocks."""
+    monkeypatch.setattr(jaccard_join, "SPLIT", 6)
+    monkeypatch.setattr(jaccard_join, "LEAST_BITS", 12)
+    r = random.Random(percent)
+    word = lambda: f"x{r.random()}"
+    shared, texts = [word() for _ in range(40)], []
+    for i in range(70):
+        w = shared[: r.randrange(8, 41)] + [word() for _ in range(r.choice((0, 0, 2, 5, 60)))]
+        texts += [" ".join(w)] * (1 + (i % 9 == 0)) + [" ".join([*w, word()])] * (i % 4 == 0)
+    sets = [set(jaccard_join.ngrams(t, 4).tolist()) for t in texts]
+    comp = list(range(len(texts)))
+    linked = [(a, b) for a in range(len(texts)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    for _ in texts:
+        for a, b in linked:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    cut = []
+    monkeypatch.setattr(jaccard_join, "_cut_up", lambda few, *a, f=jaccard_join._cut_up: cut.append(f(few, *a)) or cut[-1])
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("uid", F.lit(0)).repartition(4)
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_join.classes(jaccard_join.link(d, 4, percent, Scratch(spark, "t"))).collect()}
+    assert [got[i] for i in range(len(texts))] == comp and len(set(comp)) > 3
+    assert cut
+
+
 def test_near_copies_collapse_when_dealt():
     r = random.Random(5)
     base = np.unique(np.array([r.randrange(2**60) for _ in range(300)], np.uint64))
