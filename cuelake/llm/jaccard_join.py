@@ -480,7 +480,17 @@ def link(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     checked = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(near, "a long, b long")
     edges = found.where("sure").select("a", "b").unionByName(checked)
     bundles = scratch.save(components(edges, scratch, "outer").withColumnRenamed("node", "sig").withColumnRenamed("root", "bundle"), "bundles")
+    out = confirm(docs, rows, bundles, k, percent, scratch)
+    for name in ("shared", "crowded", "crowd", "crowds", "pairs", "bundles"):
+        scratch.drop(name)
+    return out
+
 
+def confirm(docs: DataFrame, rows: DataFrame, bundles: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """uid, doc_id, n_shingles, sig and root of every row of ``rows``: the exact links inside bundles (sig, bundle), between which there are none.
+
+    ``docs`` (hash, text) has the texts, ``rows`` (uid, doc_id, hash, n_shingles, sig) their sets' signatures."""
+    spark = docs.sparkSession
     # one text of each member of a bundle is read again for its set
     members = rows.select("hash", "sig", "n_shingles").join(bundles, "sig").groupBy("sig", "bundle").agg(F.min("hash").alias("hash"), F.first("n_shingles").alias("n"))
     members = scratch.save(members, "members")
@@ -508,9 +518,9 @@ def link(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     else:
         links = _whole(again, ["bundle"], percent).select(F.col("a").alias("sig"), F.col("b").alias("linked"))
     links = scratch.save(links.where("sig <> linked"), "links")
-    for name in ("shared", "crowded", "crowd", "crowds", "pairs", "bundles", "members", "large", "grams"):
+    for name in ("members", "large", "grams"):
         scratch.drop(name)
-    return _join_skewed(rows.drop("keys", "sketch", "hash"), links, "sig").withColumn("root", F.coalesce("linked", "sig")).drop("linked")
+    return _join_skewed(rows.select("uid", "doc_id", "n_shingles", "sig"), links, "sig").withColumn("root", F.coalesce("linked", "sig")).drop("linked")
 
 
 def _cut_up(few: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -522,7 +532,7 @@ def _cut_up(few: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     crowds = scratch.save(banded.groupBy("key", "band").agg(F.ceil(2 * F.count(F.lit(1)) / SPLIT).cast("int").alias("blocks")), "crowds")
     own = F.pmod(F.xxhash64("sig", F.lit(7)), F.col("blocks")).cast("int")
     met = banded.join(crowds, ["key", "band"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or own <> other")
-    return met.select(F.xxhash64("key", "band", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "sig", "n", "pos", "sketch")
+    return met.select(F.xxhash64("key", "band", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *(c for c in few.columns if c != "key"))
 
 
 def _join_skewed(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:

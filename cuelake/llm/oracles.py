@@ -55,5 +55,25 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.first_id AS component_id
 FROM d LEFT JOIN n ON n.rid = d.rid JOIN (SELECT r.a, min(o.doc_id) AS first_id FROM r JOIN d o ON o.rid = r.b GROUP BY r.a) m ON m.a = d.rid"""
 
 
+def minhash_dedup_sql() -> str:
+    """The exact links: signatures may miss one only with a chance that is no sum of a table's pairs."""
+    return f"SELECT *, doc_id IS NOT DISTINCT FROM component_id AS kept FROM ({jaccard_join_sql(4, 80)})"
+
+
+def fill_in_middle_sql() -> str:
+    """Units by a regular expression, parts as joined slices of their list; what is restored is the text."""
+    unit = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+    draw = lambda i: f"CAST('0x' || h[{8 * i - 7}:{8 * i}] AS UBIGINT)"
+    part = lambda a, b: f"array_to_string(u[{a}:{b}], '')"
+    prefix, middle, suffix = part("1", "a"), part("a + 1", "b"), part("b + 1", "n")
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{unit}') AS u, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+c AS (SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, {draw(1)} % (len(u) + 1) AS x, {draw(2)} % (len(u) + 1) AS y, {draw(3)} % 100 AS f, {draw(4)} % 100 AS g FROM d),
+e AS (SELECT *, CAST(least(x, y) AS BIGINT) AS a, CAST(greatest(x, y) AS BIGINT) AS b, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR f >= 50 THEN 'plain' WHEN g < 80 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length({prefix}) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length({middle}) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || {prefix} || '<S>' || {suffix} || '<M>' || {middle} ELSE '<S>' || {suffix} || '<P>' || {prefix} || '<M>' || {middle} END) AS output_sha256, sha256(t) AS restored_sha256
+FROM e"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": jaccard_join_sql(), "op9_quality_rules": quality_rules_sql()}
+    return {"op2_jaccard_join": jaccard_join_sql(), "op9_quality_rules": quality_rules_sql(), "op11_fill_in_middle": fill_in_middle_sql(), "op13_minhash_dedup": minhash_dedup_sql()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_extraction, jaccard_join, language_id, oracles, packing, quality_classifier, quality_rules, sharding, token_files, url_filter
+from . import decontamination, fill_in_middle, html_extraction, jaccard_join, language_id, minhash_dedup, oracles, packing, quality_classifier, quality_rules, sharding, token_files, url_filter, whitening
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_token_files": token_files.op10_token_files,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_minhash_dedup": minhash_dedup.op13_minhash_dedup,
 }
 
 
