@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import struct
 
 import numpy as np
 import pandas as pd
@@ -11,32 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.audio import normalize, resample
+from . import wav_blocks
 
 
 def read_wav(raw: bytes) -> tuple[np.ndarray, int]:
     """(frames, channels) samples in [-1, 1] and the rate, of 8, 16, 24 or 32-bit integers or 32-bit floats."""
-    if raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
-        raise ValueError("not a WAV file")
-    at, form = 12, None
-    while at + 8 <= len(raw):
-        name, size = struct.unpack_from("<4sI", raw, at)
-        body = raw[at + 8 : at + 8 + size]
-        if name == b"fmt ":
-            form = struct.unpack_from("<HHIIHH", body)
-        elif name == b"data" and form:
-            kind, channels, rate, _, _, bits = form
-            if kind == 3:
-                x = np.frombuffer(body, "<f4").astype(float)
-            elif bits == 8:
-                x = (np.frombuffer(body, "u1").astype(float) - 128) / 128
-            elif bits == 24:
-                b = np.frombuffer(body[: len(body) // 3 * 3], "u1").reshape(-1, 3).astype(np.int32)
-                x = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8 >> 8) / 2**23
-            else:
-                x = np.frombuffer(body, f"<i{bits // 8}") / 2.0 ** (bits - 1)
-            return x[: len(x) // channels * channels].reshape(-1, channels), rate
-        at += 8 + size + size % 2
-    raise ValueError("no samples")
+    form = wav_blocks.header(lambda n, at: raw[at : at + n], len(raw))
+    return wav_blocks.channels(raw[form.first : form.end], form), form.rate
 
 
 def load(raw: bytes, rate: int = 16_000, seek_s: float = 0.0, most_s: float | None = None) -> np.ndarray:

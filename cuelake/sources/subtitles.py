@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import speaker_prefix, srt_ms, srt_time
+from ..operators import segment
+from . import text_files
 
 #: Encodings that are tried in turn.
 ENCODINGS = ("utf-8-sig", "gb18030", "big5", "latin-1")
@@ -64,9 +66,18 @@ def render(rows: DataFrame, key: str = "rec_id", with_speaker: bool = True) -> D
     return rows.select(key, "n", cue.alias("cue")).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "cue"))), lambda x: x["cue"]), "\n").alias("content"))
 
 
-def write_files(rendered: DataFrame, path: str, key: str = "rec_id") -> None:
-    """One folder for each key, through Spark's committed text writer."""
-    rendered.select(key, "content").write.mode("overwrite").partitionBy(key).text(path)
+def export(rows: DataFrame, recordings: DataFrame, folder: str, suffix: str = "", with_speaker: bool = True, mode: str = "append") -> None:
+    """One file ``<name of the source without its extension><suffix>.srt`` in ``folder`` for each of ``recordings`` (rec_id, source); without rows an empty one. All files
+    are there, or none. A recording's source is never written over."""
+    name = F.concat(F.regexp_replace(F.regexp_extract("source", "[^/]*$", 0), r"(?<=.)\.[^.]+$", ""), F.lit(f"{suffix}.srt"))
+    out = recordings.select("rec_id", "source").join(render(rows, with_speaker=with_speaker), "rec_id", "left")
+    text_files.write(out.select(name.alias("name"), "content", "source"), folder, mode)
+
+
+def resolve(there: DataFrame, items: DataFrame, turn_rows: DataFrame | None = None, with_speaker: bool = True) -> DataFrame:
+    """Subtitle lines that are there already, and for recordings without any those built from items (``segment.build_subtitles``)."""
+    missing = items.join(there.select("rec_id").distinct(), "rec_id", "left_anti")
+    return there.unionByName(segment.build_subtitles(missing, turn_rows, with_speaker).select(*there.columns))
 
 
 def with_flag(rows: DataFrame, key: str = "rec_id") -> DataFrame:
