@@ -210,11 +210,12 @@ def log_filter_bank(blocks: DataFrame, size: int, rate: int = 16_000, n_mels: in
 
 def centred(spectra: DataFrame) -> DataFrame:
     """Filter-bank energies less their mean over the recording, for each filter. Blocks bring their totals, which are added up by recording and filter."""
+    spectra = spectra.where("n_frames > 0")
     each = spectra.select("rec_id", "n_frames", F.posexplode("totals").alias("mel", "v")).groupBy("rec_id", "mel")
     mean = each.agg((F.sum("v") / F.sum("n_frames")).alias("mean"))
     means = mean.groupBy("rec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("mel", "mean"))), lambda x: x["mean"]).alias("means"))
     less = F.transform("energies", lambda v, i: v - F.get("means", i % F.size("means")))
-    return spectra.join(means, "rec_id").select("rec_id", "block", "first_frame", "n_frames", less.alias("energies")).where("n_frames > 0")
+    return spectra.join(means, "rec_id").select("rec_id", "block", "first_frame", "n_frames", less.alias("energies"))
 
 
 def log_mel_power(blocks: DataFrame, size: int, rate: int = 16_000, n_mels: int = 128, n_fft: int = 400, step: int = 160) -> DataFrame:
