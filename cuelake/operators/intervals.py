@@ -25,16 +25,26 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int = 600_000) -> Dat
     return both.drop("bucket").withColumn("overlap_ms", F.least("end_ms", "r_end_ms") - F.greatest("start_ms", "r_start_ms"))
 
 
-def dominant_speaker(clause_rows: DataFrame, turn_rows: DataFrame, keys: list[str]) -> DataFrame:
+def dominant_speaker(clause_rows: DataFrame, turn_rows: DataFrame, keys: list[str], width: int = 600_000) -> DataFrame:
     """``clause_rows`` with the label that shares most time with each; ties go to the label whose turn comes first in the list;
-    null where no turn overlaps. A clause without length has the label at its start. ``keys`` name a clause."""
-    long, point = clause_rows.where("end_ms > start_ms"), clause_rows.where("end_ms <= start_ms")
-    votes = overlap_join(long, turn_rows).groupBy(*keys, F.col("r_label").alias("label")).agg(F.sum("overlap_ms").alias("overlap_ms"), F.min("r_seq").alias("first_seq"))
-    best = Window.partitionBy(*keys).orderBy(F.desc("overlap_ms"), "first_seq")
-    won = votes.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place", "first_seq")
-    at = speaker_at(point.select(*keys, F.col("start_ms").alias("at_ms")), turn_rows, keys).where("label is not null")
-    won = won.unionByName(at.select(*keys, "label", F.lit(0).cast("long").alias("overlap_ms")))
-    return clause_rows.join(won, keys, "left")
+    null where no turn overlaps. A turn without length shares none. A clause without length has the label of the turn at its start, of several that which starts first. ``keys`` name a clause.
+
+    Clauses are read once: a left join keeps those without a turn, and each goes through the votes with its other columns."""
+    others = [c for c in clause_rows.columns if c not in (*keys, "rec_id")]
+    turns = _buckets(turn_rows.where("end_ms > start_ms"), width).select("rec_id", "bucket", *(F.col(c).alias(f"r_{c}") for c in ("seq", "start_ms", "end_ms", "label")))
+    c = clause_rows.withColumn("__end", F.greatest("end_ms", F.col("start_ms") + 1))
+    c = c.withColumn("bucket", F.explode(F.sequence(F.expr(f"start_ms div {width}"), F.expr(f"(__end - 1) div {width}")))).alias("c")
+    shares = (F.col("start_ms") < F.col("r_end_ms")) & (F.col("r_start_ms") < F.col("__end")) & (F.col("c.bucket") == F.expr(f"greatest(start_ms, r_start_ms) div {width}"))
+    met = c.join(turns.alias("r"), (F.col("c.rec_id") == F.col("r.rec_id")) & (F.col("c.bucket") == F.col("r.bucket")) & shares, "left").drop(F.col("r.rec_id"), F.col("r.bucket"))
+    point = F.col("end_ms") <= F.col("start_ms")
+    shared = F.when(point, 0).otherwise(F.least("end_ms", "r_end_ms") - F.greatest("start_ms", "r_start_ms")).cast("long")
+    group = list(dict.fromkeys(["rec_id", *keys]))
+    rest = F.first(F.struct(*(F.col(x) for x in others))).alias("rest")
+    votes = met.groupBy(*group, F.col("r_label").alias("label")).agg(rest, F.first(point).alias("point"), F.sum(shared).alias("overlap_ms"), F.min("r_seq").alias("seq"), F.min(F.struct("r_start_ms", "r_seq")).alias("turn"))
+    rank = F.when(F.col("point"), F.struct(F.col("turn.r_start_ms").alias("a"), F.col("turn.r_seq").alias("b"))).otherwise(F.struct((-F.col("overlap_ms")).alias("a"), F.col("seq").alias("b")))
+    best = F.min(F.when(F.col("label").isNotNull(), F.struct(rank.alias("rank"), "label", "overlap_ms"))).alias("best")
+    won = votes.groupBy(*group).agg(F.first("rest").alias("rest"), best)
+    return won.select(*(F.col(x) if x in group else F.col(f"rest.{x}").alias(x) for x in clause_rows.columns), F.col("best.label").alias("label"), F.col("best.overlap_ms").alias("overlap_ms"))
 
 
 def speaker_at(points: DataFrame, turn_rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -256,7 +256,7 @@ _UNITS = f"""WITH RECURSIVE {UTTERANCES_SQL},
 
 @query("translation_units", _UNITS)
 def translation_units(spark, d):
-    return segment.translation_units(_subtitles(spark, d))
+    return segment.translation_units(_subtitles(spark, d)).drop("rows")
 
 
 @query("group_conservation", f"WITH {UTTERANCES_SQL} SELECT rec_id, CAST(sum(dur_ms) AS BIGINT) AS rows_ms, CAST(sum(dur_ms) AS BIGINT) AS units_ms, count(*) AS n_rows FROM utterances WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' GROUP BY rec_id")
@@ -281,7 +281,7 @@ def split_translation(spark, d):
 @query("translated_segments")
 def translated_segments(spark, d):
     """Units without a translation keep their rows."""
-    return segment.translated_rows(_translated(spark, d), _subtitles(spark, d))
+    return segment.translated_rows(_translated(spark, d), keep_source=True)
 
 
 @query("translation_backfill", f"WITH {UTTERANCES_SQL} SELECT rec_id, pos, CASE WHEN pos % 3 = 0  THEN text ELSE '>' || text END AS text, pos % 3 = 0 AS is_source FROM utterances")
@@ -333,18 +333,17 @@ def clean_translation(spark, d):
     return utterances(spark, d).select("rec_id", "pos", T.clean_translation(raw).alias("text"))
 
 
-@query("parse_numbered", f"WITH {UTTERANCES_SQL}, u AS (SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY pos) AS k, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM utterances) SELECT rec_id, CASE WHEN bool_or(t = '') OR (rec_id % 5 = 0 AND count(*) > 1) THEN NULL ELSE string_agg(CASE WHEN k = 1 AND rec_id % 3 = 0 THEN t || CASE WHEN regexp_matches(right(t, 1), '[0-9A-Za-z.,!?;:''\")\\]%-]') THEN ' ' ELSE '' END || 'more' ELSE t END, '|' ORDER BY k) END AS parts FROM u GROUP BY rec_id")
-def parse_numbered(spark, d):
-    """Numbered replies from the last to the first; in some a line goes on, in others one is missing."""
-    @F.pandas_udf("array<string>")
-    def parts(reply: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([T.numbered_translations(r, k, segment.join_pieces) for r, k in zip(reply, n)])
+_SPACED = lambda t, more: f"{t} || CASE WHEN regexp_matches(right({t}, 1), '[0-9A-Za-z.,!?;:''\")\\]%-]') THEN ' ' ELSE '' END || {more}"
 
+
+@query("parse_numbered", f"WITH {UTTERANCES_SQL}, u AS (SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY pos) AS k, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM utterances) SELECT rec_id, CASE WHEN bool_or(t = '') OR (rec_id % 5 = 0 AND count(*) > 1) THEN NULL ELSE string_agg(CASE WHEN k = 1 AND rec_id % 3 = 0 THEN {_SPACED('t', chr(39) + 'more' + chr(39))} WHEN k = 1 AND rec_id % 3 = 1 THEN {_SPACED('t', chr(39) + '900. stray' + chr(39))} ELSE t END, '|' ORDER BY k) END AS parts FROM u GROUP BY rec_id")
+def parse_numbered(spark, d):
+    """Numbered replies from the last to the first; in some a line goes on, with or without a number that no item has, in others one is missing."""
     u = _subtitles(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("rec_id").orderBy("idx")))
-    line = F.concat(F.lit(" 第"), F.col("k").cast("string"), F.lit("条: "), "text", F.when((F.col("k") == 1) & (F.col("rec_id") % 3 == 0), "\nmore").otherwise(""))
+    further = F.when((F.col("k") == 1) & (F.col("rec_id") % 3 == 0), "\nmore").when((F.col("k") == 1) & (F.col("rec_id") % 3 == 1), "\n900. stray").otherwise("")
+    line = F.concat(F.lit(" 第"), F.col("k").cast("string"), F.lit("条: "), "text", further)
     g = u.withColumn("line", F.when((F.col("k") != 2) | (F.col("rec_id") % 5 != 0), line)).groupBy("rec_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line")), False), lambda x: x["line"]), "\n\n").alias("reply"))
-    g = g.select("rec_id", parts("reply", "n").alias("p"))
-    return g.select("rec_id", F.array_join("p", "|").alias("parts"))
+    return g.select("rec_id", F.array_join(T.numbered_translations(F.col("reply"), F.col("n")), "|").alias("parts"))
 
 
 @query("numbered_prompt", f"WITH {UTTERANCES_SQL} SELECT rec_id, CAST(count(*) AS BIGINT) AS n, string_agg(CAST(k AS VARCHAR) || '. ' || text, chr(10) ORDER BY k) AS prompt FROM (SELECT rec_id, text, row_number() OVER (PARTITION BY rec_id ORDER BY pos) AS k FROM utterances) GROUP BY rec_id")

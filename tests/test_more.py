@@ -140,11 +140,14 @@ def test_signals():
     centers = audio.slaney_filters(128, 400, 16_000) @ np.arange(201)
     loudest = int(mel[:, 50].argmax())
     assert abs(centers[loudest] / audio.slaney_filters(128, 400, 16_000)[loudest].sum() * 40 - 440) < 45
-    assert audio.from_integers(np.array([-32768, 0, 32767], np.int16)).tolist() == pytest.approx([-1, 0, 32767 / 32768])
-    assert audio.from_integers(np.array([0, 128, 255], np.uint8)).tolist() == pytest.approx([-1, 0, 127 / 128])
-    assert audio.from_integers(np.array([[2.0, -4.0], [0.0, 1.0]])).tolist() == pytest.approx([-0.25, 0.125])
-    with pytest.raises(TypeError):
-        audio.from_integers(np.array(["a"]))
+
+
+def test_samples_of_all_kinds(spark):
+    d = spark.createDataFrame([([-32768, 0, 32767], [0, 128, 255], [2.0, -4.0, 0.0, 1.0, 9.0], [0.5, -0.25]), ([], [], [], [])], "i array<int>, u array<int>, f array<double>, g array<float>")
+    d = d.toDF("a", "b", "c", "e")
+    got = d.select(audio.from_integers(F.col("a")).alias("i"), audio.from_integers(F.col("b"), 8, signed=False).alias("u"), audio.from_floats(F.col("c"), 2).alias("f"), audio.from_floats(F.col("e")).alias("g"), audio.from_integers(F.col("a"), 16, channels=2).alias("two")).collect()
+    assert got[0]["i"] == pytest.approx([-1, 0, 32767 / 32768]) and got[0]["u"] == pytest.approx([-1, 0, 127 / 128])
+    assert got[0]["f"] == pytest.approx([-1 / 9, 0.5 / 9]) and got[0]["g"] == [0.5, -0.25] and got[0]["two"] == [-0.5] and tuple(got[1]) == ([], [], [], [], [])
 
 
 def test_trace(spark, tmp_path):

@@ -145,14 +145,15 @@ def test_pack_is_brute_force():
         assert got == want
 
 
-def test_numbered_replies():
-    join = segment.join_pieces
-    assert T.numbered_translations("1. 你好\n2. 世界\n3. 再见", 3, join) == ["你好", "世界", "再见"]
-    assert T.numbered_translations("1. 你好\n2. 世界", 3, join) is None
-    assert T.numbered_translations("1. 第一行\n续写内容\n2. 第二行", 2, join) == ["第一行续写内容", "第二行"]
-    assert T.numbered_translations("好的，这是译文", 1, join) == ["好的，这是译文"]
-    assert T.numbered_translations("2) b\n\n 第1条：a", 2, join) == ["a", "b"] and T.numbered_translations("3. c", 2, join) is None
-    assert T.numbered_translations("", 1, join) is None is T.numbered_translations(None, 1, join)
+def test_numbered_replies(spark):
+    cases = [
+        ("1. 你好\n2. 世界\n3. 再见", 3, ["你好", "世界", "再见"]), ("1. 你好\n2. 世界", 3, None), ("1. 第一行\n续写内容\n2. 第二行", 2, ["第一行续写内容", "第二行"]),
+        ("好的，这是译文", 1, ["好的，这是译文"]), ("2) b\n\n 第1条：a", 2, ["a", "b"]), ("3. c", 2, None), ("", 1, None), (None, 1, None), ("1. a", 0, None), ("1. a", None, None),
+        ("1. one\n7. stray\n2. two", 2, ["one 7. stray", "two"]), ("0. before\n1. one\r\n99999999999. far", 1, ["one 99999999999. far"]), ("１、 Zahl\x85２．zwei", 2, ["Zahl", "zwei"]),
+        ("1.\n2. b", 2, None), ("1.\nlate\n2. b\n1. more", 2, ["late more", "b"]), ("plain\ntext", 1, ["plain text"]),
+    ]
+    got = spark.createDataFrame([(i, *c[:2]) for i, c in enumerate(cases)], "i int, reply string, n int").select("i", T.numbered_translations(F.col("reply"), F.col("n")).alias("x")).collect()
+    assert {r["i"]: r["x"] for r in got} == {i: c[2] for i, c in enumerate(cases)}
 
 
 def test_cjk_tokens_prompts_and_languages(spark):
@@ -160,7 +161,7 @@ def test_cjk_tokens_prompts_and_languages(spark):
     got = d.select(T.mixed_tokens(F.col("text")).alias("m"), T.tokens_of(F.col("text"), F.col("lang")).alias("t"), T.split_by_signs(F.col("text")).alias("s")).collect()
     assert got[0]["m"] == ["你", "好", "world's", "3D", "世", "界"] and got[0]["t"] == ["你", "好", "world's", "3D", "世", "界"] and got[0]["s"] == ["你好world's,", "3D-世界"]
     assert got[1]["t"] == list("日本 go") and got[2]["m"] == got[2]["t"] == got[2]["s"] == []
-    system, user = T.translation_prompt(F.array(F.lit("A"), F.lit("B"), F.lit("C")), "规则\n{text}")
+    system, user = T.translation_prompt(F.array(F.lit("A"), F.lit("B"), F.lit("C")), "规则\n{text}", "共 {count} 段")
     one = spark.range(1).select(system.alias("s"), user.alias("u")).first()
     assert one["u"].startswith("1. A") and "3. C" in one["u"] and "3 段" in one["s"]
     assert spark.range(1).select(T.validated_language(F.lit(" chinese"))).first()[0] == "Chinese"
