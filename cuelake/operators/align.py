@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left
 
 import numpy as np
 
@@ -51,31 +52,88 @@ def kept(c: str) -> bool:
     return c == "'" or unicodedata.category(c)[0] in "LN"
 
 
+def match_at(text: str, token: str, first: int) -> int | None:
+    """Where the token ends if it begins at ``first``, with nothing but signs between its characters."""
+    at, i = first, 0
+    while at < len(text) and i < len(token):
+        if text[at] == token[i]:
+            i += 1
+        elif at == first or kept(text[at]):
+            return None
+        at += 1
+    return at if i == len(token) else None
+
+
 def locate(text: str, token: str, start: int) -> tuple[int, int] | None:
     """The first span from ``start`` that holds the token's characters in a row, but for signs between them."""
-    first = start
-    while token and first < len(text):
-        if text[first] == token[0]:
-            at, i = first, 0
-            while at < len(text) and i < len(token):
-                if text[at] == token[i]:
-                    i += 1
-                elif kept(text[at]):
-                    break
-                at += 1
-            if i == len(token):
-                return first, at
-        first += 1
+    for first in range(start, len(text) if token else 0):
+        if text[first] == token[0] and (end := match_at(text, token, first)) is not None:
+            return first, end
     return None
 
 
+class Places:
+    """Where tokens stand in a text, found by an index of its kept characters' runs of up to three, and not by reading on from each start.
+
+    A token's kept characters stand side by side among the text's kept ones. Of its runs the rarest gives the places to look at. A token that isn't found
+    is not looked for again, as starts never fall."""
+
+    RUN = 3
+
+    def __init__(self, text: str):
+        known: dict[str, bool] = {}
+        self.text = text
+        self.at = [i for i, c in enumerate(text) if (known[c] if c in known else known.setdefault(c, kept(c)))]
+        self.kept, self.known = "".join([text[i] for i in self.at]), known
+        self.runs: dict[int, dict[str, list[int]]] = {}
+        self.gone: set[str] = set()
+
+    def _run(self, size: int) -> dict[str, list[int]]:
+        if size not in self.runs:
+            places: dict[str, list[int]] = {}
+            for i in range(len(self.kept) - size + 1):
+                places.setdefault(self.kept[i : i + size], []).append(i)
+            self.runs[size] = places
+        return self.runs[size]
+
+    def find(self, token: str, start: int) -> tuple[int, int] | None:
+        """What ``locate`` finds; ``start`` must not fall from one call to the next."""
+        if token in self.gone or not token:
+            return None
+        found = self._find(token, start)
+        if found is None:
+            self.gone.add(token)
+        return found
+
+    def _find(self, token: str, start: int) -> tuple[int, int] | None:
+        if not kept(token[0]):  # a sign can stand anywhere
+            return locate(self.text, token, start)
+        bare = "".join(c for c in token if self.known.get(c, False) or kept(c))
+        size = min(self.RUN, len(bare))
+        runs = self._run(size)
+        parts = [(len(places), off, places) for off in range(len(bare) - size + 1) if (places := runs.get(bare[off : off + size]))]
+        if len(parts) < len(bare) - size + 1:
+            return None
+        _, off, places = min(parts)
+        first = bisect_left(self.at, start)
+        for p in places[bisect_left(places, first + off) :]:
+            k = p - off
+            if self.kept.startswith(bare, k):
+                if bare == token:
+                    return self.at[k], self.at[k + len(bare) - 1] + 1
+                end = match_at(self.text, token, self.at[k])
+                if end is not None:
+                    return self.at[k], end
+        return None
+
+
 def reconcile(text: str, items: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Items (token, start, end) with what the text has between them put back as items without length."""
     if not items:
         return [(text, 0, 0)] if text else []
-    out, at, last = [], 0, items[0][1]
+    places, out, at, last = Places(text), [], 0, items[0][1]
     for token, start, end in items:
-        span = locate(text, token, at)
+        span = places.find(token, at)
         if span:
             if span[0] > at:
                 out.append((text[at : span[0]], last, last))

@@ -2,37 +2,86 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 #: Distance at which merging ends, and members that make a cluster large.
 THRESHOLD, LEAST = 0.7046, 12
 
 
+class Centers:
+    """Centers of clusters, with their distances worked out when they are asked for."""
+
+    def __init__(self, x: np.ndarray):
+        self.sum, self.size = np.array(x, float), np.ones(len(x))
+        self.at, self.square, self.alive = self.sum.copy(), (self.sum**2).sum(axis=1), np.ones(len(x), bool)
+        self.most = float(self.square.max(initial=0.0))
+
+    def exact(self, i: int, js: np.ndarray) -> np.ndarray:
+        return ((self.at[js] - self.at[i]) ** 2).sum(axis=1)
+
+    def near(self, i: int, first: int) -> np.ndarray:
+        """Squared distances of center i from those numbered ``first`` on, roughly; infinite where there is none."""
+        d = self.square[first:] + self.square[i] - 2 * (self.at[first:] @ self.at[i])
+        d[~self.alive[first:]] = np.inf
+        if i >= first:
+            d[i - first] = np.inf
+        return d
+
+    def slack(self, i: int) -> float:
+        """More than rough distances are off; means are no longer than the longest row."""
+        return 1e-12 * (self.square[i] + self.most)
+
+    def nearest_after(self, i: int) -> tuple[float, int]:
+        """The nearest center with a higher number, the first of several: rough distances leave few, which are compared exactly."""
+        d = self.near(i, i + 1)
+        if not len(d) or not np.isfinite(low := d.min()):
+            return np.inf, -1
+        js = i + 1 + np.flatnonzero(d <= low + 2 * self.slack(i))
+        own = self.exact(i, js)
+        k = int(own.argmin())
+        return float(own[k]), int(js[k])
+
+    def join(self, i: int, j: int) -> None:
+        self.sum[i] += self.sum[j]
+        self.size[i] += self.size[j]
+        self.at[i] = self.sum[i] / self.size[i]
+        self.square[i] = (self.at[i] ** 2).sum()
+        self.alive[j] = False
+
+
 def linkage(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All merges of the rows of ``x`` in order: (first members of both, their distance, members together); each joins the two nearest centroids.
+    """All merges of the rows of ``x`` in order: (first members of both, their distance, members together); each joins the two nearest centroids, of several
+    pairs the one with the lowest numbers.
 
-    Squared distances are kept in one matrix and mended after each merge; each row knows its nearest, so that a merge costs a row, not the matrix."""
-    n = len(x)
-    d = np.maximum(((x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T), 0)
-    np.fill_diagonal(d, np.inf)
-    size, near = np.ones(n), d.argmin(axis=1) if n else np.zeros(0, int)
+    Each center knows a bound of the distance to the nearest of those after it, in a heap. What comes up is worked out anew if it no longer holds; a
+    merge looks once at all centers, as it can bring the new one closer to those before it. Memory is that of the rows."""
+    n, c = len(x), Centers(x)
     merges, distances = np.zeros((max(0, n - 1), 3), int), np.zeros(max(0, n - 1))
+    found = [c.nearest_after(i) for i in range(n)]
+    bound, near = np.array([d for d, _ in found]), np.array([j for _, j in found], int)
+    heap = [(d, i) for i, (d, _) in enumerate(found)]
+    heapq.heapify(heap)
     for k in range(n - 1):
-        i = int(d[np.arange(n), near].argmin())
-        j = int(near[i])
-        i, j = min(i, j), max(i, j)
-        merges[k], distances[k] = (i, j, int(size[i] + size[j])), np.sqrt(d[i, j])
-        a, b = size[i], size[j]
-        row = (a * d[i] + b * d[j]) / (a + b) - a * b * d[i, j] / (a + b) ** 2
-        row = np.where(np.isfinite(d[i]) & np.isfinite(d[j]), np.maximum(row, 0), np.inf)
-        size[i] = a + b
-        d[i], d[:, i], d[j], d[:, j] = row, row, np.inf, np.inf
-        d[i, i] = np.inf
-        stale = (near == i) | (near == j)
-        stale[i] = True
-        near[stale] = d[stale].argmin(axis=1)
-        closer = d[:, i] < d[np.arange(n), near]
-        near[closer] = i
+        while True:
+            d, i = heapq.heappop(heap)
+            if not c.alive[i] or d != bound[i]:
+                continue  # joined, or a later bound is in the heap
+            j = int(near[i])
+            if c.alive[j] and d == c.exact(i, near[i : i + 1])[0]:
+                break
+            bound[i], near[i] = c.nearest_after(i)
+            heapq.heappush(heap, (bound[i], i))
+        merges[k], distances[k] = (i, j, int(c.size[i] + c.size[j])), np.sqrt(d)
+        c.join(i, j)
+        before = np.flatnonzero(c.near(i, 0)[:i] <= bound[:i] + c.slack(i))
+        for r, own in zip(before.tolist(), c.exact(i, before).tolist()):
+            if (own, i) < (bound[r], near[r]):
+                bound[r], near[r] = own, i
+                heapq.heappush(heap, (own, r))
+        bound[i], near[i] = c.nearest_after(i)
+        heapq.heappush(heap, (bound[i], i))
     return merges, distances
 
 

@@ -77,13 +77,13 @@ def cluster_bounds(spark, d):
 
 @query("cluster_vectors")
 def cluster_vectors(spark, d):
-    """Every fifth part of the vectors as a recording: its clusters, five of them wanted."""
+    """Each 400 vectors a recording: its clusters, five of them wanted."""
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
         found = cluster.agglomerate(np.stack(pdf["embedding"].to_numpy()).astype(float), wanted=5)
         return pd.DataFrame({"rec_id": key[0], "vec_id": pdf["vec_id"], "cluster": found})
 
-    return table(spark, d, "embeddings").select((F.col("vec_id") % 5).alias("rec_id"), "vec_id", "embedding").groupBy("rec_id").applyInPandas(run, "rec_id long, vec_id long, cluster int")
+    return table(spark, d, "embeddings").select(F.expr("vec_id div 400").alias("rec_id"), "vec_id", "embedding").groupBy("rec_id").applyInPandas(run, "rec_id long, vec_id long, cluster int")
 
 
 @query("powerset_decode", "WITH p AS (SELECT * FROM (VALUES (0, '000'), (1, '100'), (2, '010'), (3, '001'), (4, '110'), (5, '101'), (6, '011')) AS v(class, members)), s AS (SELECT vec_id, embedding[1:7] AS h FROM embeddings) SELECT vec_id, CAST(list_position(h, list_max(h)) - 1 AS INTEGER) AS class, members FROM s JOIN p ON class = list_position(h, list_max(h)) - 1")

@@ -301,14 +301,24 @@ def fix_timestamps(spark, d):
     return e.select("user_id", fixed("v").alias("fixed"))
 
 
-@query("reconcile_gaps", f"WITH {UTTERANCES_SQL} SELECT rec_id, pos, text FROM utterances WHERE text <> ''")
-def reconcile_gaps(spark, d):
-    """Cleaned tokens put back into their text; the items' texts joined are the text again."""
-    @F.pandas_udf("string")
-    def rebuilt(text: pd.Series, tokens: pd.Series) -> pd.Series:
-        return pd.Series(["".join(x[0] for x in align.reconcile(t, [(w, 80 * i, 80 * i + 80) for i, w in enumerate(k)])) for t, k in zip(text, tokens)])
+# a token reaches from the first to the last kept character between blanks; the rest is between tokens
+_KEPT = "\\p{L}\\p{N}''"
+_RECONCILED = f"""WITH {UTTERANCES_SQL}, l AS (SELECT rec_id, pos, regexp_extract_all(text, '[{_KEPT}](?:[^\\s{_KEPT}]*[{_KEPT}])*|[^{_KEPT}]+') AS l FROM utterances WHERE text <> ''),
+  i AS (SELECT rec_id, pos, unnest(l) AS text, generate_subscripts(l, 1) AS k FROM l), n AS (SELECT *, regexp_matches(text, '^[{_KEPT}]') AS is_token FROM i),
+  c AS (SELECT *, CAST(80 * coalesce(sum(CAST(is_token AS INTEGER)) OVER (PARTITION BY rec_id, pos ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM n)
+  SELECT rec_id, pos, CAST(k AS INTEGER) AS k, text, s AS start_ms, CASE WHEN is_token THEN s + 80 ELSE s END AS end_ms FROM c"""
+
 
-    return utterances(spark, d).where("text <> ''").select("rec_id", "pos", rebuilt("text", T.tokens(F.col("text"))).alias("text"))
+@query("reconcile_gaps", _RECONCILED)
+def reconcile_gaps(spark, d):
+    """Cleaned tokens of 80 ms put back into their text, with what is between them."""
+    @F.pandas_udf("array<struct<text: string, start_ms: long, end_ms: long>>")
+    def items(text: pd.Series, tokens: pd.Series) -> pd.Series:
+        found = (align.reconcile(t, [(w, 80 * i, 80 * i + 80) for i, w in enumerate(k)]) for t, k in zip(text, tokens))
+        return pd.Series([[{"text": x, "start_ms": a, "end_ms": b} for x, a, b in r] for r in found])
+
+    u = utterances(spark, d).where("text <> ''").select("rec_id", "pos", F.posexplode(items("text", T.tokens(F.col("text")))).alias("k", "i"))
+    return u.select("rec_id", "pos", (F.col("k") + 1).alias("k"), "i.text", "i.start_ms", "i.end_ms")
 
 
 def _clean_sql() -> str:
