@@ -1,4 +1,4 @@
-"""What surrounds a text decoder: bytes that come in parts, rollback of unstable tokens, and error rates."""
+"""What surrounds a text decoder: bytes that come in parts, and rollback of unstable tokens."""
 
 from __future__ import annotations
 
@@ -22,19 +22,3 @@ def rollback(tokens: list[int], k: int, decode, finish: bool = False) -> list[in
     while n and not finish and "\ufffd" in decode(tokens[:n]):
         n -= 1
     return tokens[:n]
-
-
-def edits(a: list, b: list) -> int:
-    """Fewest insertions, deletions and substitutions."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-    return row[-1]
-
-
-def word_error_rate(reference: str, hypothesis: str) -> float | None:
-    """Edits over the reference's words; None without any."""
-    r = reference.split()
-    return edits(r, hypothesis.split()) / len(r) if r else None

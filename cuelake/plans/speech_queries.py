@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import errors
 from ..functions import text as T
 from ..operators import intervals, numeric, timeline
 from .adapters import CLAUSES_SQL, TURNS_SQL, UTTERANCES_SQL, clauses, table, turns, utterances
@@ -188,11 +189,38 @@ def alignment_shift(spark, d):
     return utterances(spark, d).groupBy("rec_id").agg(F.avg(F.abs(F.col("start_ms") - F.expr("start_ms div 80 * 80")).cast("double")).alias("shift_ms"))
 
 
+def _heard(spark, d):
+    """Utterances with what a poor transcript has of them: of each eleven words one is left out, one comes twice and one is backwards."""
+    words = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
+    heard = F.flatten(F.transform(words, lambda w, k: F.when(k % 11 == 3, F.array().cast("array<string>")).when(k % 11 == 5, F.array(w, w)).when(k % 11 == 8, F.array(F.reverse(w))).otherwise(F.array(w))))
+    return utterances(spark, d).withColumn("heard", F.array_join(heard, " "))
+
+
+_HEARD = f"""WITH RECURSIVE {UTTERANCES_SQL}, w AS (SELECT rec_id, pos, speaker, regexp_extract_all(text, '\\S+') AS a FROM utterances),
+  h AS (SELECT *, flatten(list_transform(a, lambda x, k: CASE (k - 1) % 11 WHEN 3 THEN [] WHEN 5 THEN [x, x] WHEN 8 THEN [reverse(x)] ELSE [x] END)) AS b FROM w),
+  dp AS (SELECT rec_id, pos, a, b, 0 AS i, list_transform(range(0, len(b) + 1), lambda j: j * 1048577) AS row FROM h
+    UNION ALL SELECT rec_id, pos, a, b, i + 1, list_transform(range(0, len(b) + 1), lambda j: list_min(list_transform(range(0, j + 1), lambda k: c[k + 1] + (j - k) * 1048577))) FROM
+      (SELECT *, list_transform(range(0, len(b) + 1), lambda k: CASE WHEN k = 0 THEN (i + 1) * 1048577 ELSE least(row[k + 1] + 1048577, row[k] + CASE WHEN a[i + 1] = b[k] THEN 0 ELSE 1048576 END) END) AS c FROM dp WHERE i < len(a))),
+  e AS (SELECT rec_id, pos, CAST(len(a) AS BIGINT) AS n_reference, CAST(len(b) AS BIGINT) AS n_hypothesis, row[-1] // 1048576 AS edits, row[-1] % 1048576 AS indels FROM dp WHERE i = len(a)),
+  s AS (SELECT rec_id, pos, n_reference, n_hypothesis, edits - indels AS substitutions, (indels + n_hypothesis - n_reference) // 2 AS insertions, (indels - n_hypothesis + n_reference) // 2 AS deletions FROM e)"""
+
+
+@query("word_errors", f"{_HEARD} SELECT * FROM s")
+def word_errors(spark, d):
+    return _heard(spark, d).select("rec_id", "pos", errors.word_counts(F.col("text"), F.col("heard")).alias("c")).select("rec_id", "pos", "c.*")
+
+
+@query("error_rates", f"{_HEARD} SELECT speaker, count(*) AS n, CAST(sum(substitutions + insertions + deletions) AS BIGINT) AS edits, CAST(sum(n_reference) AS BIGINT) AS n_reference, CAST(sum(substitutions + insertions + deletions) AS DOUBLE) / nullif(sum(n_reference), 0) AS pooled, avg(CAST(substitutions + insertions + deletions AS DOUBLE) / nullif(n_reference, 0)) AS macro FROM s JOIN utterances USING (rec_id, pos) GROUP BY speaker")
+def error_rates(spark, d):
+    """Word error rates of each role, pooled and as the mean of its utterances'."""
+    return errors.error_rates(_heard(spark, d).withColumn("counts", errors.word_counts(F.col("text"), F.col("heard"))), ["speaker"])
+
+
 @query("character_errors")
 def character_errors(spark, d):
-    w = Window.partitionBy("rec_id").orderBy("pos")
-    p = utterances(spark, d).select("rec_id", F.col("text").alias("a"), F.lag("text").over(w).alias("b")).where("b is not null")
-    return p.groupBy("rec_id").agg(F.sum(F.levenshtein("a", "b")).alias("edits"), F.sum(F.length("b")).alias("chars"))
+    """Edits between the characters that were said and those that were written, for each conversation."""
+    c = _heard(spark, d).select("rec_id", errors.character_counts(F.col("text"), F.col("heard")).alias("c"))
+    return c.groupBy("rec_id").agg(F.sum(F.col("c.substitutions") + F.col("c.insertions") + F.col("c.deletions")).alias("edits"), F.sum("c.n_reference").alias("chars"))
 
 
 @query("latency_percentiles", "SELECT event_type, quantile_cont(value, 0.95) AS p95, count(*) AS n FROM events GROUP BY event_type")

@@ -67,4 +67,3 @@ def test_decoding():
     raw = "é你".encode()
     assert "".join([u.feed(raw[:1]), u.feed(raw[1:4]), u.feed(raw[4:], True)]) == "é你"
     assert decoding.rollback([65, 0xE4, 0xBD, 0xA0, 66], 2, lambda t: bytes(t).decode("utf-8", "replace")) == [65]
-    assert decoding.edits(list("kitten"), list("sitting")) == 3 and decoding.word_error_rate("a b c d", "a x c") == 0.5 and decoding.word_error_rate("", "a") is None

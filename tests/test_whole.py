@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
-from cuelake.functions.decoding import edits
+from test_errors import brute_cost
 from cuelake.plans import registry
 
 
@@ -33,12 +33,14 @@ def test_clean_token_keeps_the_whole_text(run):
 
 def test_character_errors_of_whole_texts(run):
     r = random.Random(1)
-    text = lambda n: "".join(r.choice("abé你 𝄞ñ.") for _ in range(n))
-    base = text(200)
-    texts = [base, base[:150] + "é" + base[151:], base[:150] + "e" + base[151:], text(300), "", None, text(90)]
-    got = run("character_errors", "conversations", "conv_id long, turn int, role string, text string", [(1, i, "a", t) for i, t in enumerate(texts)] + [(2, 0, "a", "alone")])
-    whole = [t or "" for t in texts]
-    assert [(x["rec_id"], x["edits"], x["chars"]) for x in got] == [(1, sum(map(edits, whole[1:], whole)), sum(map(len, whole[:-1])))]
+    texts = [" ".join("".join(r.choice("abé你𝄞ñ.") for _ in range(r.randint(1, 6))) for _ in range(n)) for n in (1, 11, 90)] + ["", None]
+    got = run("character_errors", "conversations", "conv_id long, turn int, role string, text string", [(1, i, "a", t) for i, t in enumerate(texts)])
+    edits = chars = 0
+    for t in texts:
+        words = (t or "").split()
+        heard = "".join("" if k % 11 == 3 else w * 2 if k % 11 == 5 else w[::-1] if k % 11 == 8 else w for k, w in enumerate(words))
+        edits, chars = edits + brute_cost("".join(words), heard)[0], chars + len("".join(words))
+    assert [(x["rec_id"], x["edits"], x["chars"]) for x in got] == [(1, edits, chars)]
 
 
 def test_top_count_reconstruct_keeps_the_counted_speakers(run):
