@@ -1,4 +1,5 @@
-"""Where models plug in: batch functions over Arrow batches, one model for each worker. No model comes with this package."""
+"""Where models plug in: batch functions over Arrow batches, one model for each worker. No model comes with this package. ``rounds``
+asks models again, in batches, and chunk after chunk."""
 
 from __future__ import annotations
 
@@ -45,46 +46,6 @@ def apply_model(df: DataFrame, column: str, out: str, load: Callable[[], Callabl
     return df.mapInArrow(run, schema)
 
 
-def retrying(model: Callable[[object, float], tuple[str, bool]], tries: int = 4, warmer: float = 0.3, mark: str = "====解码有误，强制熔断====") -> Callable[[object, float], str]:
-    """``model`` (input, temperature) gives a text and whether it was broken off; then it is asked again, ``warmer``, at most ``tries`` times. The last text
-    that was broken off ends in ``mark``."""
-    def ask(x: object, temperature: float = 0.0) -> str:
-        text = ""
-        for _ in range(tries):
-            text, broken = model(x, temperature)
-            if not broken:
-                break
-            temperature += warmer
-            text += mark
-        return text
-
-    return ask
-
-
-def chunk_loop(encode: Callable, decode: Callable, align: Callable | None = None, memory: int = 2) -> Callable[[list], list[tuple[str, list]]]:
-    """A recording's chunks in order -> text and items of each: ``encode(chunk)``, ``decode(encoded, texts of the chunks before)``, ``align(chunk, text)``."""
-    def run(chunks: list) -> list[tuple[str, list]]:
-        out: list[tuple[str, list]] = []
-        for chunk in chunks:
-            text = decode(encode(chunk), [t for t, _ in out[-memory:]] if memory else [])
-            out.append((text, align(chunk, text) if align and text else []))
-        return out
-
-    return run
-
-
-def translate(texts: list[str], ask: Callable[[list[str]], str], parse: Callable[[str, int], list[str] | None], batch: int = 1) -> list[str]:
-    """Translations of ``texts``. ``ask`` gives a reply to one or several; a reply to several that ``parse`` can't take apart is asked for again one by
-    one, and a text without a translation stays as it is."""
-    out = []
-    for i in range(0, len(texts), batch):
-        some = texts[i : i + batch]
-        found = parse(ask(some), len(some)) if len(some) > 1 else [ask(some)]
-        found = found or [ask([t]) for t in some]
-        out += [f or t for f, t in zip(found, some)]
-    return out
-
-
 def identity():
     """A stand-in translator."""
     return lambda texts: list(texts)

@@ -105,20 +105,6 @@ def test_percentile(spark):
 
 
 def test_models(spark):
-    asked = []
-
-    def model(x, temperature):
-        asked.append(round(temperature, 1))
-        return f"{x}@", len(asked) < 3
-
-    assert models.retrying(model)("a") == "a@" and asked == [0.0, 0.3, 0.6]
-    assert models.retrying(lambda x, t: ("t", True), tries=2)("a").startswith("t=")
-    seen = []
-    loop = models.chunk_loop(lambda c: c * 2, lambda e, before: seen.append(list(before)) or f"<{e}>", lambda c, t: [(t, 0, 1)])
-    assert loop([1, 2, 3, 4]) == [(f"<{2 * k}>", [(f"<{2 * k}>", 0, 1)]) for k in (1, 2, 3, 4)] and seen[-1] == ["<4>", "<6>"]
-    ask = lambda some: "\n".join(f"{i}. {t.upper()}" for i, t in enumerate(some, 1)) if "bad" not in some and len(some) > 1 else some[0].upper() if some != ["none"] else ""
-    parse = lambda reply, n: [x.split(". ")[1] for x in reply.split("\n")] if reply.count(". ") == n else None
-    assert models.translate(["a", "b", "bad", "none", "c"], ask, parse, 2) == ["A", "B", "BAD", "none", "C"]
     d = spark.createDataFrame([("x",), (None,)], "t string")
     assert [r["u"] for r in models.apply_model(d, "t", "u", models.identity, name="same").collect()] == ["x", None]
     one, two = ({r["u"] for r in models.apply_model(d, "t", "u", lambda k=k: lambda xs: [k] * len(xs), name=k).collect()} for k in ("one", "two"))
