@@ -32,11 +32,22 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Bytes of the batches in which rows go to Python: a task holds one on either side, and the values that it makes of it.
+BATCH_BYTES, _BATCHES = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes as well as rows, in a session that hasn't chosen a bound of its own: rows here are whole texts."""
+    if spark.conf.get(_BATCHES, "64m").lower() in ("64m", "64mb", "67108864", "67108864b"):
+        spark.conf.set(_BATCHES, BATCH_BYTES)
+
+
 class Scratch:
     """Written tables of one run in the shared folder. They cut lineage: a lost executor costs only a
     reread. ``drop`` removes one early; the rest go when the driver ends, as results may be read late."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.drop)
 
