@@ -56,3 +56,16 @@ def looping(tokens: DataFrame, keys: list[str], order: str, token: str, window:
     w = Window.partitionBy(*keys).orderBy(order)
     seen = F.size(F.collect_set(token).over(w.rowsBetween(1 - window, 0)))
     return tokens.withColumn("loops", (F.row_number().over(w) > window) & (seen <= distinct))
+
+
+def run_statistics(steps: DataFrame, key: str) -> DataFrame:
+    """Of the steps of each run (``key``, dur_ms, chars, tokens, ms, goes_in): audio_ms, chars, tokens, run_ms, rtf (time taken over length of audio), tokens_per_s, and prefill_per_s and decode_per_s
+    of the steps that go in and of the others. 0 where there is nothing to divide by."""
+    into = lambda c: F.sum(F.when(F.col("goes_in"), F.col(c)).otherwise(0))
+    r = steps.groupBy(key).agg(F.sum("dur_ms").alias("audio_ms"), F.sum("chars").alias("chars"), F.sum("tokens").alias("tokens"), F.sum("ms").alias("run_ms"), into("tokens").alias("in_tokens"), into("ms").alias("in_ms"))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
+    speed = lambda n, ms: ratio(n * 1000, ms)
+    return r.select(
+        key, "audio_ms", "chars", "tokens", "run_ms", ratio(F.col("run_ms"), F.col("audio_ms")).alias("rtf"), speed(F.col("tokens"), F.col("run_ms")).alias("tokens_per_s"),
+        speed(F.col("in_tokens"), F.col("in_ms")).alias("prefill_per_s"), speed(F.col("tokens") - F.col("in_tokens"), F.col("run_ms") - F.col("in_ms")).alias("decode_per_s"),
+    )

@@ -164,13 +164,16 @@ def merged_text(spark, d):
     return utterances(spark, d).groupBy("rec_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "").alias("text"))
 
 
-@query("run_statistics", f"WITH {UTTERANCES_SQL}, r AS (SELECT rec_id, CAST(sum(dur_ms) AS BIGINT) AS audio_ms, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(len(regexp_extract_all(text, '[^ ]+'))) AS BIGINT) AS tokens, CAST(sum(CASE WHEN speaker = 'user' THEN 0 ELSE 7 * length(text) END) AS BIGINT) AS run_ms FROM utterances GROUP BY rec_id) SELECT *, CASE WHEN audio_ms > 0 THEN CAST(run_ms AS DOUBLE) / audio_ms ELSE 0 END AS rtf, CASE WHEN run_ms > 0 THEN CAST(tokens AS DOUBLE) * 1000 / run_ms ELSE 0 END AS tokens_per_s FROM r")
+_RATIO = lambda a, b: f"CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / {b} ELSE 0 END"
+
+
+@query("run_statistics", f"WITH {UTTERANCES_SQL}, u AS (SELECT *, len(regexp_extract_all(text, '[^ ]+')) AS n FROM utterances), r AS (SELECT rec_id, CAST(sum(dur_ms) AS BIGINT) AS audio_ms, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(CASE WHEN speaker = 'user' THEN n ELSE 0 END) AS BIGINT) AS prefill_tokens, CAST(sum(CASE WHEN speaker = 'user' THEN 0 ELSE n END) AS BIGINT) AS decode_tokens, CAST(sum(CASE WHEN speaker = 'user' THEN length(text) ELSE 0 END) AS BIGINT) AS prefill_ms, CAST(sum(CASE WHEN speaker = 'user' THEN 0 ELSE 7 * length(text) END) AS BIGINT) AS decode_ms FROM u GROUP BY rec_id) SELECT rec_id, audio_ms, chars, prefill_tokens + decode_tokens AS tokens, prefill_ms + decode_ms AS run_ms, {_RATIO('prefill_ms + decode_ms', 'audio_ms')} AS rtf, {_RATIO('(prefill_tokens + decode_tokens) * 1000', '(prefill_ms + decode_ms)')} AS tokens_per_s, {_RATIO('prefill_tokens * 1000', 'prefill_ms')} AS prefill_per_s, {_RATIO('decode_tokens * 1000', 'decode_ms')} AS decode_per_s FROM r")
 def run_statistics(spark, d):
-    """Real-time factor and speed of runs; 0 where there is nothing to divide by. Seven milliseconds for each character that isn't the user's stand in for the run."""
-    u = utterances(spark, d).withColumns({"tokens": F.size(F.regexp_extract_all("text", F.lit("[^ ]+"), 0)), "run_ms": F.when(F.col("speaker") == "user", 0).otherwise(7 * F.length("text"))})
-    r = u.groupBy("rec_id").agg(F.sum("dur_ms").alias("audio_ms"), F.sum(F.length("text")).alias("chars"), F.sum("tokens").alias("tokens"), F.sum("run_ms").alias("run_ms"))
-    ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
-    return r.withColumns({"rtf": ratio(F.col("run_ms"), F.col("audio_ms")), "tokens_per_s": ratio(F.col("tokens") * 1000, F.col("run_ms"))})
+    """Real-time factor and speed of runs, also of what goes in and what comes out; 0 where there is nothing to divide by. A user's words stand in for what goes in, a millisecond a
+    character, all others for what comes out, seven."""
+    u = utterances(spark, d).select("rec_id", "dur_ms", F.length("text").alias("chars"), F.size(F.regexp_extract_all("text", F.lit("[^ ]+"), 0)).alias("tokens"), (F.col("speaker") == "user").alias("goes_in"))
+    u = u.withColumn("ms", F.when(F.col("goes_in"), F.col("chars")).otherwise(7 * F.col("chars")))
+    return timeline.run_statistics(u, "rec_id")
 
 
 @query("profile_rollup", "WITH k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events), g AS (SELECT event_type, count(*) AS calls, CAST(sum(CAST(round(value * 1000) AS BIGINT)) AS BIGINT) AS total FROM k WHERE n > 1 GROUP BY event_type), p AS (SELECT *, CAST(total AS DOUBLE) / calls AS mean, 100 * CAST(total AS DOUBLE) / CAST(sum(total) OVER () AS BIGINT) AS pct FROM g) SELECT * FROM p WHERE pct >= 0.1")
