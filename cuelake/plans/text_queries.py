@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import itn as N
 from ..functions import text as T
-from ..operators import align, intervals, segment
+from ..operators import align, intervals, segment, words
 from ..sources import subtitles
 from .adapters import UTTERANCES_SQL, table, utterances
 
@@ -384,3 +384,31 @@ def split_oversize(spark, d):
 
     t = table(spark, d, "benchmark").select("item_id", wrapped(F.regexp_replace("text", "\n", " ")).alias("lines"))
     return t.select("item_id", F.array_join("lines", " ").alias("text"), "lines")
+
+
+_PREFIXES = """WITH t AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\\S+')) AS token FROM documents) GROUP BY token),
+  c AS (SELECT left(token, k) AS string, k AS length, CAST(sum(n) AS BIGINT) AS n FROM t, range(1, 9) AS r(k) WHERE k <= length(token) GROUP BY ALL),
+  s AS (SELECT c.string, c.length, c.n, CASE WHEN c.length > 1 THEN round(pow(CAST(c.n AS DOUBLE) / f.n, CAST(1 AS DOUBLE) / (c.length - 1)), 12) ELSE 0 END AS score FROM c JOIN c f ON f.length = 1 AND f.string = left(c.string, 1))"""
+
+
+@query("prefix_scores", f"{_PREFIXES} SELECT string, CAST(length AS INTEGER) AS length, n, round(score, 9) AS score FROM s")
+def prefix_scores(spark, d):
+    """How well the prefixes of all words hold together."""
+    tokens = words.distinct_tokens(table(spark, d, "documents"))
+    return words.prefix_scores(tokens).withColumn("score", F.round("score", 9))
+
+
+@query("left_parts", f"{_PREFIXES} SELECT token, left(token, best.length) AS \"left\", substr(token, best.length + 1) AS \"right\" FROM (SELECT token, max({{'score': score, 'length': s.length}}) AS best FROM (SELECT token, left(token, k) AS string FROM t, range(1, 9) AS r(k) WHERE k <= length(token)) JOIN s USING (string) GROUP BY token)")
+def left_parts(spark, d):
+    """All words, cut after the prefix that holds together best."""
+    tokens = words.distinct_tokens(table(spark, d, "documents"))
+    return words.left_parts(tokens, words.prefix_scores(tokens))
+
+
+@query("lattice_words")
+def lattice_words(spark, d):
+    """Utterances with their words cut into what holds together."""
+    u = utterances(spark, d).withColumn("key", F.struct("rec_id", "pos"))
+    tokens = words.distinct_tokens(u)
+    splits = words.lattice(tokens, words.substring_scores(tokens))
+    return words.split_texts(u, "key", splits).select("key.rec_id", "key.pos", F.array_join("tokens", "|").alias("tokens"))
