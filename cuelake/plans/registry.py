@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chunk_queries, decode_queries, frame_queries, numeric_queries, signal_queries, speech_queries, text_queries
+from . import chunk_queries, decode_queries, frame_queries, numeric_queries, signal_queries, speech_queries, spoken_queries, text_queries
 
-_PARTS = (speech_queries, text_queries, numeric_queries, chunk_queries, frame_queries, decode_queries, signal_queries)
+_PARTS = (speech_queries, text_queries, numeric_queries, chunk_queries, frame_queries, decode_queries, signal_queries, spoken_queries)
 
 
 def queries() -> dict:
