@@ -7,7 +7,7 @@ The distance of two sets is 1 - Jaccard, a metric. The join is in two layers.
   the radius share a pivot among the first ``n - ceil(s * n) + 1`` of each: that window is how far a set must be replicated. In a
   region, pairs are dropped whose sizes, places of the pivot, or parity sketches rule a link out. (A parity sketch has a bit for each
   hash class, set if the class has an odd number of n-grams; each n-gram in which two sets differ flips one
-  bit, so the sketches' Hamming distance is at most the sets' difference.) A region of over ``SPLIT`` members is cut by size, as linked
+  bit, so the sketches' Hamming distance is at most the sets' difference. What goes with a key is folded to ``SENT`` words.) A region of over ``SPLIT`` members is cut by size, as linked
   sets are of like size, and what is still larger into blocks, each two of which meet in a task. What is left joins members to bundles
   (connected components), so that no link is between bundles.
 * In a bundle, pivots are members: distances to a few pivots make Voronoi regions. By the triangle inequality a linked pair is whole in
@@ -49,6 +49,8 @@ from .common import Scratch, fresh, only_cache, parallelism, read
 SKETCH, LEAST_BITS, MOST_BITS, PARTS = 1 << 20, 26, 30, 64
 #: Rows from which a region is compared by sketches in its task; smaller regions give pairs. Rows that a task compares at most.
 DENSE, SPLIT = 8, 10_000
+#: Words of a parity sketch that go with a key: a longer one is folded, so that what a text sends grows with its length, and not with its square.
+SENT = 128
 #: Members of a leaf; pivots of a region in a task, and of one that is dealt out; bytes of a bundle that one task joins.
 LEAF, PIVOTS, DEALT, LARGE = 48, 6, 16, 48_000_000
 #: Keys that a skewed join may treat apart.
@@ -290,6 +292,14 @@ def parity(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded(sketch: bytes, words: int) -> bytes:
+    """The sketch with at most so many words of 64 bits: its halves laid over each other."""
+    w = np.frombuffer(sketch, np.uint64)
+    while len(w) > words:
+        w = w[: len(w) // 2] ^ w[len(w) // 2 :]
+    return w.tobytes()
+
+
 def _sums_part(n_x, n_y, percent: int):
     """Least intersection of linked sets of these sizes: ``percent / (100 + percent)`` of their sum."""
     return -(-percent * (n_x + n_y) // (100 + percent))
@@ -418,7 +428,8 @@ def link(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
                 ok = np.flatnonzero(in_bloom(bits.value, flat))
                 take = pa.array(at[ok])
                 many = in_bloom(dense.value, flat[ok])
-                sketch = b.column(3).take(pa.array(at[ok], pa.int64(), mask=~many))
+                sent_sketch = pa.array([folded(x, SENT) for x in b.column(3).to_pylist()], pa.binary())
+                sketch = sent_sketch.take(pa.array(at[ok], pa.int64(), mask=~many))
                 yield pa.RecordBatch.from_arrays([pa.array(flat[ok], pa.int64()), b.column(0).take(take), b.column(2).take(take).cast(pa.int32()), pa.array(pos[ok], pa.int32()), sketch], names=["key", "sig", "n", "pos", "sketch"])
 
     def regions(batches):
@@ -617,7 +628,7 @@ def _deal(grams: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
         paired = paired.withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other"))
         links = links.unionByName(scratch.save(_whole(paired.select("region", "one", "two", "sig", "grams"), ["region", "one", "two"], percent).where("a <> b"), f"stuck{k}"))
         # the others: a region's members in groups of bounded size, each with the region's pivots
-        wide = large.where(F.col("before").isNull() | (F.col("bytes") <= 0.8 * F.col("before"))).select("region", "bytes", F.ceil(F.col("bytes") / LARGE).cast("int").alias("groups"))
+        wide = large.where(F.col("before").isNull() | (F.col("bytes") <= 0.8 * F.col("before"))).select("region", "bytes", F.ceil(DEALT * F.col("bytes") / LARGE).cast("int").alias("groups"))  # a member may come out once for each pivot
         big = work.drop("before").join(wide, "region")
         first = Window.partitionBy("region").orderBy(F.xxhash64("sig", F.lit(k)), "sig")
         pivots = big.withColumn("at", F.row_number().over(first)).where(F.col("at") <= DEALT).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
