@@ -272,7 +272,11 @@ def training_page(seed: int) -> tuple[str, set[int]]:
         return r.choice([f' class="{t}"', f' id="{t}"', f' class="{t} {r.choice(["box", "wrap", "inner", "col"])}"', f' class="site-{t}"'])
 
     def junk() -> str:
-        k = r.randrange(12)
+        k = r.choice([*range(14), 1, 3, 8])
+        if k == 12:  # without a name
+            return r.choice([lambda: links(r.randint(2, 7)), lambda: "<div>" + " | ".join(f"<a href='/x'>{piece(1, 2)}</a>" for _ in range(r.randint(2, 5))) + "</div>", lambda: f"<ul>{links(r.randint(3, 8), 'li')[4:-5]}</ul>"])()
+        if k == 13:
+            return f"<{(t := r.choice(['div', 'div', 'p', 'center']))}>{r.choice(['&copy; ', '© ', 'Copyright ', ''])}{r.choice(['2019 ', '2024 ', ''])}{piece(1, 6)}{r.choice(['', ' All rights reserved.'])}</{t}>"
         if k == 0:
             return f"<nav{named('nav', 'menu', '')}>{links(r.randint(2, 9))}</nav>"
         if k == 1:
@@ -308,9 +312,11 @@ def training_page(seed: int) -> tuple[str, set[int]]:
             return r.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}", "<p><b>{}<br>", "<p>{} <a href='#'>link</a></p>"]).format(inline(text) if r.random() < 0.3 else text)
         if k < 0.8:
             return f"<h{(h := r.randint(2, 3))}>{piece(1, 5, 1, True)}</h{h}>"
-        if k < 0.87:
+        if k < 0.85:  # sources
+            return r.choice(["", f"<h3>{piece(1, 2, 1, True)}</h3>"]) + "<ul>" + "".join(f"<li><a href='http://x'>{piece(1, 6, 1, True)}</a>{r.choice(['', ', ' + sentence(1, 4)])}</li>" for _ in range(r.randint(1, 4))) + "</ul>"
+        if k < 0.89:
             return "<ul>" + "".join(f"<li>{piece(2, 12, 1, True)}</li>" for _ in range(r.randint(2, 5))) + "</ul>"
-        if k < 0.92:
+        if k < 0.93:
             return f"<blockquote><p>{piece(5, 20, 1, True)}</p></blockquote>"
         if k < 0.95:
             return "<table>" + "".join("<tr>" + "".join(f"<td>{piece(1, 3, 1, True)}</td>" for _ in range(2)) + "</tr>" for _ in range(r.randint(1, 4))) + "</table>"
@@ -324,13 +330,18 @@ def training_page(seed: int) -> tuple[str, set[int]]:
 
     def bare() -> str:
         """An article without a wrapper that names it."""
-        k = r.randrange(7)
+        k = r.randrange(9)
+        if k >= 7:  # blocks in blocks, none of them named
+            inner = "".join(f"<div>{inline(piece(2, 25, r.choice([1, 1, 2, 4]), True))}</div>" if r.random() < 0.7 else block() for _ in range(r.randint(1, 6)))
+            head = f"<{(t := r.choice(['h1', 'h1', 'h2']))}>{piece(1, 7, 1, True)}</{t}>" if r.random() < 0.7 else ""
+            return f"<div>{head}{r.choice(['{}', '<div>{}</div>']).format(inner)}</div>"
         if k == 0:
             return f"<p>{inline(piece(1, 20, r.choice([1, 1, 2]), True))}</p>"
         if k == 1:
             return f"<div>{piece(2, 20, r.choice([1, 2]), True)}" + "".join(f"<p>{inline(piece(2, 20, r.choice([1, 2, 4]), True))}</p>" for _ in range(r.randint(1, 4))) + "</div>"
         if k == 2:  # a layout table
-            side = f"<td>{links(r.randint(2, 6), r.choice(['li', 'p']))}</td>" if r.random() < 0.6 else ""
+            beside = "<br>".join(f"<a href='/x'>{piece(1, 2)}</a>" for _ in range(r.randint(2, 6))) if r.random() < 0.4 else links(r.randint(2, 6), r.choice(["li", "p"]))
+            side = f"<td>{beside}</td>" if r.random() < 0.7 else ""
             return f"<table><tr>{side}<td>" + "".join(block() for _ in range(r.randint(2, 8))) + "</td></tr></table>"
         if k == 3:
             return "".join(f"<div>{inline(piece(3, 25, r.choice([1, 2, 4]), True))}</div>" for _ in range(r.randint(1, 8)))
@@ -348,7 +359,7 @@ def training_page(seed: int) -> tuple[str, set[int]]:
     for _ in range(r.choice([0, 1, 1, 2, 4, 8, 14])):
         inner.append(block())
         if r.random() < 0.06:
-            inner.append(r.choice([lambda: f"<div class=\"{r.choice(['ad', 'advert', 'promo', 'share', 'related', 'newsletter'])}\">{piece(2, 15)}</div>", lambda: f"<aside>{piece(3, 15)}</aside>", lambda: f"<form><p>{piece(2, 8)}</p></form>"])())
+            inner.append(r.choice([lambda: f"<div class=\"{r.choice(['ad', 'advert', 'promo', 'share', 'related', 'newsletter'])}\">{piece(2, 15)}</div>", lambda: f"<aside>{piece(3, 15)}</aside>", lambda: f"<form><p>{piece(2, 8)}</p></form>", lambda: f"<form><label>{piece(1, 3)}</label><input>{r.choice(['', '<p>' + piece(2, 9) + '</p>'])}</form>"])())
     if r.random() < 0.15:
         inner.append(comments())
     body = "".join(inner) or f"<p>{piece(3, 20, 1, True)}</p>"
@@ -372,7 +383,7 @@ def training_page(seed: int) -> tuple[str, set[int]]:
     return f"<!DOCTYPE html><html><head><title>t</title></head><body>{before}<!-- c -->{body}{after}" + r.choice(["</body></html>", ""]), article
 
 
-def train(pages: int = 700, seed: int = 1) -> Trees:
+def train(pages: int = 1200, seed: int = 1) -> Trees:
     xs, ys = [], []
     for k in range(pages):
         source, article = training_page(seed * 100_000 + k)
@@ -394,6 +405,19 @@ def train(pages: int = 700, seed: int = 1) -> Trees:
     return Trees(3).fit(np.concatenate(xs), np.concatenate(ys))
 
 
+def in_forms(page: Page) -> np.ndarray:
+    """Blocks in a form, unless it has half of the page's text or more: then it is one around the page."""
+    text = np.zeros(len(page.tag))
+    for i, t in page.pieces:
+        text[i] += len(t)
+    for i in range(len(page.tag) - 1, 0, -1):
+        text[page.parent[i]] += text[i]
+    out = np.zeros(len(page.tag), bool)
+    for i in range(1, len(page.tag)):
+        out[i] = out[page.parent[i]] or page.tag[i] == "form" and 2 * text[i] < text[0]
+    return out
+
+
 def extract_many(sources: list[str | None], model: Trees) -> list[str]:
     pages = [Page(s) if s else None for s in sources]
     full = [p for p in pages if p is not None and p.pieces]
@@ -407,10 +431,18 @@ def extract_many(sources: list[str | None], model: Trees) -> list[str]:
         if p is None or not p.pieces:
             out.append("")
             continue
-        label = decode(p.parent, probabilities[ends[k] - len(p.tag) : ends[k]])
+        own = probabilities[ends[k] - len(p.tag) : ends[k]]
         k += 1
+        forms = in_forms(p)
+        own[forms] = (0, 1, 0)
+        above = np.zeros(len(p.tag), bool)  # what has a form in it isn't all article
+        for i in np.flatnonzero(forms)[::-1]:
+            above[p.parent[i]] = True
+        for i in range(len(p.tag) - 1, 0, -1):
+            above[p.parent[i]] |= above[i]
+        own[above & ~forms, ALL] = 0
+        label = decode(p.parent, own)
         # text that stands by itself in a block of which only some is article goes with what is likelier of the block's own text
-        own = probabilities[ends[k - 1] - len(p.tag) : ends[k - 1]]
         take = [t for i, t in p.pieces if label[i] == ALL or label[i] == SOME and own[i, ALL] > own[i, NONE]]
         out.append("\n\n".join(take))
     return out
