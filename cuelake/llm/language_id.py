@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import read
 
@@ -145,17 +146,20 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Network:
         return Network([])
     place = (F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("place")
     share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, sample / counts[lang]))))
-    chosen = known.where(place < share[F.col("lang")])
+    # of rows with the same doc_id all or none are chosen, so a language may have more than its share: then those with the least hashes are taken
+    least = Window.partitionBy("lang").orderBy("place", "doc_id", "hash")
+    chosen = known.select("*", place, F.xxhash64("text").alias("hash")).where(F.col("place") < share[F.col("lang")])
+    chosen = chosen.withColumn("rank", F.row_number().over(least)).where(F.col("rank") <= 2 * sample)
 
     def run(batches):
         for b in batches:
-            langs, ids, raws = [], [], []
-            for lang, doc_id, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+            langs, ranks, raws = [], [], []
+            for lang, rank, text in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if LETTER.search(text):
-                    langs.append(lang), ids.append(doc_id), raws.append(windows(text).tobytes())
-            yield pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "doc_id": pa.array(ids, pa.int64()), "raw": pa.array(raws, pa.binary())})
+                    langs.append(lang), ranks.append(rank), raws.append(windows(text).tobytes())
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "rank": pa.array(ranks, pa.int32()), "raw": pa.array(raws, pa.binary())})
 
-    got = chosen.select("lang", "doc_id", "text").mapInArrow(run, "lang string, doc_id long, raw binary").limit(2 * sample * len(languages)).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    got = chosen.select("lang", "rank", "text").mapInArrow(run, "lang string, rank int, raw binary").toArrow().sort_by([("rank", "ascending"), ("lang", "ascending")])
     net = Network(languages)
     raws = [np.frombuffer(r, np.uint8).reshape(-1, WINDOW) for r in got["raw"].to_pylist()]
     if raws:
