@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cuelake.llm import fill_in_middle as fim
-from cuelake.llm import jaccard_join, minhash_dedup, queries, whitening
+from cuelake.llm import html_extraction, jaccard_join, language_id, minhash_dedup, queries, whitening
 from cuelake.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -254,3 +254,77 @@ def test_minhash_filter_keeps_one_of_each(spark):
     groups = {(c if n else ("own", i, k)) for k, (i, n, c) in enumerate(plain_components(rows, 4, 80))}
     assert kept.count() == len(groups)
     assert minhash_dedup.filter_documents(docs.limit(0)).count() == 0
+
+
+# ---- what the Jaccard join sends
+
+
+def test_a_text_sends_bytes_in_proportion_to_its_length():
+    sizes = [300, 3000, 30_000, 300_000]
+    sets = [np.unique(np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64)) for n in sizes]
+    sent = [len(jaccard_join.folded(jaccard_join.parity(s), jaccard_join.SENT)) * jaccard_join._window(len(s), 85) / len(s) for s in sets]
+    assert max(sent) <= 8 * jaccard_join.SENT * 0.16
+
+
+def test_folded_sketches_keep_the_bound():
+    r = np.random.default_rng(6)
+    for n in (50, 5000, 40_000):
+        both = r.integers(0, 2**63, n, dtype=np.uint64)
+        x, y = (np.unique(np.concatenate([both, r.integers(0, 2**63, n // 9, dtype=np.uint64)])) for _ in range(2))
+        short = [jaccard_join.folded(jaccard_join.parity(s), jaccard_join.SENT) for s in (x, y)]
+        assert all(len(s) <= 8 * jaccard_join.SENT for s in short) and jaccard_join.apart(*short) <= len(np.setxor1d(x, y))
+        assert jaccard_join.apart(*short) == jaccard_join.apart(jaccard_join.parity(x), short[1]) or len(jaccard_join.parity(x)) == len(short[0])
+
+
+# ---- pages without names, forms
+
+
+@pytest.fixture(scope="module")
+def trees():
+    return html_extraction.train()
+
+
+LONG = "Rivers rose quickly on Monday after two days of rain, and the town hall was opened to families."
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<ul><li><a href=/>Home</a><li><a href=/n>News</a></ul><div><h1>Floods</h1><div>{LONG}</div><div>By Tuesday the water had fallen again, and helpers began to clean the streets.</div></div><div>&copy; 2024 Example News</div>", f"Floods\n\n{LONG}\n\nBy Tuesday the water had fallen again, and helpers began to clean the streets."),
+    (f"<article><h1>News</h1><p>{LONG}</p><form><label>Mail</label><input></form><p>{LONG}</p></article>", f"News\n\n{LONG}\n\n{LONG}"),
+    (f"<form id=aspnet><article><h1>News</h1><p>{LONG}</p></article></form>", f"News\n\n{LONG}"),
+    (f"<table><tr><td><a href=/>Home</a><br><a href=/b>B</a></td><td><p>{LONG}</p></td></tr></table>", LONG),
+])
+def test_pages_written_by_hand(trees, page, want):
+    assert html_extraction.extract_many([page], trees) == [want]
+
+
+def test_a_page_of_megabytes(spark, trees):
+    page = "<nav><a href=/>Home</a></nav><article>" + f"<p>{LONG}</p>" * 20_000 + "</article>"
+    table = spark.createDataFrame([(1, "u", page, "own", 5)], "page_id long, url string, html string, text string, n_chars int")
+    out = html_extraction.extract(table, trees).collect()
+    assert out[0]["text"] == "\n\n".join([LONG] * 20_000)
+
+
+def test_decoding_is_the_most_likely_consistent_labelling():
+    """Against all labellings of small trees."""
+    import itertools
+
+    r = np.random.default_rng(11)
+    for _ in range(120):
+        n = int(r.integers(1, 7))
+        parent = [-1, *(int(r.integers(0, i)) for i in range(1, n))]
+        p = r.dirichlet([0.7] * 3, n)
+        ok = [x for x in itertools.product(range(3), repeat=n) if all(i == 0 or x[parent[i]] == html_extraction.SOME or x[i] == x[parent[i]] for i in range(n))]
+        # the root is never all or none of a page by itself
+        score = lambda x: sum(math.log(max(p[i, x[i]], 1e-6)) for i in range(n))
+        got = html_extraction.decode(parent, p.copy()).tolist()
+        assert score(got) >= max(map(score, ok)) - 1e-9
+
+
+# ---- the choice of texts to learn languages from
+
+
+def test_many_rows_of_one_id_are_chosen_alike(spark):
+    rows = [(7, f"das ist ein kleiner satz nummer {i}", "de") for i in range(60)] + [(i, f"this is a small sentence number {i}", "en") for i in range(60)]
+    one, two = (language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(n), sample=10) for n in (1, 7))
+    texts = ["ein satz", "a sentence", "kleiner", "small number"]
+    assert one.predict(texts) == two.predict(texts)
