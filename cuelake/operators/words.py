@@ -24,16 +24,16 @@ def distinct_tokens(texts: DataFrame, text: str = "text", pattern: str = r"\S+")
 
 
 def _scored(strings: DataFrame) -> DataFrame:
-    """string, length, n, score of strings (string, n) that may come several times."""
+    """string, length, n, n_first (of its first character), score of strings (string, n) that may come several times."""
     counts = strings.groupBy("string").agg(F.sum("n").alias("n")).withColumn("length", F.length("string"))
     first = counts.where("length = 1").select(F.col("string").alias("first"), F.col("n").alias("n_first"))
     own = counts.join(first, F.substring("string", 1, 1) == F.col("first"))
     score = F.when(F.col("length") > 1, F.round(F.pow(F.col("n") / F.col("n_first"), 1 / (F.col("length") - 1)), 12)).otherwise(F.lit(0.0))
-    return own.select("string", "length", "n", score.alias("score"))
+    return own.select("string", "length", "n", "n_first", score.alias("score"))
 
 
 def prefix_scores(tokens: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """string, length, n, score of all prefixes of tokens (token, n) up to ``longest`` characters."""
+    """string, length, n, n_first, score of all prefixes of tokens (token, n) up to ``longest`` characters."""
     lengths = F.sequence(F.lit(1), F.least(F.length("token"), F.lit(longest)))
     return _scored(tokens.where("token <> ''").select(F.explode(F.transform(lengths, lambda k: F.substring("token", F.lit(1), k))).alias("string"), "n"))
 
@@ -54,7 +54,7 @@ def _substrings(token: Column, longest: int) -> Column:
 
 
 def substring_scores(tokens: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """string, length, n, score of all substrings of tokens (token, n)."""
+    """string, length, n, n_first, score of all substrings of tokens (token, n)."""
     return _scored(tokens.where("token <> ''").select(F.explode(_substrings(F.col("token"), longest)).alias("s"), "n").select("s.string", "n"))
 
 

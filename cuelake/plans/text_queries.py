@@ -388,14 +388,14 @@ def split_oversize(spark, d):
 
 _PREFIXES = """WITH t AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\\S+')) AS token FROM documents) GROUP BY token),
   c AS (SELECT left(token, k) AS string, k AS length, CAST(sum(n) AS BIGINT) AS n FROM t, range(1, 9) AS r(k) WHERE k <= length(token) GROUP BY ALL),
-  s AS (SELECT c.string, c.length, c.n, CASE WHEN c.length > 1 THEN round(pow(CAST(c.n AS DOUBLE) / f.n, CAST(1 AS DOUBLE) / (c.length - 1)), 12) ELSE 0 END AS score FROM c JOIN c f ON f.length = 1 AND f.string = left(c.string, 1))"""
+  s AS (SELECT c.string, c.length, c.n, f.n AS n_first, CASE WHEN c.length > 1 THEN round(pow(CAST(c.n AS DOUBLE) / f.n, CAST(1 AS DOUBLE) / (c.length - 1)), 12) ELSE 0 END AS score FROM c JOIN c f ON f.length = 1 AND f.string = left(c.string, 1))"""
 
 
-@query("prefix_scores", f"{_PREFIXES} SELECT string, CAST(length AS INTEGER) AS length, n, round(score, 9) AS score FROM s")
+@query("prefix_scores", f"{_PREFIXES} SELECT string, CAST(length AS INTEGER) AS length, n, n_first FROM s")
 def prefix_scores(spark, d):
-    """How well the prefixes of all words hold together."""
+    """The prefixes of all words with the counts that say how well they hold together."""
     tokens = words.distinct_tokens(table(spark, d, "documents"))
-    return words.prefix_scores(tokens).withColumn("score", F.round("score", 9))
+    return words.prefix_scores(tokens).drop("score")
 
 
 @query("left_parts", f"{_PREFIXES} SELECT token, left(token, best.length) AS \"left\", substr(token, best.length + 1) AS \"right\" FROM (SELECT token, max({{'score': score, 'length': s.length}}) AS best FROM (SELECT token, left(token, k) AS string FROM t, range(1, 9) AS r(k) WHERE k <= length(token)) JOIN s USING (string) GROUP BY token)")
