@@ -312,11 +312,9 @@ def training_page(seed: int) -> tuple[str, set[int]]:
             return r.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}", "<p><b>{}<br>", "<p>{} <a href='#'>link</a></p>"]).format(inline(text) if r.random() < 0.3 else text)
         if k < 0.8:
             return f"<h{(h := r.randint(2, 3))}>{piece(1, 5, 1, True)}</h{h}>"
-        if k < 0.85:  # sources
-            return r.choice(["", f"<h3>{piece(1, 2, 1, True)}</h3>"]) + "<ul>" + "".join(f"<li><a href='http://x'>{piece(1, 6, 1, True)}</a>{r.choice(['', ', ' + sentence(1, 4)])}</li>" for _ in range(r.randint(1, 4))) + "</ul>"
-        if k < 0.89:
+        if k < 0.87:
             return "<ul>" + "".join(f"<li>{piece(2, 12, 1, True)}</li>" for _ in range(r.randint(2, 5))) + "</ul>"
-        if k < 0.93:
+        if k < 0.92:
             return f"<blockquote><p>{piece(5, 20, 1, True)}</p></blockquote>"
         if k < 0.95:
             return "<table>" + "".join("<tr>" + "".join(f"<td>{piece(1, 3, 1, True)}</td>" for _ in range(2)) + "</tr>" for _ in range(r.randint(1, 4))) + "</table>"
