@@ -66,3 +66,29 @@ def test_rates(spark):
     assert rates["y"]["pooled"] == rates["y"]["macro"] == 0.5 and rates["z"]["pooled"] is None is rates["z"]["macro"]
     chars = d.select(errors.character_counts(F.col("said"), F.col("heard")).alias("c")).collect()
     assert tuple(chars[0]["c"]) == (4, 3, 1, 0, 1) and tuple(chars[4]["c"]) == (2, 1, 0, 0, 1)
+
+
+def poor(items: list) -> list:
+    """What a poor transcript has of items."""
+    return [y for k, x in enumerate(items) for y in ([] if k % 11 == 3 else [x, x] if k % 11 == 5 else [x[::-1]] if k % 11 == 8 else [x])]
+
+
+def test_characters_with_many_edits_take_little_time():
+    r = random.Random(4)
+    texts = [["".join(r.choice("etaoinshr") for _ in range(r.randint(1, 10))) for _ in range(350)] for _ in range(60)]
+    start = time.time()
+    got = [errors.edit_counts(list("".join(t)), list("".join(poor(t)))) for t in texts]
+    assert time.time() - start < 5
+    a, b = "".join(texts[0]), "".join(poor(texts[0]))
+    assert (sum(got[0]), got[0][1] + got[0][2]) == brute_cost(a, b)
+
+
+@pytest.mark.parametrize("held, ways", [(1 << 26, 64), (0, 64), (400, 64), (1 << 26, 0), (0, 0)])
+def test_all_ways_of_counting_agree(monkeypatch, held, ways):
+    monkeypatch.setattr(errors, "HELD", held)
+    monkeypatch.setattr(errors, "WAYS", ways)
+    r = random.Random(6)
+    for _ in range(150):
+        a, b = ([r.randrange(4) for _ in range(r.randrange(40))] for _ in "ab")
+        s, i, d = errors.edit_counts(a, b)
+        assert (s + i + d, i + d) == brute_cost(a, b)
