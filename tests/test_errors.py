@@ -92,3 +92,13 @@ def test_all_ways_of_counting_agree(monkeypatch, held, ways):
         a, b = ([r.randrange(4) for _ in range(r.randrange(40))] for _ in "ab")
         s, i, d = errors.edit_counts(a, b)
         assert (s + i + d, i + d) == brute_cost(a, b)
+
+
+def test_words_of_many_texts_take_little_time():
+    r = random.Random(5)
+    texts = [[f"w{r.randrange(300)}" for _ in range(90)] for _ in range(2000)]
+    start = time.time()
+    got = [errors.edit_counts(t, poor(t)) for t in texts]
+    assert time.time() - start < 6
+    for t, (s, i, d) in list(zip(texts, got))[:20]:
+        assert (s + i + d, i + d) == brute_cost(t, poor(t))
