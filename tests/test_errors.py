@@ -102,3 +102,11 @@ def test_words_of_many_texts_take_little_time():
     assert time.time() - start < 6
     for t, (s, i, d) in list(zip(texts, got))[:20]:
         assert (s + i + d, i + d) == brute_cost(t, poor(t))
+
+
+def test_rates_of_texts_with_all_kinds_of_blanks(spark):
+    d = spark.createDataFrame([("x", "a\x0bb c d\x1ce f", "a b c d\x1ce f"), ("x", "\t \n", None)], "who string, said string, heard string")
+    counted = d.withColumn("counts", errors.word_counts(F.col("said"), F.col("heard")))
+    words = d.select(F.size(F.regexp_extract_all("said", F.lit(r"\S+"), F.lit(0)))).collect()
+    assert [r["counts"]["n_reference"] for r in counted.collect()] == [r[0] for r in words] == [3, 0]
+    assert errors.error_rates(counted, ["who"]).collect()[0]["edits"] == 0
