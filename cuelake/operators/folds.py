@@ -15,11 +15,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-#: Outputs that a task hands on at a time.
-BATCH = 5000
+from .rows import batches_of
 
 
 def _groups(batches, n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -36,21 +34,6 @@ def _groups(batches, n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
         yield keys, rows
 
 
-def _batches(rows: Iterator[tuple], schema: StructType) -> Iterator[pa.RecordBatch]:
-    kinds, held = to_arrow_schema(schema), []
-
-    def made() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), kinds)], names=kinds.names)
-
-    for row in rows:
-        held.append(row)
-        if len(held) >= BATCH:
-            yield made()
-            held = []
-    if held:
-        yield made()
-
-
 def fold(
     df: DataFrame, order: list[str], columns: list[str], bucket: Column, out: str, process: Callable[[list[tuple], bool, int | None], list[tuple[int, tuple]]],
     certain: Callable[[list[tuple], int | None], int | None], reach: tuple[Column, Column] | None = None, start: int = 0, loose: int = 1,
@@ -94,7 +77,7 @@ def fold(
                 for k, g in enumerate(own[tail:], tail):
                     yield who, g[1], g[2], k, True, k == tail, None, *g[4:], *no_out
 
-        yield from _batches(rows(), first)
+        yield from batches_of(rows(), first)
 
     second = StructType([rec, StructField("idx", LongType()), *outs])
 
@@ -119,7 +102,7 @@ def fold(
                 for k, values in enumerate(of(group), 1):
                     yield who, k, *values
 
-        yield from _batches(rows(), second)
+        yield from batches_of(rows(), second)
 
     one = spread.repartition("rec_id", "to").sortWithinPartitions("rec_id", "to", "own", "at0", "at1").mapInArrow(pass_one, first)
     two = one.repartition("rec_id").sortWithinPartitions("rec_id", "at0", "at1", "at2").mapInArrow(pass_two, second)

@@ -312,13 +312,8 @@ _RECONCILED = f"""WITH {UTTERANCES_SQL}, l AS (SELECT rec_id, pos, regexp_extrac
 @query("reconcile_gaps", _RECONCILED)
 def reconcile_gaps(spark, d):
     """Cleaned tokens of 80 ms put back into their text, with what is between them."""
-    @F.pandas_udf("array<struct<text: string, start_ms: long, end_ms: long>>")
-    def items(text: pd.Series, tokens: pd.Series) -> pd.Series:
-        found = (align.reconcile(t, [(w, 80 * i, 80 * i + 80) for i, w in enumerate(k)]) for t, k in zip(text, tokens))
-        return pd.Series([[{"text": x, "start_ms": a, "end_ms": b} for x, a, b in r] for r in found])
-
-    u = utterances(spark, d).where("text <> ''").select("rec_id", "pos", F.posexplode(items("text", T.tokens(F.col("text")))).alias("k", "i"))
-    return u.select("rec_id", "pos", (F.col("k") + 1).alias("k"), "i.text", "i.start_ms", "i.end_ms")
+    u = utterances(spark, d).where("text <> ''").select("rec_id", "pos", "text", T.tokens(F.col("text")).alias("tokens"))
+    return align.reconciled(u, ["rec_id", "pos"], lambda tokens: [(w, 80 * i, 80 * i + 80) for i, w in enumerate(tokens)])
 
 
 def _clean_sql() -> str:

@@ -168,3 +168,14 @@ def test_registered_names(spark):
     assert [r["text"] for r in spark.sql("SELECT * FROM translated_rows('你好，我是第一个。第二句在这里。', 0, 1000)").collect()] == ["你好，我是第一个。", "第二句在这里。"]
     assert [r["text"] for r in spark.sql("SELECT c.* FROM VALUES ('a b c, d.') AS t(x), LATERAL clauses(x, 4000) c").collect()] == ["a b c,", "d."]
     assert spark.sql("SELECT * FROM reconciled('Hi, you', array('Hi', 'you'))").count() == 3
+
+
+def test_reconciled_holds_one_text_at_a_time(spark, monkeypatch):
+    from cuelake.operators import align, rows
+
+    monkeypatch.setattr(rows, "BATCH", 3)
+    texts = [(1, "Ab, c-d e!", ["Ab", "cd", "e"]), (2, "...", []), (3, " x", ["x", "gone"])]
+    d = spark.createDataFrame(texts, "id int, text string, tokens array<string>").coalesce(1)
+    got = {(r["id"], r["k"]): (r["text"], r["start_ms"], r["end_ms"]) for r in align.reconciled(d, ["id"], lambda found: [(w, 80 * i, 80 * i + 80) for i, w in enumerate(found)]).collect()}
+    want = {(i, k): x for i, t, found in texts for k, x in enumerate(align.reconcile(t, [(w, 80 * n, 80 * n + 80) for n, w in enumerate(found)]), 1)}
+    assert got == want and len({i for i, _ in got}) == 3
