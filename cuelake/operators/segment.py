@@ -7,16 +7,19 @@ of a recording's ordered rows (``folds``). Times are integer milliseconds.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.itn import normalize as digits
 from ..functions.text import AFTER, BEFORE, BREAKS
 from . import folds, intervals
+from .rows import batches_of
 
 # Signs that end a clause, and signs that end a sentence and may be followed by closing signs.
 BREAK = re.compile(rf"[{BREAKS}]|\.(?=\s|$)")
@@ -377,13 +380,26 @@ def build_subtitles(items: DataFrame, turn_rows: DataFrame | None = None, with_s
 
 
 def build_subtitles_from_text(texts: DataFrame, turn_rows: DataFrame | None = None, with_speaker: bool = True) -> DataFrame:
-    """Subtitle lines of texts (rec_id, text, total_ms) without times. A recording's several texts come one after the other, by total_ms, then text."""
-    @F.pandas_udf("array<struct<start_ms: long, end_ms: long, text: string>>")
-    def made(text: pd.Series, total: pd.Series) -> pd.Series:
-        return pd.Series([[{"start_ms": a, "end_ms": b, "text": t} for a, b, t in text_clauses(x, n)] for x, n in zip(text, total)])
-
-    found = texts.select("rec_id", "total_ms", F.col("text").alias("whole"), F.posexplode(made("text", "total_ms")).alias("part", "c"))
-    place = F.row_number().over(Window.partitionBy("rec_id").orderBy("total_ms", "whole", "part"))
-    found = found.select("rec_id", place.alias("idx"), "c.start_ms", "c.end_ms", "c.text")
+    """Subtitle lines of texts (rec_id, text, total_ms) without times. A recording's several texts come one after the other, by total_ms, then text.
+
+    A text goes to its clauses once, and no clause brings it along; clauses are handed on a few thousand at a time."""
+    rec = texts.schema["rec_id"]
+    schema = StructType([rec, StructField("idx", IntegerType()), *(StructField(name, LongType()) for name in ("start_ms", "end_ms")), StructField("text", StringType())])
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            last, idx = (), 0
+            for b in batches:
+                for i in range(b.num_rows):
+                    who, total, text = (c[i].as_py() for c in b.columns)
+                    idx = idx if (who,) == last else 0
+                    last = (who,)
+                    for idx, clause in enumerate(text_clauses(text, total), idx + 1):
+                        yield who, idx, *clause
+
+        yield from batches_of(rows(), schema)
+
+    ordered = texts.select("rec_id", "total_ms", "text").repartition("rec_id").sortWithinPartitions("rec_id", "total_ms", "text")
+    found = ordered.mapInArrow(run, schema)
     found = found.withColumn("speaker", F.lit("")) if turn_rows is None else attach_speakers(found, turn_rows, ["rec_id", "idx"])
     return _finished(found, with_speaker)

@@ -184,3 +184,18 @@ def test_adapters_lay_utterances_end_to_end(spark):
     for u in sorted(adapters.utterances(spark, SF).collect(), key=lambda u: (u["rec_id"], u["pos"])):
         assert u["start_ms"] == by.get(u["rec_id"], 0)
         by[u["rec_id"]] = u["end_ms"]
+
+
+def test_texts_are_sent_once(spark, monkeypatch):
+    from cuelake.operators import rows as made
+
+    monkeypatch.setattr(made, "BATCH", 2)
+    texts = [(1, "One two, three. " * 40, 90_000), (1, "Later words. And more", 95_000), (2, "", 10), (2, None, 5), (3, "x", 400)]
+    d = spark.createDataFrame(texts, "rec_id int, text string, total_ms long")
+    seen = {}
+    for rec, text, total in sorted(texts, key=lambda t: (t[0], t[2])):
+        seen.setdefault(rec, []).extend((*c, "") for c in segment.text_clauses(text, total))
+    want = {(rec, k): line for rec, c in seen.items() for k, (_, line) in enumerate(segment.finish_from(c), 1)}
+    lines = segment.build_subtitles_from_text(d)
+    assert {(r["rec_id"], r["idx"]): (r["start_ms"], r["end_ms"], r["text"], r["speaker"]) for r in lines.collect()} == want
+    assert "whole" not in lines._jdf.queryExecution().analyzed().toString()
