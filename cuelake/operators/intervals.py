@@ -25,11 +25,12 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int = 600_000) -> Dat
     return both.drop("bucket").withColumn("overlap_ms", F.least("end_ms", "r_end_ms") - F.greatest("start_ms", "r_start_ms"))
 
 
-def dominant_speaker(clause_rows: DataFrame, turn_rows: DataFrame, keys: list[str], width: int = 600_000) -> DataFrame:
+def dominant_speaker(clause_rows: DataFrame, turn_rows: DataFrame, keys: list[str], width: int = 600_000, deal: list[str] | None = None) -> DataFrame:
     """``clause_rows`` with the label that shares most time with each; ties go to the label whose turn comes first in the list;
     null where no turn overlaps. A turn without length shares none. A clause without length has the label of the turn at its start, of several that which starts first. ``keys`` name a clause.
 
-    Clauses are read once: a left join keeps those without a turn, and each goes through the votes with its other columns."""
+    Clauses are read once: a left join keeps those without a turn, and each goes through the votes with its other columns. They are shuffled twice: for the join, where the votes of a bucket are
+    added up too, and by ``deal`` (some of rec_id and ``keys``; all of them if None), where a clause's buckets meet. What groups by ``deal`` afterwards needs no third."""
     others = [c for c in clause_rows.columns if c not in (*keys, "rec_id")]
     turns = _buckets(turn_rows.where("end_ms > start_ms"), width).select("rec_id", "bucket", *(F.col(c).alias(f"r_{c}") for c in ("seq", "start_ms", "end_ms", "label")))
     c = clause_rows.withColumn("__end", F.greatest("end_ms", F.col("start_ms") + 1))
@@ -40,7 +41,9 @@ def dominant_speaker(clause_rows: DataFrame, turn_rows: DataFrame, keys: list[st
     shared = F.when(point, 0).otherwise(F.least("end_ms", "r_end_ms") - F.greatest("start_ms", "r_start_ms")).cast("long")
     group = list(dict.fromkeys(["rec_id", *keys]))
     rest = F.first(F.struct(*(F.col(x) for x in others))).alias("rest")
-    votes = met.groupBy(*group, F.col("r_label").alias("label")).agg(rest, F.first(point).alias("point"), F.sum(shared).alias("overlap_ms"), F.min("r_seq").alias("seq"), F.min(F.struct("r_start_ms", "r_seq")).alias("turn"))
+    label = F.col("r_label").alias("label")
+    votes = met.groupBy("rec_id", "bucket", *(k for k in group if k != "rec_id"), label).agg(rest, F.first(point).alias("point"), F.sum(shared).alias("overlap_ms"), F.min("r_seq").alias("seq"), F.min(F.struct("r_start_ms", "r_seq")).alias("turn"))
+    votes = votes.repartition(*(deal or group)).groupBy(*group, "label").agg(F.first("rest").alias("rest"), F.first("point").alias("point"), F.sum("overlap_ms").alias("overlap_ms"), F.min("seq").alias("seq"), F.min("turn").alias("turn"))
     rank = F.when(F.col("point"), F.struct(F.col("turn.r_start_ms").alias("a"), F.col("turn.r_seq").alias("b"))).otherwise(F.struct((-F.col("overlap_ms")).alias("a"), F.col("seq").alias("b")))
     best = F.min(F.when(F.col("label").isNotNull(), F.struct(rank.alias("rank"), "label", "overlap_ms"))).alias("best")
     won = votes.groupBy(*group).agg(F.first("rest").alias("rest"), best)

@@ -361,9 +361,9 @@ def translated_rows(units_: DataFrame, keep_source: bool = False, with_speaker:
     return out.select("rec_id", n.alias("idx"), "r.start_ms", "r.end_ms", "r.text", speaker)
 
 
-def attach_speakers(clause_rows: DataFrame, turn_rows: DataFrame, keys: list[str]) -> DataFrame:
+def attach_speakers(clause_rows: DataFrame, turn_rows: DataFrame, keys: list[str], deal: list[str] | None = None) -> DataFrame:
     """Clauses with speaker: the label that shares most time with each, '' if none does."""
-    return intervals.dominant_speaker(clause_rows, turn_rows, keys).withColumn("speaker", F.coalesce("label", F.lit(""))).drop("label", "overlap_ms")
+    return intervals.dominant_speaker(clause_rows, turn_rows, keys, deal=deal).withColumn("speaker", F.coalesce("label", F.lit(""))).drop("label", "overlap_ms")
 
 
 def _finished(clause_rows: DataFrame, with_speaker: bool) -> DataFrame:

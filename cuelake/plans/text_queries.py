@@ -228,7 +228,7 @@ def subtitles_from_text(spark, d):
 @query("alignment_json", f"WITH {UTTERANCES_SQL}, {_SPK}, w AS (SELECT rec_id, pos, unnest(regexp_extract_all(text, '\\S+')) AS word, generate_subscripts(regexp_extract_all(text, '\\S+'), 1) AS k FROM utterances), i AS (SELECT rec_id, word || ' ' AS text, row_number() OVER (PARTITION BY rec_id ORDER BY pos, k) AS n, CAST(coalesce(sum(200 * length(word)) OVER (PARTITION BY rec_id ORDER BY pos, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s, CAST(sum(200 * length(word)) OVER (PARTITION BY rec_id ORDER BY pos, k ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM w), v AS (SELECT i.rec_id, n, label, sum(least(e, end_ms) - greatest(s, start_ms)) AS ov, min(seq) AS f FROM i JOIN turns t ON t.rec_id = i.rec_id AND start_ms < e AND s < end_ms GROUP BY ALL), b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY rec_id, n ORDER BY ov DESC, f) = 1) SELECT i.rec_id, i.text, round(CAST(s AS DOUBLE) / 1000, 3) AS start, round(CAST(e AS DOUBLE) / 1000, 3) AS \"end\", coalesce(label, '') AS speaker FROM i LEFT JOIN b ON b.rec_id = i.rec_id AND b.n = i.n")
 def alignment_json(spark, d):
     """Words with their speakers as one JSON document for each recording, and back."""
-    items = segment.attach_speakers(_items(spark, d), _speaker_turns(spark, d), ["rec_id", "pos"])
+    items = segment.attach_speakers(_items(spark, d), _speaker_turns(spark, d), ["rec_id", "pos"], deal=["rec_id"])
     back = F.from_json("json", "array<struct<text string, start double, end double, speaker string>>")
     return subtitles.words_json(items).select("rec_id", F.inline(back))
 

@@ -179,3 +179,36 @@ def test_reconciled_holds_one_text_at_a_time(spark, monkeypatch):
     got = {(r["id"], r["k"]): (r["text"], r["start_ms"], r["end_ms"]) for r in align.reconciled(d, ["id"], lambda found: [(w, 80 * i, 80 * i + 80) for i, w in enumerate(found)]).collect()}
     want = {(i, k): x for i, t, found in texts for k, x in enumerate(align.reconcile(t, [(w, 80 * n, 80 * n + 80) for n, w in enumerate(found)]), 1)}
     assert got == want and len({i for i, _ in got}) == 3
+
+
+def test_votes_over_buckets_and_their_shuffles(spark):
+    import random
+
+    from cuelake.operators import intervals
+
+    r = random.Random(8)
+    turns = [(rec, n, s, s + r.randrange(60), r.choice("abc")) for rec in (1, 2) for n, s in enumerate(sorted(r.randrange(300) for _ in range(25)))]
+    items = [(rec, k, s, s + r.choice([0, 0, 3, 40, 150]), f"t{k}") for rec in (1, 2, 3) for k, s in enumerate(r.randrange(330) for _ in range(40))]
+    want = {}
+    for rec, k, s, e, _ in items:
+        there = [t for t in turns if t[0] == rec and t[3] > t[2] and s < t[3] and t[2] < max(e, s + 1)]
+        if e > s:
+            share = {}
+            for t in there:
+                n, first = share.get(t[4], (0, t[1]))
+                share[t[4]] = (n + min(e, t[3]) - max(s, t[2]), min(first, t[1]))
+            want[rec, k] = min(((-n, q, who) for who, (n, q) in share.items()), default=(0, 0, None))[2]
+        else:
+            want[rec, k] = min(((t[2], t[1], t[4]) for t in there), default=(0, 0, None))[2]
+    t = spark.createDataFrame(turns, "rec_id int, seq int, start_ms long, end_ms long, label string").repartition(3)
+    c = spark.createDataFrame(items, "rec_id int, k int, start_ms long, end_ms long, text string").repartition(3)
+    for deal in (None, ["rec_id"]):
+        d = intervals.dominant_speaker(c, t, ["rec_id", "k"], width=50, deal=deal)
+        got = {(x["rec_id"], x["k"]): x for x in d.collect()}
+        assert {k: x["label"] for k, x in got.items()} == want and len(got) == len(items)
+        assert all(got[rec, k][2:5] == (s, e, text) for rec, k, s, e, text in items)
+    # shuffles of both sides of the join and of the votes, and none for what is grouped by deal
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    d = intervals.dominant_speaker(c, t, ["rec_id", "k"], width=50, deal=["rec_id"])
+    n = plan(d)
+    assert n <= 3 and plan(d.groupBy("rec_id").count()) == n
