@@ -5,10 +5,16 @@ An item is a word with its times; a recording's chunks and a chunk's items are n
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
+from .rows import batches_of
+
 #: Milliseconds of an alignment class.
 CLASS_MS = 80
 # What the aligner reads around a text's words.
@@ -64,6 +70,38 @@ def chunk_of_token(tokens: DataFrame, keys: list[str], order: str, value: str, s
     return tokens.withColumn("__place", place).withColumn("__slack", F.floor(F.col(value) / size) + 1 - F.col("__place")).withColumn(out, F.col("__place") + F.least(F.lit(1), slack)).drop("__place", "__slack")
 
 
+def chunk_spans(groups: DataFrame, keys: list[str], order: str, values: str, size: int) -> DataFrame:
+    """keys, chunk, first, last: the places (from 1) of the first and the last token of each chunk of ``chunk_of_token``, of tokens that come as lists of values, one after the other by ``order``.
+
+    Only lists are sorted: how many tokens come before a list, and their least slack, is all that it needs of others. It hands on the spans of its own tokens' chunks."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    least = F.array_min(F.transform(values, lambda v, k: F.floor(v / size) - k))  # of the list's slack, but for the tokens before it
+    g = groups.select(*keys, order, F.col(values).alias("__values"), F.size(values).cast("long").alias("__n"), least.cast("long").alias("__least"))
+    g = g.withColumn("__at", F.coalesce(F.sum("__n").over(w), F.lit(0).cast("long")))
+    g = g.withColumn("__slack", F.least(F.lit(1).cast("long"), F.min(F.col("__least") - F.col("__at")).over(w)))
+    schema = StructType([*(groups.schema[k] for k in keys), *(StructField(name, LongType()) for name in ("chunk", "first", "last"))])
+
+    def spans(batches) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    *key, found, at, slack = (c[i].as_py() for c in b.columns)
+                    chunk = first = place = None
+                    for place, v in enumerate(found, at + 1):
+                        slack = min(slack, v // size + 1 - place)
+                        if place + slack != chunk:
+                            if first is not None:
+                                yield *key, chunk, first, place - 1
+                            chunk, first = place + slack, place
+                    if first is not None:
+                        yield *key, chunk, first, place
+
+        yield from batches_of(rows(), schema)
+
+    found = g.select(*keys, "__values", "__at", "__slack").mapInArrow(spans, schema)
+    return found.groupBy(*keys, "chunk").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+
+
 def timestamp_prompt(words: Column) -> Column:
     """What the aligner reads: each word with two marks for its times, after the audio's place."""
     return F.concat(F.lit(AUDIO), F.array_join(words, STAMPS), F.lit(STAMPS))

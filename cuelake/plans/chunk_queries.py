@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,10 +86,18 @@ def chunk_memory(spark, d):
 
 @query("chunked_index", f"WITH RECURSIVE {_WORDS}, t AS (SELECT rec_id, ws // 80 AS v, row_number() OVER (PARTITION BY rec_id ORDER BY pos, k) AS i FROM w), r AS (SELECT rec_id, i, v, 1 + CASE WHEN v >= 50 THEN 1 ELSE 0 END AS c FROM t WHERE i = 1 UNION ALL SELECT t.rec_id, t.i, t.v, r.c + CASE WHEN t.v >= r.c * 50 THEN 1 ELSE 0 END FROM r JOIN t ON t.rec_id = r.rec_id AND t.i = r.i + 1) SELECT rec_id, c AS chunk, min(i) AS first, max(i) AS last FROM r GROUP BY ALL")
 def chunked_index(spark, d):
-    """Tokens at 80 ms a step in chunks of 50 steps."""
-    t = _words(spark, d).withColumns({"v": F.expr("ws div 80"), "i": F.row_number().over(Window.partitionBy("rec_id").orderBy("pos", "k"))})
-    c = chunks.chunk_of_token(t, ["rec_id"], "i", "v", 50)
-    return c.groupBy("rec_id", "chunk").agg(F.min("i").cast("long").alias("first"), F.max("i").cast("long").alias("last"))
+    """Tokens at 80 ms a step in chunks of 50 steps. An utterance's tokens stay in one row."""
+    @F.pandas_udf("array<long>")
+    def steps(text: pd.Series, start: pd.Series, total: pd.Series) -> pd.Series:
+        out = []
+        for t, s, ms in zip(text, start, total):
+            sizes = [len(w) for w in t.split(" ") if w]
+            whole = sum(sizes)
+            out.append([(s + ms * since // whole) // 80 for since in itertools.accumulate(sizes[:-1], initial=0)] if sizes else [])
+        return pd.Series(out, dtype=object)
+
+    u = utterances(spark, d).select("rec_id", "pos", steps("text", "start_ms", "dur_ms").alias("v"))
+    return chunks.chunk_spans(u.where(F.size("v") > 0), ["rec_id"], "pos", "v", 50)
 
 
 _BREAKS = "。！？!?…～，、；：,;:"

@@ -212,3 +212,26 @@ def test_votes_over_buckets_and_their_shuffles(spark):
     d = intervals.dominant_speaker(c, t, ["rec_id", "k"], width=50, deal=["rec_id"])
     n = plan(d)
     assert n <= 3 and plan(d.groupBy("rec_id").count()) == n
+
+
+def test_spans_of_lists_are_those_of_their_tokens(spark):
+    import random
+
+    from cuelake.operators import chunks
+
+    r = random.Random(9)
+    lists, tokens = [], []
+    for rec in (1, 2, 3):
+        v = i = 0
+        for pos in range(12):
+            mine = []
+            for _ in range(r.randrange(9)):
+                v += r.choice([0, 1, 3, 40])
+                i += 1
+                mine.append(v)
+                tokens.append((rec, i, v))
+            lists.append((rec, pos, mine))
+    one = chunks.chunk_of_token(spark.createDataFrame(tokens, "rec_id int, i long, v long"), ["rec_id"], "i", "v", 7)
+    want = one.groupBy("rec_id", "chunk").agg(F.min("i").alias("first"), F.max("i").alias("last")).collect()
+    got = chunks.chunk_spans(spark.createDataFrame(lists, "rec_id int, pos int, v array<long>").repartition(4), ["rec_id"], "pos", "v", 7)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and "Explode" not in got._jdf.queryExecution().optimizedPlan().toString()
