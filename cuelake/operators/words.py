@@ -24,10 +24,11 @@ def distinct_tokens(texts: DataFrame, text: str = "text", pattern: str = r"\S+")
 
 
 def _scored(strings: DataFrame) -> DataFrame:
-    """string, length, n, n_first (of its first character), score of strings (string, n) that may come several times."""
+    """string, length, n, n_first (of its first character), score of strings (string, n) that may come several times. Counts of single characters, of which Unicode has so many and no more, are
+    broadcast; the strings aren't dealt by their first characters."""
     counts = strings.groupBy("string").agg(F.sum("n").alias("n")).withColumn("length", F.length("string"))
     first = counts.where("length = 1").select(F.col("string").alias("first"), F.col("n").alias("n_first"))
-    own = counts.join(first, F.substring("string", 1, 1) == F.col("first"))
+    own = counts.join(F.broadcast(first), F.substring("string", 1, 1) == F.col("first"))
     score = F.when(F.col("length") > 1, F.round(F.pow(F.col("n") / F.col("n_first"), 1 / (F.col("length") - 1)), 12)).otherwise(F.lit(0.0))
     return own.select("string", "length", "n", "n_first", score.alias("score"))
 
@@ -75,16 +76,25 @@ def best_pieces(length: int, edges: list[tuple[int, int, float]]) -> list[tuple[
 
 
 def lattice(tokens: DataFrame, scores: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """token, pieces (array of strings) of each distinct token, which brings the scores of its own substrings along."""
-    cut = tokens.where("token <> ''").select("token", F.explode(_substrings(F.col("token"), longest)).alias("s")).select("token", "s.place", "s.string")
-    edge = F.struct(F.col("place").cast("int").alias("place"), F.col("length").cast("int").alias("length"), "score")
-    given = cut.join(scores, "string").groupBy("token").agg(F.collect_list(edge).alias("edges"))
+    """token, pieces (array of strings) of each distinct token, which brings the scores of its own substrings along. Single characters score nothing, whatever their counts, and need none."""
+    longer = F.filter(_substrings(F.col("token"), longest), lambda s: F.length(s["string"]) > 1)
+    cut = tokens.where(F.length("token") > 1).select("token", F.explode(longer).alias("s")).select("token", F.col("s.place").cast("int").alias("place"), "s.string")
+    # an edge is two numbers, in lists of the same order, and not a struct: half of the memory of sorts
+    at = (F.col("place") * (longest + 1) + F.col("length")).cast("int")
+    edges = F.struct(F.collect_list(at).alias("at"), F.collect_list("score").alias("score"))
+    given = cut.join(scores.where("length > 1").select("string", "length", "score"), "string").groupBy("token").agg(edges.alias("edges"))
 
     @F.pandas_udf("array<string>")
-    def pieces(token: pd.Series, edges: pd.Series) -> pd.Series:
-        return pd.Series([[t[a : a + n] for a, n in best_pieces(len(t), [(x["place"], x["length"], x["score"]) for x in e])] for t, e in zip(token, edges)], dtype=object)
+    def pieces(token: pd.Series, edges: pd.DataFrame) -> pd.Series:
+        def one(t: str, places, scores_) -> list[str]:
+            found = [(i, 1, 0.0) for i in range(len(t))]
+            found += [(*divmod(k, longest + 1), x) for k, x in zip(places.tolist(), scores_.tolist())]
+            return [t[a : a + n] for a, n in best_pieces(len(t), found)]
 
-    return given.select("token", pieces("token", "edges").alias("pieces"))
+        return pd.Series([one(*x) for x in zip(token, edges["at"], edges["score"])], dtype=object)
+
+    single = tokens.where(F.length("token") == 1).select("token", F.array("token").alias("pieces"))
+    return given.select("token", pieces("token", "edges").alias("pieces")).unionByName(single)
 
 
 def split_texts(texts: DataFrame, key: str, splits: DataFrame, text: str = "text", pattern: str = r"\S+") -> DataFrame:

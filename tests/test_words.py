@@ -66,3 +66,12 @@ def test_lattice_over_texts(spark):
     assert {r["token"]: r["pieces"] for r in splits.collect()} == want
     got = {r["id"]: r["tokens"] for r in words.split_texts(d, "id", splits).collect()}
     assert got == {i: [p for w in t.split() for p in want[w]] for i, t in enumerate(TEXTS) if t}
+
+
+def test_single_characters_need_no_scores(spark):
+    d = spark.createDataFrame([("ab abc a b",), ("bc abc 東京 東",)], "text string")
+    tokens = words.distinct_tokens(d)
+    scores = words.substring_scores(tokens, 3)
+    whole = {r["token"]: r["pieces"] for r in words.lattice(tokens, scores, 3).collect()}
+    longer = {r["token"]: r["pieces"] for r in words.lattice(tokens, scores.where("length > 1"), 3).collect()}
+    assert whole == longer and set(whole) == {"ab", "abc", "a", "b", "bc", "東京", "東"} and all("".join(p) == t for t, p in whole.items())
