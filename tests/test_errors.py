@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cuelake.functions import errors
+from cuelake.plans import speech_queries
 
 
 def brute_cost(a, b) -> tuple[int, int]:
@@ -110,3 +111,17 @@ def test_rates_of_texts_with_all_kinds_of_blanks(spark):
     words = d.select(F.size(F.regexp_extract_all("said", F.lit(r"\S+"), F.lit(0)))).collect()
     assert [r["counts"]["n_reference"] for r in counted.collect()] == [r[0] for r in words] == [3, 0]
     assert errors.error_rates(counted, ["who"]).collect()[0]["edits"] == 0
+
+
+def test_texts_of_one_file_are_counted_in_many_tasks(spark, tmp_path):
+    said = [(k // 400, k, "user", f"a b c d {k} f") for k in range(800)]  # two conversations
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    name, had = "spark.sql.adaptive.coalescePartitions.enabled", spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set(name, "false")  # so few rows would be put together
+    try:
+        got = speech_queries.word_errors(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).toPandas()
+        rates = speech_queries.error_rates(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set(name, had)
+    assert len(got) == 800 and got["task"].value_counts().max() < 400
+    assert set(zip(got["substitutions"], got["insertions"], got["deletions"])) == {(2, 0, 0)} and [tuple(r)[:4] for r in rates] == [("user", 800, 1600, 4800)]
