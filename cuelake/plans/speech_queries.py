@@ -194,10 +194,11 @@ def alignment_shift(spark, d):
 
 def _heard(spark, d):
     """Utterances with what a poor transcript has of them: of each eleven words one is left out, one comes twice and one is backwards. They are dealt out one by one, as counting edits takes far longer
-    than reading, and files may have few parts."""
+    than reading, and files may have few parts; the number of parts is given, since few bytes are much work and would be put together."""
     words = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
     heard = F.flatten(F.transform(words, lambda w, k: F.when(k % 11 == 3, F.array().cast("array<string>")).when(k % 11 == 5, F.array(w, w)).when(k % 11 == 8, F.array(F.reverse(w))).otherwise(F.array(w))))
-    return utterances(spark, d).repartition("rec_id", "pos").withColumn("heard", F.array_join(heard, " "))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return utterances(spark, d).repartition(parts, "rec_id", "pos").withColumn("heard", F.array_join(heard, " "))
 
 
 _HEARD = f"""WITH RECURSIVE {UTTERANCES_SQL}, w AS (SELECT rec_id, pos, speaker, regexp_extract_all(text, '\\S+') AS a FROM utterances),

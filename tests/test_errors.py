@@ -95,6 +95,31 @@ def test_all_ways_of_counting_agree(monkeypatch, held, ways):
         assert (s + i + d, i + d) == brute_cost(a, b)
 
 
+@pytest.mark.parametrize("few, side, items", [(1, 1 << 15, 1 << 20), (1, 60, 40), (16, 400, 500), (1, 1 << 15, 1)])
+def test_pairs_side_by_side_agree_with_every_cell(monkeypatch, few, side, items):
+    for name, value in (("FEW", few), ("SIDE", side), ("ITEMS", items)):
+        monkeypatch.setattr(errors, name, value)
+    r = random.Random(7)
+    pairs = [tuple([f"w{r.randrange(k % 5 + 1)}" for _ in range(r.randrange(45))] for _ in "ab") for k in range(250)]
+    pairs += [(a, a[k % 30 :] + a[: k % 30]) for k, (a, _) in enumerate(pairs[:60])] + [(a, poor(a)) for a, _ in pairs[:20]] + [(["x"] * 80, ["y"]), ([], []), ([1], [])]
+    r.shuffle(pairs)
+    got = errors._all_counts(iter(pairs))
+    assert len(got) == len(pairs)
+    for (a, b), (n, m, s, i, d) in zip(pairs, got):
+        assert (n, m) == (len(a), len(b)) and (s + i + d, i + d) == brute_cost(a, b) and i - d == m - n and min(s, i, d) >= 0
+
+
+def test_many_pairs_take_less_time_side_by_side():
+    r = random.Random(8)
+    texts = [[f"w{r.randrange(300)}" for _ in range(90)] for _ in range(6000)]
+    pairs = [(t, poor(t)) for t in texts]
+    pairs.append((["x"] * 3000, list(range(3000))))  # one that needs a far wider band than the others
+    start = time.process_time()
+    one = [(len(a), len(b), *errors.edit_counts(a, b)) for a, b in pairs]
+    alone, start = time.process_time() - start, time.process_time()
+    assert errors._all_counts(iter(pairs)) == one and time.process_time() - start < alone / 1.5
+
+
 def test_words_of_many_texts_take_little_time():
     r = random.Random(5)
     texts = [[f"w{r.randrange(300)}" for _ in range(90)] for _ in range(2000)]
